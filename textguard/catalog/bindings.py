@@ -46,6 +46,13 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, text, label) of the labelled documents, spread over the cores for text work."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return docs.join(labels, "doc_id").withColumnRenamed("doc_id", "row_id")
+
+
 def raw_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Three raw datasets of different shapes; every seventh text is padded with odd whitespace."""
     padded = F.concat(F.lit("\t"), F.col("text"), F.lit("\u00a0\n"))
@@ -141,12 +148,12 @@ def is_test(key: Column) -> Column:
 
 def document_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """All documents as (train, test), spread over the cores for text work."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return docs.where(~is_test(F.col("doc_id"))), docs.where(is_test(F.col("doc_id")))
 
 
 def vector_split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    vectors = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    vectors = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")
     return vectors.where(~is_test(F.col("vec_id"))), vectors.where(is_test(F.col("vec_id")))
 
 
@@ -155,7 +162,9 @@ def embedded_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     docs = table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "row_id")
     vectors = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "row_id")
     prob = (F.floor(unit_hash(F.col("row_id"), "p") * 5500) + 4500 * F.col("label")).cast("double")
-    rows = spread(docs.select("row_id", "text", source_name(F.col("source")).alias("source_dataset"))).join(
+    rows = spread(
+        docs.select("row_id", "text", source_name(F.col("source")).alias("source_dataset")), "row_id"
+    ).join(
         vectors.select("row_id", "embedding", (F.col("label") % 2).alias("label")), "row_id"
     )
     rows = rows.select(

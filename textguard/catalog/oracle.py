@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from textguard.catalog.queries import BIG_SAMPLE, CONVERSATION_RULES, SAMPLE
 from textguard.functions.minhash import BAND_ROWS, BANDS, NUM_PERM, coefficients
-from textguard.functions.kernels import PRIME
+from textguard.functions.kernels import SLOT_SHIFT
 from textguard.functions.text import WHITESPACE
 from textguard.operators.sweep import GRID
 
@@ -25,7 +25,7 @@ def _prob(label: str, key: str = "row_id") -> str:
 
 
 def _r(expression: str, name: str) -> str:
-    return f"round({expression}, 6) AS {name}"
+    return f"round({expression}, 9) AS {name}"
 
 
 def _i(expression: str, name: str) -> str:
@@ -372,10 +372,10 @@ SQL["shingle_sets"] = f"""WITH {TEXTS}, {SHINGLES}
 SELECT id AS doc_id, CAST(len(s) AS INT) AS n_shingles, md5(array_to_string(s, '|')) AS shingles_md5 FROM shingled"""
 
 _A, _B = coefficients()
-_PERMS = ", ".join(f"({i}, {a}::BIGINT, {b}::BIGINT)" for i, (a, b) in enumerate(zip(_A, _B)))
+_PERMS = ", ".join(f"({i}, {a}::HUGEINT, {b}::HUGEINT)" for i, (a, b) in enumerate(zip(_A, _B)))
 SIGNATURES = f"""hashed AS (
   SELECT DISTINCT id, ('0x' || substr(md5(x), 1, 15))::BIGINT AS h FROM (SELECT id, unnest(s) AS x FROM shingled)), slots AS (
-  SELECT id, i, min((h % {PRIME} * a + b) % {PRIME}) AS m
+  SELECT id, i, min((h::HUGEINT * a + b) % {1 << 64}::HUGEINT) // {1 << SLOT_SHIFT}::HUGEINT AS m
   FROM hashed CROSS JOIN (VALUES {_PERMS}) AS perms(i, a, b) GROUP BY id, i), signed AS (
   SELECT id, list(m ORDER BY i) AS sig FROM slots GROUP BY id)"""
 

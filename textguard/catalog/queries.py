@@ -49,7 +49,7 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
     """Doubles rounded: engines add in different orders."""
     doubles = {c: F.round(c, digits) for c, t in df.dtypes if t == "double"}
     return df.withColumns(doubles) if doubles else df
@@ -334,7 +334,7 @@ def completeness(spark, sf_dir):
 
 @query
 def shingle_sets(spark, sf_dir):
-    docs = spread(B.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(B.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     found = docs.select("doc_id", shingles(F.col("text")).alias("s"))
     return found.select(
         "doc_id",
@@ -345,7 +345,7 @@ def shingle_sets(spark, sf_dir):
 
 @query
 def minhash_signatures(spark, sf_dir):
-    docs = spread(B.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(B.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     signed = docs.select("doc_id", minhash(shingle_hashes(F.col("text"))).alias("signature"))
     return signed.select("doc_id", F.md5(F.array_join("signature", ",")).alias("signature_md5"))
 
@@ -373,7 +373,7 @@ def best_jaccard_exact(spark, sf_dir):
 @query
 def benchmark_overlap(spark, sf_dir):
     """The benchmark as test side against all documents."""
-    docs = spread(B.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = spread(B.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     items = B.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
     return rounded(
         best_jaccard(docs, items, "doc_id", exact=True).select("test_id", "train_id", "similarity")
@@ -441,7 +441,7 @@ def benign_language_outcome(spark, sf_dir):
 
 @query
 def detect_language(spark, sf_dir):
-    docs = spread(B.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    docs = spread(B.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
     train, rest = docs.where(~B.is_test(F.col("doc_id"))), docs.where(B.is_test(F.col("doc_id")))
     detector = language.fit_language_detector(train)
     return language.detect_language(rest, detector).select("doc_id", "lang", "language")
@@ -452,7 +452,7 @@ def detect_language(spark, sf_dir):
 
 @query
 def fit_score_classifier(spark, sf_dir):
-    rows = B.labelled(spark, sf_dir).select("row_id", "text", F.col("toxic").alias("label"))
+    rows = B.labelled_texts(spark, sf_dir)
     train, rest = rows.where(~B.is_test(F.col("row_id"))), rows.where(B.is_test(F.col("row_id")))
     model, _ = scoring.fit_classifier(train)
     return scoring.verdict(scoring.score(rest, model), 0.5, ["row_id"])
@@ -586,8 +586,7 @@ def _document_stream(spark, sf_dir):
 @query
 def stream_verdict(spark, sf_dir):
     """Every document through a verdict stream; the model is fitted on the labelled ones."""
-    rows = B.labelled(spark, sf_dir).select("text", F.col("toxic").alias("label"))
-    model, _ = scoring.fit_classifier(rows)
+    model, _ = scoring.fit_classifier(B.labelled_texts(spark, sf_dir))
     prompts = _document_stream(spark, sf_dir).select(F.col("doc_id").alias("row_id"), "text")
     out = shared_dir(spark, "verdicts")
     start_verdicts(

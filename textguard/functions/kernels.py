@@ -5,22 +5,31 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-# Modulus of the permutations: a Mersenne prime whose products fit BIGINT.
-PRIME = (1 << 31) - 1
 PAIR_CHUNK = 1 << 16
+# Values per pass of the permutations: small enough for the processor cache.
+VALUE_CHUNK = 1 << 15
+# Bits dropped from a 64-bit minimum, so that a signature slot fits INT.
+SLOT_SHIFT = 33
 
 
 def permute_minimum(values: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Per set (slices of ``values`` beginning at ``starts``) the minimum of every permutation
-    (a * x + b) mod PRIME."""
-    base = values % PRIME
-    out = np.empty((len(starts), len(a)), dtype=np.int32)
-    for i in range(len(a)):
-        x = base * a[i] + b[i]
-        x = (x & PRIME) + (x >> 31)
-        x -= np.where(x >= PRIME, PRIME, 0)
-        out[:, i] = np.minimum.reduceat(x, starts)
-    return out
+    a * x + b modulo 2^64, cut to its upper 31 bits."""
+    values = values.astype(np.uint64)
+    out = np.empty((len(starts), len(a)), dtype=np.uint64)
+    ends = np.append(starts[1:], len(values))
+    row = 0
+    while row < len(starts):
+        stop = max(row + 1, int(np.searchsorted(ends, starts[row] + VALUE_CHUNK, "right")))
+        part = values[starts[row] : ends[stop - 1]]
+        offsets = starts[row:stop] - starts[row]
+        work = np.empty_like(part)
+        for i in range(len(a)):
+            np.multiply(part, a[i], out=work)
+            np.add(work, b[i], out=work)
+            out[row:stop, i] = np.minimum.reduceat(work, offsets)
+        row = stop
+    return (out >> np.uint64(SLOT_SHIFT)).astype(np.int32)
 
 
 def list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

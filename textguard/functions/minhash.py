@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textguard.functions.kernels import PRIME, signature_batch
+from textguard.functions.kernels import signature_batch
 
 # Permutations, and the banding that a threshold of 0.5 gives for that many when
 # false positives and false negatives weigh the same.
@@ -18,19 +18,17 @@ BANDS, BAND_ROWS = 25, 5
 
 
 def coefficients(num_perm: int = NUM_PERM) -> tuple[list[int], list[int]]:
-    """Multipliers in 1..PRIME-1 and offsets in 0..PRIME-1, drawn from MD5 of their position."""
+    """Odd 64-bit multipliers and 64-bit offsets, drawn from MD5 of their position."""
 
     def draw(name: str, i: int) -> int:
-        return int(hashlib.md5(f"{name}:{i}".encode()).hexdigest()[:15], 16)
+        return int(hashlib.md5(f"{name}:{i}".encode()).hexdigest()[:16], 16)
 
-    a = [1 + draw("a", i) % (PRIME - 1) for i in range(num_perm)]
-    b = [draw("b", i) % PRIME for i in range(num_perm)]
-    return a, b
+    return [draw("a", i) | 1 for i in range(num_perm)], [draw("b", i) for i in range(num_perm)]
 
 
 def minhash(hashes: Column, num_perm: int = NUM_PERM) -> Column:
     """Signature of a non-empty array of shingle hashes: one minimum per permutation."""
-    a, b = (np.array(c, dtype=np.int64) for c in coefficients(num_perm))
+    a, b = (np.array(c, dtype=np.uint64) for c in coefficients(num_perm))
 
     @F.arrow_udf("array<int>")
     def signature(sets: pa.Array) -> pa.Array:

@@ -33,16 +33,26 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def word_runs(text: Column, k: int = 5) -> Column:
+    """All runs of k consecutive words, repeats included; all words as one run if there are fewer.
+
+    One look-ahead scan over the space-joined words: at each word start it captures k words, or at
+    the very start a text of fewer words up to its end.
+    """
+    joined = F.array_join(words(text), " ")
+    run = (
+        rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{k - 1}}}"
+        rf"|\A[^ ]*+(?: [^ ]++){{0,{max(k - 2, 0)}}}\z))[^ ]*+"
+    )
+    return F.regexp_extract_all(joined, F.lit(run), F.lit(1))
+
+
 def shingles(text: Column, k: int = 5) -> Column:
     """Distinct k-word shingles of the lower-cased text.
 
-    Fewer than k words give one shingle of all words, ``''`` when there is none. The overlapping
-    runs come from one look-ahead scan over the space-joined words.
+    Fewer than k words give one shingle of all words, ``''`` when there is none.
     """
-    joined = F.array_join(words(text), " ")
-    run = rf"(?<![^ ])(?=([^ ]++(?: [^ ]++){{{k - 1}}}))[^ ]++"
-    found = F.regexp_extract_all(joined, F.lit(run), F.lit(1))
-    return F.when(F.size(found) > 0, F.array_distinct(found)).otherwise(F.array(joined))
+    return F.array_distinct(word_runs(text, k))
 
 
 def hash60(text: Column) -> Column:
@@ -52,7 +62,7 @@ def hash60(text: Column) -> Column:
 
 def shingle_hashes(text: Column, k: int = 5) -> Column:
     """Sorted distinct 60-bit hashes of the shingles."""
-    return F.array_sort(F.array_distinct(F.transform(shingles(text, k), hash60)))
+    return F.sort_array(F.array_distinct(F.transform(word_runs(text, k), hash60)))
 
 
 def text_key(text: Column) -> Column:

@@ -17,6 +17,8 @@ from textguard.scratch import small_table
 
 DIGITS = 3
 MAX_BROADCAST_ROWS = 100_000
+# Rows of one bucket that are simply ranked.
+MAX_RANKED_ROWS = 100_000
 
 
 def prefix_counts(keyed: DataFrame, group: Sequence[str], digits: int = DIGITS) -> DataFrame:
@@ -27,7 +29,8 @@ def prefix_counts(keyed: DataFrame, group: Sequence[str], digits: int = DIGITS)
 
 
 def _descend(state: DataFrame, counts: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Move every cut into the bucket that holds its k-th row; k becomes the rank inside it."""
+    """Move every cut into the bucket that holds its k-th row; k becomes the rank inside it and n
+    the size of the bucket."""
     running = counts.withColumn(
         "upto",
         F.sum("n").over(
@@ -39,42 +42,44 @@ def _descend(state: DataFrame, counts: DataFrame, on: Sequence[str]) -> DataFram
         state.join(running, list(on))
         .where((k <= F.col("upto")) & (k > F.col("upto") - F.col("n")))
         .withColumn("k", k - (F.col("upto") - F.col("n")))
-        .drop("upto", "n")
+        .drop("upto")
     )
 
 
 def rank_cutoffs(
     keyed: DataFrame, group: Sequence[str], wanted: DataFrame, counts: DataFrame | None = None
-) -> tuple[DataFrame, bool]:
+) -> DataFrame:
     """The ``_order`` value of the k-th row of each group.
 
     ``keyed`` has the group columns and a unique ``_order``; ``wanted`` is (group, cut, k) with k in
     1..group size; ``counts`` may pass in the result of ``prefix_counts``. Returns (group, cut,
-    cutoff) and whether it is small enough to broadcast: exactly k rows have ``_order <= cutoff``.
+    cutoff): exactly k rows of the group have ``_order <= cutoff``.
 
-    Runs three passes over (group, _order) only; each leaves one row per group and cut.
+    Every pass reads (group, _order) only and leaves one row per group and cut. The second level is
+    skipped where the buckets of the first are small already.
     """
     group = list(group)
     cuts = [*group, "cut"]
     narrow = keyed.select(*group, "_order")
     if counts is None:
         counts = prefix_counts(narrow, group)
-    state, _ = small_table(_descend(wanted.select(*cuts, "k"), counts, group), MAX_BROADCAST_ROWS)
+    state, rows = small_table(_descend(wanted.select(*cuts, "k"), counts, group), MAX_BROADCAST_ROWS)
 
     # The prefix is part of the join key, so a hot group is spread even where the join shuffles.
     inside = narrow.withColumn("prefix", F.left("_order", F.lit(DIGITS))).join(
-        state.select(*cuts, "prefix"), [*group, "prefix"]
-    )
-    finer = prefix_counts(inside, cuts, 2 * DIGITS)
-    state, _ = small_table(
-        _descend(state.select(*cuts, "k"), finer, cuts), MAX_BROADCAST_ROWS
-    )
-    leaf = inside.withColumn("prefix", F.left("_order", F.lit(2 * DIGITS))).join(
-        state, [*cuts, "prefix"]
+        state, [*group, "prefix"]
     )
+    if rows is None or max((row["n"] for row in rows), default=0) > MAX_RANKED_ROWS:
+        finer = prefix_counts(inside, cuts, 2 * DIGITS)
+        state, _ = small_table(_descend(state.select(*cuts, "k"), finer, cuts), MAX_BROADCAST_ROWS)
+        inside = (
+            inside.drop("prefix", "k", "n")
+            .withColumn("prefix", F.left("_order", F.lit(2 * DIGITS)))
+            .join(state, [*cuts, "prefix"])
+        )
     rank = F.row_number().over(Window.partitionBy(*cuts, "prefix").orderBy("_order"))
-    kth = leaf.withColumn("rank", rank).where(F.col("rank") == F.col("k"))
-    return small_table(kth.select(*cuts, F.col("_order").alias("cutoff")), MAX_BROADCAST_ROWS)
+    kth = inside.withColumn("rank", rank).where(F.col("rank") == F.col("k"))
+    return kth.select(*cuts, F.col("_order").alias("cutoff"))
 
 
 def dense_row_id(df: DataFrame, key: Column, seed: int | str) -> DataFrame:

@@ -31,38 +31,35 @@ def _rate(numerator: Column, denominator: Column) -> Column:
 def cells(
     scored: DataFrame, by: Sequence[str] = (), source: str | None = SOURCE, prob: str | None = PROB
 ) -> DataFrame:
-    """Counted cells of a scored table: the only pass over its rows, with map-side combination."""
+    """Counted cells of a scored table: the only pass over its rows, with map-side combination.
+
+    ``n`` counts rows, ``n_scored`` those with a probability. Filters further on use ``n_scored``
+    rather than the score, so that they stay above this aggregate and every metric shares its shuffle.
+    """
     keys = [*by, *([source] if source else [])]
-    columns = [F.col(k) for k in keys]
+    prediction = F.col(PREDICTION) if PREDICTION in scored.columns else F.lit(None).cast("int")
     score = F.col(prob).cast("double") if prob else F.lit(None).cast("double")
     return (
-        scored.select(*columns, LABEL, PREDICTION, score.alias("score"))
+        scored.select(*keys, LABEL, prediction.alias(PREDICTION), score.alias("score"))
         .groupBy(*keys, LABEL, PREDICTION, "score")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("n_scored"))
     )
 
 
-def with_scope(
-    counted: DataFrame, by: Sequence[str], source: str | None, keys: Sequence[str], sums: Sequence[str]
+def scope_rows(
+    counted: DataFrame, by: Sequence[str], source: str | None, columns: Sequence[Column | str]
 ) -> DataFrame:
-    """Sum counted rows over (by, keys) for every source and for all sources together.
+    """Every row once for its source and once for all sources together, with ``scope``.
 
-    Adds ``scope``; in overall rows the source is '' here and becomes null in results.
+    In overall rows the source is '' here and becomes null in results.
     """
-    totals = [F.sum(c).alias(c) for c in sums]
     if source is None:
-        return counted.groupBy(*by, *keys).agg(*totals).withColumn("scope", F.lit("overall"))
+        return counted.select(*by, F.lit("overall").alias("scope"), *columns)
     levels = F.array(
-        F.struct(F.lit("overall").alias("scope"), F.lit("").alias("source")),
-        F.struct(F.lit("source").alias("scope"), F.col(source).alias("source")),
-    )
-    rest = [F.col(c) for c in [*by, *keys, *sums]]
-    return (
-        counted.select(F.explode(levels).alias("_level"), *rest)
-        .select("_level.scope", F.col("_level.source").alias(source), *rest)
-        .groupBy(*by, "scope", source, *keys)
-        .agg(*totals)
+        F.struct(F.lit("overall").alias("scope"), F.lit("").alias(source)),
+        F.struct(F.lit("source").alias("scope"), F.col(source).alias(source)),
     )
+    return counted.select(*by, F.inline(levels).alias("scope", source), *columns)
 
 
 def _group(by: Sequence[str], source: str | None) -> list[str]:
@@ -108,9 +105,10 @@ def rates(counts: DataFrame) -> DataFrame:
 
 
 def _confusion(counted: DataFrame, by: Sequence[str], source: str | None) -> DataFrame:
-    summed = with_scope(counted, by, source, [LABEL, PREDICTION], ["n"])
-    return summed.groupBy(*_group(by, source)).agg(
-        *confusion_columns(F.col("n"), F.col(LABEL), F.col(PREDICTION))
+    return (
+        scope_rows(counted, by, source, [LABEL, PREDICTION, "n"])
+        .groupBy(*_group(by, source))
+        .agg(*confusion_columns(F.col("n"), F.col(LABEL), F.col(PREDICTION)))
     )
 
 
@@ -135,13 +133,15 @@ def _ranking(
 ) -> DataFrame:
     """roc_auc and pr_auc per group from running class totals by falling score."""
     group = _group(by, source)
-    by_score = (
-        counted.where(F.col("score").isNotNull())
-        .withColumn("pos", F.col("n") * (F.col(LABEL) == 1).cast("bigint"))
-        .withColumn("neg", F.col("n") * (F.col(LABEL) == 0).cast("bigint"))
+    per_score = (
+        scope_rows(counted.where("n_scored > 0"), by, source, [LABEL, "score", "n"])
+        .groupBy(*group, "score")
+        .agg(
+            F.sum(F.when(F.col(LABEL) == 1, F.col("n")).otherwise(0)).alias("pos"),
+            F.sum(F.when(F.col(LABEL) == 0, F.col("n")).otherwise(0)).alias("neg"),
+        )
     )
-    scoped = with_scope(by_score, by, source, ["score"], ["pos", "neg"])
-    ranked = running_totals(scoped, group, "score", ["pos", "neg"], bounds, descending=True)
+    ranked = running_totals(per_score, group, "score", ["pos", "neg"], bounds, descending=True)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     tp, fp = F.col("upto_pos").cast("double"), F.col("upto_neg").cast("double")
     return (
@@ -170,18 +170,13 @@ def _bins(counted: DataFrame, by: Sequence[str], source: str | None, n_bins: int
     """Per group and probability bin: rows, positives, and the sums the calibration metrics need."""
     p, y, n = F.col("score"), F.col(LABEL), F.col("n")
     likelihood = F.least(F.greatest(p * y + (1 - p) * (1 - y), F.lit(LOSS_FLOOR)), F.lit(1.0))
-    summed = counted.where(p.isNotNull()).select(
-        *by,
-        *([source] if source else []),
-        probability_bin(p, n_bins).alias("bin"),
-        "n",
-        (n * y).alias("positives"),
-        (n * p).alias("sum_prob"),
-        (n * (p - y) * (p - y)).alias("sum_square"),
-        (n * -F.log(likelihood)).alias("sum_loss"),
-    )
-    return with_scope(
-        summed, by, source, ["bin"], ["n", "positives", "sum_prob", "sum_square", "sum_loss"]
+    rows = scope_rows(counted.where("n_scored > 0"), by, source, ["score", LABEL, "n"])
+    return rows.groupBy(*_group(by, source), probability_bin(p, n_bins).alias("bin")).agg(
+        F.sum(n).alias("n"),
+        F.sum(n * y).alias("positives"),
+        F.sum(n * p).alias("sum_prob"),
+        F.sum(n * (p - y) * (p - y)).alias("sum_square"),
+        F.sum(n * -F.log(likelihood)).alias("sum_loss"),
     )
 
 
@@ -204,7 +199,7 @@ def reliability_bins(
     n_bins: int = 10,
 ) -> DataFrame:
     """Non-empty calibration bins: rows, mean probability, share of positives, absolute gap."""
-    binned = _bins(_scores(scored, by, source, prob), by, source, n_bins)
+    binned = _bins(cells(scored, by, source, prob), by, source, n_bins)
     confidence, share = F.col("sum_prob") / F.col("n"), F.col("positives") / F.col("n")
     return _clean(
         binned.select(
@@ -219,15 +214,6 @@ def reliability_bins(
     )
 
 
-def _scores(
-    scored: DataFrame, by: Sequence[str], source: str | None, prob: str
-) -> DataFrame:
-    """Cells of a table that need not have a hard prediction."""
-    if PREDICTION not in scored.columns:
-        scored = scored.withColumn(PREDICTION, F.lit(None).cast("int"))
-    return cells(scored, by, source, prob)
-
-
 def ranking_metrics(
     scored: DataFrame,
     by: Sequence[str] = (),
@@ -241,7 +227,7 @@ def ranking_metrics(
     """
     if bounds is None:
         bounds = value_bounds(scored, prob)
-    return _clean(_ranking(_scores(scored, by, source, prob), by, source, bounds), source)
+    return _clean(_ranking(cells(scored, by, source, prob), by, source, bounds), source)
 
 
 def calibration_metrics(
@@ -252,7 +238,7 @@ def calibration_metrics(
     n_bins: int = 10,
 ) -> DataFrame:
     """brier_score and ece (null for a group with one class), and log_loss."""
-    binned = _bins(_scores(scored, by, source, prob), by, source, n_bins)
+    binned = _bins(cells(scored, by, source, prob), by, source, n_bins)
     return _clean(_calibration(binned, by, source), source)
 
 

@@ -36,7 +36,8 @@ def range_id(value: Column, bounds: Sequence[float]) -> Column:
         at = F.try_element_at(edges, found + step)
         return found + F.when(at <= value, step).otherwise(F.lit(0))
 
-    return F.aggregate(F.array(*map(F.lit, _STEPS)), F.lit(0), probe)
+    # Never null, so that no null check on it is pushed below the aggregates it is computed from.
+    return F.coalesce(F.aggregate(F.array(*map(F.lit, _STEPS)), F.lit(0), probe), F.lit(0))
 
 
 def running_totals(

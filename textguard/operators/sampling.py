@@ -30,7 +30,7 @@ def sample_rows(df: DataFrame, n: int, seed: int = SEED, key: Column | None = No
         return df
     one = keyed.withColumn("_all", F.lit(0))
     wanted = df.sparkSession.createDataFrame([(0, "sample", n)], "_all int, cut string, k bigint")
-    cutoff = rank_cutoffs(one, ["_all"], wanted)[0].first()["cutoff"]
+    cutoff = rank_cutoffs(one, ["_all"], wanted).first()["cutoff"]
     return keyed.where(F.col("_order") <= cutoff).drop("_order")
 
 

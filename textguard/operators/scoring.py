@@ -20,6 +20,7 @@ from textguard.functions.probability import (
 )
 from textguard.functions.text import WORD, words
 from textguard.operators.metrics import binary_metrics
+from textguard.scratch import shared_dir
 
 # Tokens kept of a text, and rows per inference batch.
 MAX_TOKENS = 512
@@ -53,16 +54,29 @@ def classifier_pipeline(
 
 
 def fit_classifier(
-    train: DataFrame, val: DataFrame | None = None, pipeline: Pipeline | None = None
+    train: DataFrame,
+    val: DataFrame | None = None,
+    pipeline: Pipeline | None = None,
+    path: str | None = None,
 ) -> tuple[PipelineModel, DataFrame | None]:
-    """Fit on (text, label); evaluate once on val afterwards. Returns (model, val metrics)."""
-    model = (pipeline or classifier_pipeline()).fit(train.select("text", "label"))
+    """Fit on (text, label), store the model, evaluate the stored model once on val.
+
+    Returns (model, val metrics). The model is read back from ``path`` (a new shared folder by
+    default): a freshly fitted one still carries its training session, which tasks cannot take along.
+    """
+    path = path or shared_dir(train.sparkSession, "classifier")
+    (pipeline or classifier_pipeline()).fit(train.select("text", "label")).write().overwrite().save(path)
+    model = load_classifier(path)
     if val is None:
         return model, None
     scored = score(val.select("text", "label"), model)
     return model, binary_metrics(scored, source=None).drop("log_loss")
 
 
+def load_classifier(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def score(df: DataFrame, model: PipelineModel) -> DataFrame:
     """``df`` with ``prediction`` (argmax) and ``prob_positive``; runs inside the JVM."""
     drop = [c for c in ("prediction", "prob_positive") if c in df.columns]

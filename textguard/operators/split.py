@@ -92,7 +92,7 @@ def stratified_split(
             )
         ).alias("c"),
     ).select("stratum", "c.cut", "c.k")
-    cutoffs, _ = rank_cutoffs(keyed, ["stratum"], cuts.where("k > 0"), counts)
+    cutoffs = rank_cutoffs(keyed, ["stratum"], cuts.where("k > 0"), counts)
     wide, _ = small_table(
         cutoffs.groupBy("stratum").pivot("cut", ["test", "held"]).agg(F.first("cutoff")),
         MAX_BROADCAST_ROWS,

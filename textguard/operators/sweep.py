@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textguard.functions.probability import steps_at_or_below
 from textguard.operators.metrics import (
     LABEL,
+    PREDICTION,
     PROB,
     SOURCE,
     _bins,
@@ -17,10 +18,10 @@ from textguard.operators.metrics import (
     _clean,
     _group,
     _ranking,
-    _scores,
+    cells,
     confusion_columns,
     rates,
-    with_scope,
+    scope_rows,
 )
 from textguard.operators.ranges import value_bounds
 
@@ -40,12 +41,11 @@ def sweep_counts(
     A score only matters by how many thresholds it reaches, so rows collapse to at most
     len(grid) + 1 cells per group and label; each cell then counts once per threshold.
     """
-    reached = with_scope(
-        counted.withColumn("reached", steps_at_or_below(F.col("score"), list(grid))),
-        by,
-        source,
-        ["reached", LABEL],
-        ["n"],
+    group = _group(by, source)
+    reached = (
+        scope_rows(counted.where("n_scored > 0"), by, source, ["score", LABEL, "n"])
+        .groupBy(*group, LABEL, steps_at_or_below(F.col("score"), list(grid)).alias("reached"))
+        .agg(F.sum("n").alias("n"))
     )
     steps = F.array(
         *[
@@ -53,7 +53,6 @@ def sweep_counts(
             for i, t in enumerate(grid)
         ]
     )
-    group = _group(by, source)
     predicted = (F.col("reached") >= F.col("t.step")).cast("int")
     return (
         reached.withColumn("t", F.explode(steps))
@@ -77,7 +76,7 @@ def threshold_sweep(
     if bounds is None:
         bounds = value_bounds(scored, prob)
     group = _group(by, source)
-    counted = _scores(scored.where(F.col(prob).isNotNull()), by, source, prob)
+    counted = cells(scored.drop(PREDICTION), by, source, prob)
     return _clean(
         rates(sweep_counts(counted, grid, by, source))
         .join(_ranking(counted, by, source, bounds), group, "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 _DIR_KEY = "spark.checkpoint.dir"
@@ -41,24 +41,25 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_table(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
+def small_table(df: DataFrame, max_rows: int) -> tuple[DataFrame, list[Row] | None]:
     """Broadcast ``df`` if it has at most ``max_rows`` rows; otherwise hand it back for a shuffle join.
 
-    At most ``max_rows + 1`` rows ever reach the driver.
+    Returns the table and, if it is small, its rows. At most ``max_rows + 1`` rows ever reach the
+    driver.
     """
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        return df, False
+        return df, None
     local = df.sparkSession.createDataFrame(rows, df.schema)
-    return F.broadcast(local), True
+    return F.broadcast(local), rows
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a file scan at least one partition per core before CPU-heavy work.
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give a file scan some partitions per core, by ``key``, before CPU-heavy work.
 
     Only for a plain scan. Large inputs already have many splits and pass through unshuffled.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if scan.rdd.getNumPartitions() >= cores:
         return scan
-    return scan.repartition(cores)
+    return scan.repartition(3 * cores, key)

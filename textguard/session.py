@@ -12,6 +12,8 @@ SETTINGS = {
     # Shingle arrays make wide rows: smaller Arrow batches bound the memory of a Python worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Column call sites for error messages cost several driver calls per expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
