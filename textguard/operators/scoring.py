@@ -25,7 +25,7 @@ from textguard.scratch import shared_dir
 # Tokens kept of a text, and rows per inference batch.
 MAX_TOKENS = 512
 BATCH_ROWS = 32
-HASH_BUCKETS = 1 << 18
+HASH_BUCKETS = 1 << 16
 
 
 def tokenize(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
