@@ -47,8 +47,9 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_id, text, label) of the labelled documents, spread over the cores for text work."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    """(row_id, text, label) of the labelled documents, one partition per core: every iteration of a
+    fit returns one gradient per partition."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", per_core=1)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     return docs.join(labels, "doc_id").withColumnRenamed("doc_id", "row_id")
 

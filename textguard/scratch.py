@@ -54,7 +54,7 @@ def small_table(df: DataFrame, max_rows: int) -> tuple[DataFrame, list[Row] | No
     return F.broadcast(local), rows
 
 
-def spread(scan: DataFrame, key: str) -> DataFrame:
+def spread(scan: DataFrame, key: str, per_core: int = 3) -> DataFrame:
     """Give a file scan some partitions per core, by ``key``, before CPU-heavy work.
 
     Only for a plain scan. Large inputs already have many splits and pass through unshuffled.
@@ -62,4 +62,4 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if scan.rdd.getNumPartitions() >= cores:
         return scan
-    return scan.repartition(3 * cores, key)
+    return scan.repartition(per_core * cores, key)
