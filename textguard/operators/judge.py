@@ -62,17 +62,17 @@ def judge_rows(
     return run
 
 
-def todo_rows(
-    sample: DataFrame, results: DataFrame, limit: int | None = None, retry_errors: bool = False
-) -> DataFrame:
-    """Sample rows without a result, the first ``limit`` in row order.
+def settled_results(results: DataFrame, retry_errors: bool = False) -> DataFrame:
+    """Records that count as done: all of them, or with ``retry_errors`` all but the errors."""
+    if not retry_errors:
+        return results
+    failed = F.col("predicted_label").isNull() & F.col("block_reason").startswith("error")
+    return results.where(~F.coalesce(failed, F.lit(False)))
 
-    An error record counts as done unless ``retry_errors``.
-    """
-    if retry_errors:
-        failed = F.col("predicted_label").isNull() & F.col("block_reason").startswith("error")
-        results = results.where(~F.coalesce(failed, F.lit(False)))
-    left = sample.join(results.select("row_id"), "row_id", "left_anti")
+
+def todo_rows(sample: DataFrame, done: DataFrame, limit: int | None = None) -> DataFrame:
+    """Sample rows without a record, the first ``limit`` in row order."""
+    left = sample.join(done.select("row_id"), "row_id", "left_anti")
     return left if limit is None else left.orderBy("row_id").limit(limit)
 
 
@@ -128,9 +128,9 @@ def judge_batch(
     counts of the run are observed while writing, so the judge is asked once.
     """
     spark = sample.sparkSession
-    done = read_predictions(spark, results_path)
+    done = settled_results(read_predictions(spark, results_path), retry_errors)
     done_before = done.select("row_id").distinct().count()
-    todo = todo_rows(sample, done, daily_limit, retry_errors).select(
+    todo = todo_rows(sample, done, daily_limit).select(
         "row_id", F.col("label").cast("int").alias("label"), "source_dataset", "text"
     )
     if parallelism is None and rpm is not None:
