@@ -241,7 +241,7 @@ SQL["latency_summary"] = f"SELECT event_type, {LATENCY} FROM events GROUP BY eve
 SQL["evaluate"] = f"""WITH {METRICS}, latency AS (
   SELECT {LATENCY} FROM (SELECT value FROM events ORDER BY event_id LIMIT 200))
 SELECT {_keys(SCOPED)}, {COUNTS}, {RATES}, {CURVE}, {CALIB},
-       CASE WHEN c.scope = 'overall' THEN {_r('b.log_loss', '').removesuffix(' AS ')} END AS eval_loss,
+       CASE WHEN c.scope = 'overall' THEN round(b.log_loss, 9) END AS eval_loss,
        l.mean_ms, l.n_samples, l.p50_ms, l.p95_ms, l.p99_ms
 {_all_from(SCOPED)} LEFT JOIN latency l ON c.scope = 'overall'"""
 
@@ -256,19 +256,15 @@ GRID_ROWS = ", ".join(f"(CAST('{t!r}' AS DOUBLE))" for t in GRID)
 SWEPT = ["threshold", *SCOPED]
 
 
-def _sweep_ctes(rows: str) -> str:
-    return f"""{_levels('swept', 'threshold,')}, swept AS (
-  SELECT threshold, source_dataset, label, p, CASE WHEN p >= threshold THEN 1 ELSE 0 END AS prediction
-  FROM {rows} CROSS JOIN (VALUES {GRID_ROWS}) AS grid(threshold)), {_metric_ctes(SWEPT)}"""
+def _sweep_ctes(rows: str, by: str = "") -> str:
+    """Every metric per threshold; ``by`` names a further column, with a comma."""
+    keys = [*([by.rstrip(", ")] if by else []), *SWEPT]
+    return f"""swept AS (
+  SELECT {by} threshold, source_dataset, label, p, CASE WHEN p >= threshold THEN 1 ELSE 0 END AS prediction
+  FROM {rows} CROSS JOIN (VALUES {GRID_ROWS}) AS grid(threshold)), {_levels('swept', f'{by} threshold,')}, {_metric_ctes(keys)}"""
 
 
-def _reordered(rows: str) -> str:
-    levels, rest = _sweep_ctes(rows).split(", swept AS (", 1)
-    swept, metric_ctes = rest.split("grid(threshold)), ", 1)
-    return f"swept AS ({swept}grid(threshold)), {levels}, {metric_ctes}"
-
-
-SWEEP = f"{SCORED}, {_reordered('scored')}"
+SWEEP = f"{SCORED}, {_sweep_ctes('scored')}"
 SQL["threshold_sweep"] = (
     f"WITH {SWEEP} SELECT {_keys(SWEPT)}, {COUNTS}, {RATES}, {CURVE}, {CALIB} {_all_from(SWEPT)}"
 )
@@ -286,23 +282,11 @@ SQL["sweep_table"] = f"""WITH {SWEEP}
 SELECT threshold, {_WIDE}, {_r("max(precision) FILTER (source_dataset = 'alpha')", 'precision_alpha')}
 FROM conf GROUP BY threshold"""
 
-_HALF = _u("row_id", "v") + " < 0.5"
-
-
-def _half(rows: str, suffix: str) -> str:
-    """The sweep CTEs for one half of the rows, under their own names."""
-    text = _reordered(rows)
-    for name in ("swept", "lv", "counts", "conf", "binned", "calib", "scores", "running", "curve"):
-        text = text.replace(f"{name} AS (", f"{name}_{suffix} AS (").replace(f"FROM {name} ", f"FROM {name}_{suffix} ")
-        text = text.replace(f"FROM {name}\n", f"FROM {name}_{suffix}\n").replace(f"FROM {name})", f"FROM {name}_{suffix})")
-    return text
-
-
-SQL["tune_then_confirm"] = f"""WITH {SCORED}, val_rows AS (SELECT * FROM scored WHERE {_HALF}),
-test_rows AS (SELECT * FROM scored WHERE NOT {_HALF}), {_half('val_rows', 'val')}, {_half('test_rows', 'test')}, chosen AS (
-  SELECT threshold, f1 AS val_f1 FROM conf_val WHERE source_dataset = 'alpha' ORDER BY f1 DESC, threshold LIMIT 1)
+SQL["tune_then_confirm"] = f"""WITH {SCORED}, halves AS (
+  SELECT *, CASE WHEN {_u('row_id', 'v')} < 0.5 THEN 'val' ELSE 'test' END AS half FROM scored), {_sweep_ctes('halves', 'half,')}, chosen AS (
+  SELECT threshold, f1 AS val_f1 FROM conf WHERE half = 'val' AND source_dataset = 'alpha' ORDER BY f1 DESC, threshold LIMIT 1)
 SELECT {_keys(SCOPED)}, c.threshold, {_r('val_f1', 'val_f1')}, {COUNTS}, {_r('c.f1', 'f1')}, {_r('c.mcc', 'mcc')}
-FROM conf_test c JOIN chosen USING (threshold)"""
+FROM conf c JOIN chosen USING (threshold) WHERE half = 'test'"""
 
 # Judges
 

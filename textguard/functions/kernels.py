@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 PAIR_CHUNK = 1 << 16
+VECTOR_CHUNK = 1 << 10
 # Values per pass of the permutations: small enough for the processor cache.
 VALUE_CHUNK = 1 << 15
 # Bits dropped from a 64-bit minimum, so that a signature slot fits INT.
@@ -182,10 +183,13 @@ def unit_rows(flat: np.ndarray, rows: int) -> np.ndarray:
 def fold_cosine(
     best: np.ndarray, best_id: np.ndarray, test: np.ndarray, train: np.ndarray, ids: np.ndarray
 ) -> None:
-    """Fold one block of train vectors (rows in id order) into the best cosine per test vector."""
-    sims = np.round(test @ train.T, 9)
-    at = sims.argmax(axis=1)
-    keep_best(best, best_id, np.arange(len(test)), sims[np.arange(len(test)), at], ids[at])
+    """Fold train vectors (rows in id order) into the best cosine per test vector, a block at a time
+    so that the block of similarities stays small."""
+    rows = np.arange(len(test))
+    for start in range(0, len(train), VECTOR_CHUNK):
+        sims = np.round(test @ train[start : start + VECTOR_CHUNK].T, 9)
+        at = sims.argmax(axis=1)
+        keep_best(best, best_id, rows, sims[rows, at], ids[start + at])
 
 
 def cosine_batches(batches, test_ids: np.ndarray, test: np.ndarray):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions.text import preview
-from textguard.operators.metrics import LABEL, SOURCE, _rate, binary_metrics
+from textguard.operators.metrics import LABEL, SOURCE, binary_metrics
 
 # Fixed value: code points shown of a text two judges disagree on.
 PREVIEW_CHARS = 200

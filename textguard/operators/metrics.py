@@ -23,7 +23,7 @@ LOSS_FLOOR = 1e-12
 LATENCY_ROWS = 200
 
 
-def _rate(numerator: Column, denominator: Column) -> Column:
+def rate_or_zero(numerator: Column, denominator: Column) -> Column:
     """Ratio in DOUBLE; 0 where the denominator is 0."""
     return F.coalesce(F.try_divide(numerator.cast("double"), denominator.cast("double")), F.lit(0.0))
 
@@ -33,8 +33,8 @@ def cells(
 ) -> DataFrame:
     """Counted cells of a scored table: the only pass over its rows, with map-side combination.
 
-    ``n`` counts rows, ``n_scored`` those with a probability. Filters further on use ``n_scored``
-    rather than the score, so that they stay above this aggregate and every metric shares its shuffle.
+    Metrics that need a score count rows without one as zero instead of filtering on it: a filter
+    would move below this aggregate, and the metrics could no longer share its shuffle.
     """
     keys = [*by, *([source] if source else [])]
     prediction = F.col(PREDICTION) if PREDICTION in scored.columns else F.lit(None).cast("int")
@@ -42,10 +42,15 @@ def cells(
     return (
         scored.select(*keys, LABEL, prediction.alias(PREDICTION), score.alias("score"))
         .groupBy(*keys, LABEL, PREDICTION, "score")
-        .agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("n_scored"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
+def scored_count() -> Column:
+    """Rows of a cell, 0 where it has no score."""
+    return F.when(F.col("score").isNotNull(), F.col("n")).otherwise(F.lit(0))
+
+
 def scope_rows(
     counted: DataFrame, by: Sequence[str], source: str | None, columns: Sequence[Column | str]
 ) -> DataFrame:
@@ -62,11 +67,11 @@ def scope_rows(
     return counted.select(*by, F.inline(levels).alias("scope", source), *columns)
 
 
-def _group(by: Sequence[str], source: str | None) -> list[str]:
+def group_keys(by: Sequence[str], source: str | None) -> list[str]:
     return [*by, "scope", *([source] if source else [])]
 
 
-def _clean(df: DataFrame, source: str | None) -> DataFrame:
+def finish_scope(df: DataFrame, source: str | None) -> DataFrame:
     if source is None:
         return df
     return df.withColumn(source, F.when(F.col("scope") == "source", F.col(source)))
@@ -96,25 +101,25 @@ def rates(counts: DataFrame) -> DataFrame:
     tp_, tn_, fp_, fn_ = (c.cast("double") for c in (tp, tn, fp, fn))
     return counts.select(
         "*",
-        _rate(tp + tn, n).alias("accuracy"),
-        _rate(tp, tp + fp).alias("precision"),
-        _rate(tp, tp + fn).alias("recall"),
-        _rate(2 * tp, 2 * tp + fp + fn).alias("f1"),
-        _rate(tp_ * tn_ - fp_ * fn_, F.sqrt(product)).alias("mcc"),
+        rate_or_zero(tp + tn, n).alias("accuracy"),
+        rate_or_zero(tp, tp + fp).alias("precision"),
+        rate_or_zero(tp, tp + fn).alias("recall"),
+        rate_or_zero(2 * tp, 2 * tp + fp + fn).alias("f1"),
+        rate_or_zero(tp_ * tn_ - fp_ * fn_, F.sqrt(product)).alias("mcc"),
     )
 
 
-def _confusion(counted: DataFrame, by: Sequence[str], source: str | None) -> DataFrame:
+def cell_confusion(counted: DataFrame, by: Sequence[str], source: str | None) -> DataFrame:
     return (
         scope_rows(counted, by, source, [LABEL, PREDICTION, "n"])
-        .groupBy(*_group(by, source))
+        .groupBy(*group_keys(by, source))
         .agg(*confusion_columns(F.col("n"), F.col(LABEL), F.col(PREDICTION)))
     )
 
 
 def confusion(scored: DataFrame, by: Sequence[str] = (), source: str | None = SOURCE) -> DataFrame:
     """tp, tn, fp, fn, n per group."""
-    return _clean(_confusion(cells(scored, by, source, None), by, source), source)
+    return finish_scope(cell_confusion(cells(scored, by, source, None), by, source), source)
 
 
 def classification_rates(
@@ -128,13 +133,13 @@ def _both_classes(positives: Column, negatives: Column, value: Column) -> Column
     return F.when((positives > 0) & (negatives > 0), value)
 
 
-def _ranking(
+def cell_ranking(
     counted: DataFrame, by: Sequence[str], source: str | None, bounds: Sequence[float]
 ) -> DataFrame:
     """roc_auc and pr_auc per group from running class totals by falling score."""
-    group = _group(by, source)
+    group = group_keys(by, source)
     per_score = (
-        scope_rows(counted.where("n_scored > 0"), by, source, [LABEL, "score", "n"])
+        scope_rows(counted, by, source, [LABEL, "score", scored_count().alias("n")])
         .groupBy(*group, "score")
         .agg(
             F.sum(F.when(F.col(LABEL) == 1, F.col("n")).otherwise(0)).alias("pos"),
@@ -148,7 +153,7 @@ def _ranking(
         ranked.groupBy(*group)
         .agg(
             F.sum(neg * (tp - pos / 2)).alias("_area"),
-            F.sum(pos * tp / (tp + fp)).alias("_steps"),
+            F.sum(F.try_divide(pos * tp, tp + fp)).alias("_steps"),
             F.max("all_pos").alias("_p"),
             F.max("all_neg").alias("_n"),
         )
@@ -166,25 +171,26 @@ def _ranking(
     )
 
 
-def _bins(counted: DataFrame, by: Sequence[str], source: str | None, n_bins: int) -> DataFrame:
+def score_bins(counted: DataFrame, by: Sequence[str], source: str | None, n_bins: int) -> DataFrame:
     """Per group and probability bin: rows, positives, and the sums the calibration metrics need."""
     p, y, n = F.col("score"), F.col(LABEL), F.col("n")
     likelihood = F.least(F.greatest(p * y + (1 - p) * (1 - y), F.lit(LOSS_FLOOR)), F.lit(1.0))
-    rows = scope_rows(counted.where("n_scored > 0"), by, source, ["score", LABEL, "n"])
-    return rows.groupBy(*_group(by, source), probability_bin(p, n_bins).alias("bin")).agg(
+    rows = scope_rows(counted, by, source, ["score", LABEL, scored_count().alias("n")])
+    binned = rows.groupBy(*group_keys(by, source), probability_bin(p, n_bins).alias("bin")).agg(
         F.sum(n).alias("n"),
         F.sum(n * y).alias("positives"),
         F.sum(n * p).alias("sum_prob"),
         F.sum(n * (p - y) * (p - y)).alias("sum_square"),
         F.sum(n * -F.log(likelihood)).alias("sum_loss"),
     )
+    return binned.where("n > 0")
 
 
-def _calibration(binned: DataFrame, by: Sequence[str], source: str | None) -> DataFrame:
+def bin_calibration(binned: DataFrame, by: Sequence[str], source: str | None) -> DataFrame:
     """brier_score, ece and log_loss per group from its bins."""
     n, positives = F.sum("n"), F.sum("positives")
     gap = F.sum(F.abs(F.col("sum_prob") - F.col("positives")))
-    return binned.groupBy(*_group(by, source)).agg(
+    return binned.groupBy(*group_keys(by, source)).agg(
         _both_classes(positives, n - positives, F.sum("sum_square") / n).alias("brier_score"),
         _both_classes(positives, n - positives, gap / n).alias("ece"),
         (F.sum("sum_loss") / n).alias("log_loss"),
@@ -199,11 +205,11 @@ def reliability_bins(
     n_bins: int = 10,
 ) -> DataFrame:
     """Non-empty calibration bins: rows, mean probability, share of positives, absolute gap."""
-    binned = _bins(cells(scored, by, source, prob), by, source, n_bins)
+    binned = score_bins(cells(scored, by, source, prob), by, source, n_bins)
     confidence, share = F.col("sum_prob") / F.col("n"), F.col("positives") / F.col("n")
-    return _clean(
+    return finish_scope(
         binned.select(
-            *_group(by, source),
+            *group_keys(by, source),
             "bin",
             "n",
             confidence.alias("mean_prob"),
@@ -227,7 +233,7 @@ def ranking_metrics(
     """
     if bounds is None:
         bounds = value_bounds(scored, prob)
-    return _clean(_ranking(cells(scored, by, source, prob), by, source, bounds), source)
+    return finish_scope(cell_ranking(cells(scored, by, source, prob), by, source, bounds), source)
 
 
 def calibration_metrics(
@@ -238,8 +244,8 @@ def calibration_metrics(
     n_bins: int = 10,
 ) -> DataFrame:
     """brier_score and ece (null for a group with one class), and log_loss."""
-    binned = _bins(cells(scored, by, source, prob), by, source, n_bins)
-    return _clean(_calibration(binned, by, source), source)
+    binned = score_bins(cells(scored, by, source, prob), by, source, n_bins)
+    return finish_scope(bin_calibration(binned, by, source), source)
 
 
 def binary_metrics(
@@ -255,19 +261,19 @@ def binary_metrics(
     Groups whose rows carry no probability get nulls too, so judges with and without one can share
     a table.
     """
-    group = _group(by, source)
+    group = group_keys(by, source)
     if prob is None:
-        hard = rates(_confusion(cells(scored, by, source, None), by, source))
+        hard = rates(cell_confusion(cells(scored, by, source, None), by, source))
         empty = F.lit(None).cast("double")
         names = ("roc_auc", "pr_auc", "brier_score", "ece", "log_loss")
-        return _clean(hard.withColumns({c: empty for c in names}), source)
+        return finish_scope(hard.withColumns({c: empty for c in names}), source)
     if bounds is None:
         bounds = value_bounds(scored, prob)
     counted = cells(scored, by, source, prob)
-    return _clean(
-        rates(_confusion(counted, by, source))
-        .join(_ranking(counted, by, source, bounds), group, "left")
-        .join(_calibration(_bins(counted, by, source, n_bins), by, source), group, "left"),
+    return finish_scope(
+        rates(cell_confusion(counted, by, source))
+        .join(cell_ranking(counted, by, source, bounds), group, "left")
+        .join(bin_calibration(score_bins(counted, by, source, n_bins), by, source), group, "left"),
         source,
     )
 

@@ -13,15 +13,16 @@ from textguard.operators.metrics import (
     PREDICTION,
     PROB,
     SOURCE,
-    _bins,
-    _calibration,
-    _clean,
-    _group,
-    _ranking,
+    bin_calibration,
+    cell_ranking,
     cells,
     confusion_columns,
+    finish_scope,
+    group_keys,
     rates,
     scope_rows,
+    score_bins,
+    scored_count,
 )
 from textguard.operators.ranges import value_bounds
 
@@ -41,11 +42,12 @@ def sweep_counts(
     A score only matters by how many thresholds it reaches, so rows collapse to at most
     len(grid) + 1 cells per group and label; each cell then counts once per threshold.
     """
-    group = _group(by, source)
+    group = group_keys(by, source)
     reached = (
-        scope_rows(counted.where("n_scored > 0"), by, source, ["score", LABEL, "n"])
+        scope_rows(counted, by, source, ["score", LABEL, scored_count().alias("n")])
         .groupBy(*group, LABEL, steps_at_or_below(F.col("score"), list(grid)).alias("reached"))
         .agg(F.sum("n").alias("n"))
+        .where("n > 0")
     )
     steps = F.array(
         *[
@@ -75,12 +77,12 @@ def threshold_sweep(
     """
     if bounds is None:
         bounds = value_bounds(scored, prob)
-    group = _group(by, source)
+    group = group_keys(by, source)
     counted = cells(scored.drop(PREDICTION), by, source, prob)
-    return _clean(
+    return finish_scope(
         rates(sweep_counts(counted, grid, by, source))
-        .join(_ranking(counted, by, source, bounds), group, "left")
-        .join(_calibration(_bins(counted, by, source, 10), by, source), group, "left"),
+        .join(cell_ranking(counted, by, source, bounds), group, "left")
+        .join(bin_calibration(score_bins(counted, by, source, 10), by, source), group, "left"),
         source,
     )
 
