@@ -34,6 +34,7 @@ def fit_language_detector(
     indexer = StringIndexer(
         inputCol="language", outputCol="language_index", stringOrderType="alphabetAsc"
     ).fit(grams)
+    # The fitted indexer is a fixed stage here; scoring leaves it out, as it has no language column.
     stages = [
         indexer,
         HashingTF(numFeatures=buckets, inputCol="trigrams", outputCol="trigram_counts"),
@@ -53,7 +54,6 @@ def fit_language_detector(
         statement="SELECT *, CASE WHEN size(trigrams) = 0 THEN 'unknown' ELSE detected END AS language "
         "FROM __THIS__"
     )
-    # Scoring must not need the label column: the indexer stage stays out of the scoring pipeline.
     return PipelineModel([*fitted.stages[1:], names, decide])
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import takewhile
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, SQLTransformer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
@@ -20,7 +21,7 @@ from textguard.functions.probability import (
 )
 from textguard.functions.text import WORD, words
 from textguard.operators.metrics import binary_metrics
-from textguard.scratch import shared_dir
+from textguard.scratch import shared_dir, stage
 
 # Tokens kept of a text, and rows per inference batch.
 MAX_TOKENS = 512
@@ -61,11 +62,19 @@ def fit_classifier(
 ) -> tuple[PipelineModel, DataFrame | None]:
     """Fit on (text, label), store the model, evaluate the stored model once on val.
 
-    Returns (model, val metrics). The model is read back from ``path`` (a new shared folder by
-    default): a freshly fitted one still carries its training session, which tasks cannot take along.
+    The leading stages that need no fitting run once over the texts and their features are written
+    as a table, so the passes of the fit read columns instead of tokenizing again. Returns (model,
+    val metrics). The model is read back from ``path`` (a new shared folder by default): a freshly
+    fitted one still carries its training session, which tasks cannot take along.
     """
-    path = path or shared_dir(train.sparkSession, "classifier")
-    (pipeline or classifier_pipeline()).fit(train.select("text", "label")).write().overwrite().save(path)
+    spark = train.sparkSession
+    path = path or shared_dir(spark, "classifier")
+    stages = (pipeline or classifier_pipeline()).getStages()
+    fixed = list(takewhile(lambda s: isinstance(s, Transformer), stages))
+    features = PipelineModel(fixed).transform(train.select("text", "label"))
+    kept = [c for c in features.columns if c not in ("text", "tokens")]
+    fitted = Pipeline(stages=stages[len(fixed) :]).fit(stage(features.select(*kept), "features"))
+    PipelineModel([*fixed, *fitted.stages]).write().overwrite().save(path)
     model = load_classifier(path)
     if val is None:
         return model, None

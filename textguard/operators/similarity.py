@@ -151,11 +151,13 @@ def _match_shuffled(train: DataFrame, test: DataFrame, exact: bool) -> DataFrame
         ).alias("best"),
         F.sum("train_copies").alias("n_candidates"),
     )
-    members = test_keyed.select(F.col("id").alias("member"), "set_key").join(
-        sets["test"].select("set_key", F.col("id").alias("test_id")), "set_key"
-    )
-    return members.join(per_set, "test_id").select(
-        F.col("member").alias("test_id"), "best.train_id", "best.similarity", "n_candidates"
+    best = sets["test"].select("set_key", F.col("id").alias("test_id")).join(per_set, "test_id")
+    return (
+        test_keyed.select("set_key", F.col("id").alias("member"))
+        .join(best, "set_key")
+        .select(
+            F.col("member").alias("test_id"), "best.train_id", "best.similarity", "n_candidates"
+        )
     )
 
 
