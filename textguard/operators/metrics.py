@@ -154,8 +154,8 @@ def cell_ranking(
         .agg(
             F.sum(neg * (tp - pos / 2)).alias("_area"),
             F.sum(F.try_divide(pos * tp, tp + fp)).alias("_steps"),
-            F.max("all_pos").alias("_p"),
-            F.max("all_neg").alias("_n"),
+            F.sum("pos").alias("_p"),
+            F.sum("neg").alias("_n"),
         )
         .select(
             *group,

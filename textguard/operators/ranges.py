@@ -8,11 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_RANGES = 4096
-_STEPS = [1 << i for i in reversed(range(12))]
 
 
 def value_bounds(df: DataFrame, value: str, n_ranges: int | None = None) -> list[float]:
@@ -26,18 +25,22 @@ def value_bounds(df: DataFrame, value: str, n_ranges: int | None = None) -> list
     return sorted(set(row[0] or []))
 
 
-def range_id(value: Column, bounds: Sequence[float]) -> Column:
-    """How many bounds are <= value, by binary search."""
-    if not bounds:
-        return F.lit(0)
-    edges = F.expr("array(" + ",".join(f"double('{b!r}')" for b in bounds) + ")")
+def with_range(df: DataFrame, value: str, bounds: Sequence[float], name: str) -> DataFrame:
+    """Add how many of the ascending bounds are <= value, by binary search.
 
-    def probe(found: Column, step: Column) -> Column:
-        at = F.try_element_at(edges, found + step)
-        return found + F.when(at <= value, step).otherwise(F.lit(0))
-
-    # Never null, so that no null check on it is pushed below the aggregates it is computed from.
-    return F.coalesce(F.aggregate(F.array(*map(F.lit, _STEPS)), F.lit(0), probe), F.lit(0))
+    One projection per step: each reads the result of the step before it, so all of them compile
+    into one loop body. The bounds are padded to a power of two with infinity.
+    """
+    steps = len(bounds).bit_length()
+    if not steps:
+        return df.withColumn(name, F.lit(0))
+    padded = [*(f"double('{b!r}')" for b in bounds)] + ["double('Infinity')"] * ((1 << steps) - 1 - len(bounds))
+    edges = F.expr(f"array({','.join(padded)})")
+    df = df.withColumn(name, F.lit(0))
+    for step in (1 << i for i in reversed(range(steps))):
+        reached = F.coalesce(F.get(edges, F.col(name) + step - 1) <= F.col(value), F.lit(False))
+        df = df.withColumn(name, F.col(name) + F.when(reached, F.lit(step)).otherwise(F.lit(0)))
+    return df
 
 
 def running_totals(
@@ -48,13 +51,14 @@ def running_totals(
     bounds: Sequence[float],
     descending: bool = False,
 ) -> DataFrame:
-    """Add ``upto_<measure>``, the sum over the rows of the group up to and including this value, and
-    ``all_<measure>``, the sum over the whole group.
+    """Per row of ``cells``: ``upto_<measure>``, the sum over the rows of the group up to and
+    including this value, and ``all_<measure>``, the sum over the whole group.
 
-    ``cells`` has one row per group and value; group columns must not be null.
+    ``cells`` has one row per group and value; group columns must not be null. The total before a
+    range enters it as a row ahead of all others, so one shuffle and one sort do.
     """
     keys = [*group, "_range"]
-    ranged = cells.withColumn("_range", range_id(F.col(value), bounds))
+    ranged = with_range(cells.select(*group, value, *measures), value, bounds, "_range")
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     ahead = (
         Window.partitionBy(*group)
@@ -62,23 +66,37 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     totals = ranged.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
-    before = totals.select(
+    heads = totals.select(
+        *keys,
+        F.lit(None).cast(cells.schema[value].dataType).alias(value),
+        *[F.coalesce(F.sum(m).over(ahead), F.lit(0)).alias(m) for m in measures],
+        *[F.sum(m).over(Window.partitionBy(*group)).alias(f"_all_{m}") for m in measures],
+        F.lit(0).alias("_order"),
+    )
+    rows = ranged.select(
         *keys,
-        *[F.coalesce(F.sum(m).over(ahead), F.lit(0)).alias(f"_before_{m}") for m in measures],
-        *[F.sum(m).over(Window.partitionBy(*group)).alias(f"all_{m}") for m in measures],
+        value,
+        *measures,
+        *[F.lit(0).cast("bigint").alias(f"_all_{m}") for m in measures],
+        F.lit(1).alias("_order"),
     )
     inside = (
         Window.partitionBy(*keys)
-        .orderBy(direction(value))
+        .orderBy("_order", direction(value))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        ranged.join(before, keys)
+        rows.unionByName(heads)
         .select(
-            "*",
-            *[(F.sum(m).over(inside) + F.col(f"_before_{m}")).alias(f"upto_{m}") for m in measures],
+            *group,
+            value,
+            *measures,
+            "_order",
+            *[F.sum(m).over(inside).alias(f"upto_{m}") for m in measures],
+            *[F.sum(f"_all_{m}").over(inside).alias(f"all_{m}") for m in measures],
         )
-        .drop("_range", *[f"_before_{m}" for m in measures])
+        .where("_order = 1")
+        .drop("_order")
     )
 
 
