@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 def split_profile(df: DataFrame) -> DataFrame:
-    """Per split: rows, attack share and text length mean / median / min / max."""
+    """Per split: rows, attack share and text length mean / median / min / max.
+
+    The exact median counts rows per distinct length, of which there are no more than the longest
+    text has characters.
+    """
     length = F.length("text").cast("bigint")
     return (
         df.select("split", "label", length.alias("n_chars"))
