@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from textguard.llm.chat import format_conversations, read_back
 from textguard.llm.decontamination import contamination
 from textguard.llm.exact_dedup import exact_duplicates
+from textguard.llm.ngram_join import ngram_components
 from textguard.llm.packing import pack_documents
 from textguard.llm.sharding import assign_shards
 from textguard.llm.substring_dedup import remove_repeats
 from textguard.llm.token_counts import count_tokens
+from textguard.llm.toxicity import fit_toxicity, score_toxicity
 from textguard.llm.warc import read_resolved, write_archives
 from textguard.scratch import shared_dir, stage
 
@@ -25,6 +27,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_components(_table(spark, folder, "documents"))
+
+
 def op2_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -48,6 +54,14 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(_table(spark, folder, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = fit_toxicity(docs, _table(spark, folder, "labels"))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    predicted = (F.col("score") >= 0.3).cast("int")
+    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -74,11 +88,13 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_pack": op2_pack,
     "op3_substrings": op3_substrings,
     "op4_warc": op4_warc,
     "op5_shards": op5_shards,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat": op10_chat,

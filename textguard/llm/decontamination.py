@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
@@ -133,6 +134,22 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[fresh, 0], reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(spans) - 1)]], axis=1)
 
 
+def _test_blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> list[Broadcast]:
+    """The benchmark as broadcast blocks of about ``BLOCK_BYTES`` of text, at least one (which may be None)."""
+    tests = benchmark.select(
+        F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    )
+    total = tests.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    count = int(total // BLOCK_BYTES) + 1
+    sent = []
+    for k in range(count):
+        rows = tests.filter(F.pmod(F.xxhash64("item"), F.lit(count)) == k).collect()
+        block = TestBlock.build([r.item for r in rows], [r.text for r in rows], window)
+        sent.append(benchmark.sparkSession.sparkContext.broadcast(block))
+    return sent
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -154,12 +171,7 @@ def contamination(
     """
     spark = docs.sparkSession
     small_batches(spark)
-    tests = benchmark.select(
-        F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"),
-        F.coalesce(F.col(item_text_col), F.lit("")).alias("text"),
-    )
-    total = tests.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    count = int(total // BLOCK_BYTES) + 1
+    blocks = _test_blocks(benchmark, window, item_col, item_text_col)
     kinds = [
         docs.select(F.col(id_col)).schema[0],
         StructField("n_words", LongType()),
@@ -174,11 +186,8 @@ def contamination(
         F.col(text_col).alias("_text"),
     )
     found = spread_rows(found)
-    for k in range(count):
-        rows = tests.filter(F.pmod(F.xxhash64("item"), F.lit(count)) == k).collect()
-        block = TestBlock.build([r.item for r in rows], [r.text for r in rows], window)
-        last = k == count - 1
-        sent = spark.sparkContext.broadcast(block)
+    for k, sent in enumerate(blocks):
+        last = k == len(blocks) - 1
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, last=last) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -234,12 +243,28 @@ def _groups(values: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield int(values[a]), int(a), int(b)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text holds no window of the benchmark, all columns unchanged.
-
-    Affected ids are found first; a row is removed when its id is among them (a null id: when any such row is).
-    """
-    bad = contamination(docs, benchmark, window, id_col, text_col).filter("n_hit > 0").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
-
+def decontaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = 10,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of ``docs`` whose text holds no window of the benchmark, all columns unchanged and without a shuffle."""
+    small_batches(docs.sparkSession)
+    place = docs.columns.index(text_col)
+    for block in _test_blocks(benchmark, window, item_col, item_text_col):
 
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                for chunk in word_chunks(b.column(place), ALNUM, True):
+                    if block.value is None or not len(chunk.starts):
+                        continue
+                    _, at = _search(chunk, block.value, window)
+                    clean[chunk.first + np.searchsorted(chunk.bounds, at, "right") - 1] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -83,7 +83,20 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+OP1 = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_TEXT}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, i + 1, i + least(5, len(w))), ' ')) AS g
+      FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 5, 0) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 180 * c >= 80 * (p.n + q.n)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(u, v) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.u, e.b FROM r JOIN e ON e.a = r.v)
+SELECT u AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(v) AS component_id FROM r LEFT JOIN n ON n.doc_id = u GROUP BY u
+"""
+
 SQL: dict[str, str] = {
+    "op1_ngram_join": OP1,
     "op3_substrings": OP3,
     "op4_warc": OP4,
     "op5_shards": OP5,
