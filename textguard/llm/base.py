@@ -7,7 +7,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 512
@@ -167,3 +169,60 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def take_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+SLICE_BITS = 16
+#: A bit table is sent to every task: at most 32 MB. With more values than it can tell apart, more of them look
+#: alike; results do not change, only more rows are looked at closely.
+MAX_TABLE_BITS = 28
+
+SLOT_SCHEMA = StructType([StructField("slice", IntegerType()), StructField("low", BinaryType())])
+
+
+def table_bits(rows: int, per_row: int = 16) -> int:
+    """How many bits, as a power of two, a table for so many rows gets."""
+    return min(MAX_TABLE_BITS, max(SLICE_BITS, (rows * per_row).bit_length()))
+
+
+def slot_rows(slots: np.ndarray) -> pa.RecordBatch:
+    """Table positions as rows of ``SLOT_SCHEMA``, two bytes each; a position given twice counts twice."""
+    slots = np.sort(slots, axis=None)
+    slices, begin = np.unique(slots >> SLICE_BITS, return_index=True)
+    low = (slots & ((1 << SLICE_BITS) - 1)).astype("<u2")
+    parts = [p.tobytes() for p in np.split(low, begin[1:])] if len(slices) else []
+    return pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(parts, pa.binary())], SLOT_SCHEMA.names)
+
+
+def bit_table(rows: DataFrame, bits: int, at_least: int) -> Broadcast:
+    """The broadcast bits that rows of ``SLOT_SCHEMA`` name at least so many times (once or twice).
+
+    Rows of one slice are merged as a stream; the driver takes one slice of 8 KB at a time.
+    """
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(number: int, seen: np.ndarray) -> pa.RecordBatch:
+            packed = np.packbits(seen >= at_least).tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([packed], pa.binary())], SLOT_SCHEMA.names)
+
+        now, seen = None, None
+        for b in batches:
+            for number, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if number != now:
+                    if now is not None:
+                        yield out(now, seen)
+                    now, seen = number, np.zeros(1 << SLICE_BITS, np.uint8)
+                counts = np.bincount(np.frombuffer(low, "<u2"), minlength=1 << SLICE_BITS)
+                seen = np.minimum(seen + np.minimum(counts, 2), 2).astype(np.uint8)
+        if now is not None:
+            yield out(now, seen)
+
+    table, size = np.zeros(1 << (bits - 3), np.uint8), 1 << (SLICE_BITS - 3)
+    dealt = rows.repartition("slice").sortWithinPartitions("slice")
+    for number, packed in dealt.mapInArrow(merged, SLOT_SCHEMA).collect():  # at most the table's size
+        table[number * size : (number + 1) * size] = np.frombuffer(packed, np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(table)
+
+
+def bits_set(table: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Whether each position's bit is set."""
+    return ((table[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1).astype(bool)

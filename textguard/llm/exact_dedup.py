@@ -16,15 +16,20 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, IntegerType, StructField, StructType
-
-from textguard.llm.base import LOWER, small_batches, take_column
+from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
+
+from textguard.llm.base import (
+    LOWER,
+    SLOT_SCHEMA,
+    bit_table,
+    bits_set,
+    slot_rows,
+    small_batches,
+    table_bits,
+    take_column,
+)
 from textguard.scratch import stage
 
-SLICE_BITS = 16
-#: The filter is sent to every task: at most 32 MB. With more rows than it can tell apart, more rows
-#: count as possibly repeated and are shuffled; the result stays the same.
-MAX_FILTER_BITS = 28
 BITS_PER_ROW = 16
 PROBES = 2
 
@@ -57,50 +62,20 @@ def text_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def repeated_bits(keys: DataFrame) -> tuple[Broadcast, int]:
     """First pass: the broadcast bits set by at least two rows, and the number of bits as a power of two."""
-    rows = keys.count()
-    bits = min(MAX_FILTER_BITS, max(SLICE_BITS, (rows * BITS_PER_ROW).bit_length()))
+    bits = table_bits(keys.count(), BITS_PER_ROW)
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            slots = np.sort(_slots(b.column(0).to_pylist(), bits), axis=None)
-            slices, begin = np.unique(slots >> SLICE_BITS, return_index=True)
-            low = (slots & ((1 << SLICE_BITS) - 1)).astype("<u2")
-            parts = [p.tobytes() for p in np.split(low, begin[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(parts, pa.binary())], ["slice", "low"])
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(number: int, seen: np.ndarray) -> pa.RecordBatch:
-            packed = np.packbits(seen >= 2).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([packed], pa.binary())], ["slice", "low"])
-
-        now, seen = None, None
-        for b in batches:
-            for number, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if number != now:
-                    if now is not None:
-                        yield out(now, seen)
-                    now, seen = number, np.zeros(1 << SLICE_BITS, np.uint8)
-                counts = np.bincount(np.frombuffer(low, "<u2"), minlength=1 << SLICE_BITS)
-                seen = np.minimum(seen + np.minimum(counts, 2), 2).astype(np.uint8)
-        if now is not None:
-            yield out(now, seen)
-
-    schema = StructType([StructField("slice", IntegerType()), StructField("low", BinaryType())])
-    dealt = keys.select(_KEY).mapInArrow(positions, schema).repartition("slice").sortWithinPartitions("slice")
-    twice = np.zeros(1 << (bits - 3), np.uint8)
-    size = 1 << (SLICE_BITS - 3)
-    for number, packed in dealt.mapInArrow(merged, schema).toLocalIterator():
-        twice[number * size : (number + 1) * size] = np.frombuffer(packed, np.uint8)
-    return keys.sparkSession.sparkContext.broadcast(twice), bits
+            if b.num_rows:
+                yield slot_rows(_slots(b.column(0).to_pylist(), bits))
+
+    return bit_table(keys.select(_KEY).mapInArrow(positions, SLOT_SCHEMA), bits, 2), bits
 
 
 def _maybe_repeated(keys: list[bytes], twice: np.ndarray, bits: int) -> np.ndarray:
     if not keys:
         return np.zeros(0, bool)
-    slots = _slots(keys, bits)
-    return ((twice[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1).all(axis=1)
+    return bits_set(twice, _slots(keys, bits)).all(axis=1)
 
 
 def _flagged(keys: DataFrame, twice: Broadcast, bits: int) -> DataFrame:

@@ -21,7 +21,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from textguard.llm.base import SPACED, gram_hashes, run_hashes, small_batches, spread_rows, word_chunks
+from textguard.llm.base import (
+    SLOT_SCHEMA,
+    SPACED,
+    bit_table,
+    bits_set,
+    gram_hashes,
+    ranges,
+    run_hashes,
+    slot_rows,
+    small_batches,
+    spread_rows,
+    table_bits,
+    word_chunks,
+)
 from textguard.scratch import stage
 
 #: N-grams whose owners are counted together in a task, about.
@@ -124,21 +137,33 @@ def _shared_counts(docs: DataFrame, n: int, bits: int) -> DataFrame:
     return sums.groupBy("k1").agg(F.sum("shared").alias("shared"))
 
 
-def _grams_of(chosen: DataFrame, n: int) -> DataFrame:
-    """(``node``, ``size``, ``gram``) of rows (text, node, size, k1, k2); a row whose text is not of that set is left out."""
+def _able_sets(docs: DataFrame, able: DataFrame, n: int) -> DataFrame:
+    """(``node``, ``size``, ``grams``) of the sets in ``able``, each once.
+
+    Texts are not shuffled: a bit table of the sets' keys lets the tasks leave out nearly all others.
+    """
+    bits = table_bits(able.count())
+    mask = (1 << bits) - 1
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield slot_rows(b.column(0).to_numpy() & mask)
+
+    wanted = bit_table(able.select("k1").mapInArrow(positions, SLOT_SCHEMA), bits, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            want = np.stack([b.column(k).to_numpy() for k in (3, 4)], axis=1)
-            for first, bounds, values in _sets(b.column(0), n):
-                size = np.diff(bounds)
-                right = (_set_keys(bounds, values) == want[first : first + len(size)]).all(axis=1)
-                keep = np.repeat(right, size)
-                per = [np.repeat(b.column(k).to_numpy()[first : first + len(size)], size)[keep] for k in (1, 2)]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, per), pa.array(values[keep].view(np.int64))], schema.names)
+            for first, bounds, values in _sets(b.column(1), n):
+                keys = _set_keys(bounds, values)
+                rows = np.flatnonzero(bits_set(wanted.value, keys[:, 0] & mask) & (np.diff(bounds) > 0))
+                size = np.diff(bounds)[rows]
+                grams = values[ranges(bounds[rows], size)].view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(grams))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows + first)), pa.array(keys[rows, 0]), pa.array(keys[rows, 1]), lists], schema.names)
 
-    schema = StructType([StructField(c, _LONG) for c in ("node", "size", "gram")])
-    return chosen.select("_text", "node", "size", "k1", "k2").mapInArrow(run, schema)
+    schema = StructType([docs.schema["_id"], StructField("k1", _LONG), StructField("k2", _LONG), StructField("grams", ArrayType(_LONG))])
+    found = docs.mapInArrow(run, schema).join(able, ["k1", "k2"]).filter("_id = rep")
+    return found.dropDuplicates(["node"]).select("node", "size", "grams")
 
 
 def _alike(a: Column, b: Column, overlap: Column, percent: int) -> Column:
@@ -184,9 +209,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _candidates(postings: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of rows of two posting tables whose sizes and places still allow enough overlap."""
+    """Pairs (x, y) of rows of two posting tables, at n-grams early enough in both for their sizes."""
     x, y = postings.alias("x"), joined.alias("y")
-    most = F.least("x.place", "y.place") + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    # Alike sets share an n-gram so early that what either has from there on could be the whole overlap.
+    most = F.least(*[F.col(f"{t}.size") - F.col(f"{t}.own") - F.col(f"{t}.place") for t in "xy"])
     return x.join(y, F.col("x.gram") == F.col("y.gram")).filter(_alike(F.col("x.size"), F.col("y.size"), most, percent))
 
 
@@ -224,23 +250,22 @@ def ngram_components(
         .select(F.when(clash, F.col("k2")).otherwise(F.col("k1")).alias("node"), "size", "rep", "k1", "k2")
     )
     able = stage(able, "join-able")
-    grams = stage(_grams_of(texts.join(able, F.col("_id") == F.col("rep")), n).distinct(), "join-grams")
-    df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ordered = (
-        grams.join(df, "gram")
-        .groupBy("node", "size")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("o"))
-        .withColumn("central", F.expr("aggregate(o, 0L, (s, x) -> s + x.df) / size"))
+    grams = stage(_able_sets(texts, able, n), "join-grams").select("node", "size", F.explode("grams").alias("gram"))
+    df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # N-grams of one document come first in the order; they are only counted (``own``).
+    ordered = grams.join(df, "gram").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("o"))
+    ordered = ordered.withColumns(
+        {"own": F.col("size") - F.size("o"), "central": F.expr("aggregate(o, 0L, (s, x) -> s + x.df) / size")}
     )
     ordered = stage(ordered, "join-ordered")
-    # The fragments of the second cut hold equal ranges of the hash, within which overlaps are counted.
+    # The fragments of the second cut, in which overlaps are counted, are classes of the hash.
     of_fragment = F.expr(f"transform(sequence(0, {OVERLAP_FRAGMENTS - 1}), f -> transform(filter(o, x -> pmod(x.gram, {OVERLAP_FRAGMENTS}) = f), x -> x.gram))")
     sets = stage(ordered.select("node", "size", F.posexplode(of_fragment).alias("fragment", "grams")), "join-fragments")
-    prefix = F.expr(f"slice(o, 1, size - cast(ceil(size * {percent} / 100D) as int) + 1)")
-    postings = ordered.select("node", "size", "central", F.posexplode(prefix).alias("place", "g")).filter("g.df > 1")
-    postings = stage(postings.select("node", "size", "central", "place", F.col("g.gram").alias("gram")), "join-postings")
+    prefix = F.expr(f"slice(o, 1, cast(greatest(size - cast(ceil(size * {percent} / 100D) as bigint) + 1 - own, 0) as int))")
+    postings = ordered.select("node", "size", "own", "central", F.posexplode(prefix).alias("place", "g"))
+    postings = stage(postings.select("node", "size", "own", "central", "place", F.col("g.gram").alias("gram")), "join-postings")
 
-    centre = F.max(F.struct("central", "node", "size", "place"))
+    centre = F.max(F.struct("central", "node", "size", "own", "place"))
     centres = postings.groupBy("gram").agg(centre.alias("c")).select("gram", "c.*")
     first = _candidates(postings, centres, percent).filter("x.node <> y.node")
     pairs = first.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
