@@ -21,7 +21,7 @@ from textguard.llm.base import small_batches, spread_rows
 from textguard.scratch import stage
 
 CRLF = "\r\n"
-#: Bytes of payload in an archive, about; a record is never cut.
+#: Bytes of payload in an archive at most, at the mean length of a record; a record is never cut.
 ARCHIVE_BYTES = 16 << 20
 _HEX, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -105,11 +105,11 @@ def write_archives(
         F.lit(CRLF),
         body,
     )
-    total = pages.agg(F.sum(F.octet_length(payload_col))).first()[0] or 0
-    archives = int(total // ARCHIVE_BYTES) + 1
+    sizes = pages.agg(F.sum(F.octet_length(payload_col)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
+    mean = (sizes["bytes"] or 0) // max(1, sizes["rows"]) + 500
     # The writer ends each record with two line ends, as the format asks for.
-    dealt = joined.select(record.alias("value")).repartition(archives, F.xxhash64("value"))
-    dealt.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    records = joined.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
+    records.option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // mean)).text(path)
 
 
 _FIELDS = ["record_type", "record_id", "url", "payload_digest", "refers_to", "payload"]
