@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from textguard.operators.agreement import (
@@ -15,7 +16,7 @@ from textguard.operators.agreement import (
     pairwise_agreement,
     refusals,
 )
-from textguard.plans.compare import comparison_report
+from textguard.plans.compare import compare_logs, comparison_report
 
 JUDGES = [Judge("model", "model", "p"), Judge("llm", "llm"), Judge("rules", "rules")]
 SCHEMA = "row_id long, source_dataset string, label int, model int, p double, llm int, rules int, text string"
@@ -89,11 +90,27 @@ def test_align_and_completeness(spark):
     joined = align(sample, {"x": full, "y": short})
     assert {r.row_id: (r.x_answer, r.y_answer) for r in joined.collect()}[4] == (1, None)
     assert_complete(sample, {"x": full})
-    with pytest.raises(RuntimeError, match="expected 5 rows, found 4 for y"):
+    with pytest.raises(RuntimeError, match="y does not cover the sample: 1 of 5"):
         assert_complete(sample, {"x": full, "y": short})
-    with pytest.raises(RuntimeError, match="1 missing, 1 unknown"):
+    with pytest.raises(RuntimeError, match="1 of 5 rows lack a record, 1 records"):
         assert_complete(sample, {"z": strange})
-    with pytest.raises(RuntimeError, match="found 6"):
-        assert_complete(sample, {"twice": full.unionByName(full.limit(1))})
+    assert_complete(sample, {"twice": full.unionByName(full.limit(1))})
     row = completeness(sample, {"z": strange}).first()
     assert (row.n_sample, row.n_results, row.n_missing, row.n_unknown) == (5, 5, 1, 1)
+
+
+def test_logs_are_compared_whole(spark):
+    rows = [(i, "t", i % 2, "s") for i in range(4)]
+    sample = spark.createDataFrame(rows, "row_id long, text string, label int, source_dataset string")
+    kind = "row_id long, predicted_label string, block_reason string"
+    log = [(0, "benign", None), (1, None, "error: busy"), (1, "attack", None), (2, None, "SAFETY"), (3, "attack", None)]
+    other = spark.createDataFrame([(i, "attack", None) for i in range(4)], kind)
+    judges = [Judge("x", "x_prediction"), Judge("y", "y_prediction")]
+    report = compare_logs(sample, {"x": spark.createDataFrame(log, kind), "y": other}, judges)
+    refused = {(r.judge, r.scope): (r.n_refused, r.n_total) for r in report["refusals"].collect()}
+    assert refused["x", "overall"] == (1, 4) and refused["y", "overall"] == (0, 4)
+    with pytest.raises(RuntimeError, match="1 of 4 rows lack"):
+        compare_logs(sample, {"x": spark.createDataFrame(log[:-1], kind), "y": other}, judges)
+    strange = spark.createDataFrame([*log[:-1], (3, "maybe", None)], kind)
+    with pytest.raises(PySparkException, match="unknown label: maybe"):
+        compare_logs(sample, {"x": strange, "y": other}, judges)["refusals"].collect()

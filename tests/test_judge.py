@@ -86,6 +86,24 @@ def test_quota_stops_the_run(spark, tmp_path):
     assert out["total_done"] == 2 and ids(spark, path) == [0, 1]
 
 
+def test_a_failed_run_keeps_committed_chunks(spark, tmp_path):
+    path = str(tmp_path / "log")
+
+    def failing():
+        def ask(text):
+            if int(text.split()[-1]) >= 4:
+                raise SystemExit("lost")
+            return {"label": "attack"}
+
+        return ask
+
+    with pytest.raises(Exception):
+        judge.judge_batch(sample(spark), path, failing, None, rpm=6e6, commit_rows=4)
+    assert ids(spark, path) == [0, 1, 2, 3]
+    out = judge.judge_batch(sample(spark), path, parity_judge, None, rpm=6e6, commit_rows=4)
+    assert out["judged_this_run"] == 6 and ids(spark, path) == list(range(10))
+
+
 def test_tasks_share_the_rate(spark, tmp_path):
     path = str(tmp_path / "log")
     judge.judge_batch(sample(spark), path, parity_judge, None, rpm=6000, parallelism=3)

@@ -1,4 +1,5 @@
 import math
+from bisect import bisect_right
 
 import numpy as np
 import pytest
@@ -27,7 +28,7 @@ def brute(labels, predictions, probs):
         "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn),
         "mcc": ratio(tp * tn - fp * fn, math.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))),
         "roc_auc": None, "pr_auc": None, "brier_score": None, "ece": None,
-        "log_loss": -np.log(np.clip(p * y + (1 - p) * (1 - y), 1e-12, 1)).mean(),
+        "log_loss": math.fsum(-math.log(max(c if t else 1 - c, 1e-12)) for t, c in zip(y, p)) / len(y),
     }
     if len(set(labels)) == 2:
         pos, neg = p[y == 1], p[y == 0]
@@ -38,8 +39,10 @@ def brute(labels, predictions, probs):
             ap += ((p == s) & (y == 1)).sum() / len(pos) * y[p >= s].mean()
         out["pr_auc"] = ap
         out["brier_score"] = ((p - y) ** 2).mean()
-        bins = np.clip(np.digitize(p, np.linspace(0, 1, 11)[1:-1]), 0, 9)
-        out["ece"] = sum((bins == b).mean() * abs(p[bins == b].mean() - y[bins == b].mean()) for b in set(bins))
+        edges, cells = [k * 0.1 for k in range(1, 10)], {}
+        for truth, chance in zip(y.tolist(), p.tolist()):
+            cells.setdefault(bisect_right(edges, chance), []).append(chance - truth)
+        out["ece"] = math.fsum(abs(math.fsum(gaps)) for gaps in cells.values()) / len(y)
     return out
 
 

@@ -107,6 +107,39 @@ def test_judge_stream_resumes_and_keeps_rows_when_the_quota_ends(spark, tmp_path
     assert log.count() == 15 and log.select("row_id").distinct().count() == 15
 
 
+def three_answers():
+    asked = []
+
+    def ask(text):
+        asked.append(text)
+        if len(asked) > 3:
+            raise judge.QuotaExhausted("RESOURCE_EXHAUSTED")
+        return {"label": "attack"}
+
+    return ask
+
+
+def test_judge_stream_goes_on_under_a_quota(spark, tmp_path):
+    source, out, check = (str(tmp_path / d) for d in ("in", "out", "check"))
+    texts(spark, 10).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(texts(spark).schema).parquet(source)
+    for expected in (3, 6, 9):
+        with pytest.raises(StreamingQueryException):
+            start_judging(stream, three_answers, out, check, rpm=1e6).awaitTermination()
+        assert read_predictions(spark, out).count() == expected
+    start_judging(stream, three_answers, out, check, rpm=1e6).awaitTermination()
+    log = read_predictions(spark, out)
+    assert log.count() == 10 and log.select("row_id").distinct().count() == 10
+
+
+def test_whole_texts_are_classified(spark):
+    long_text = " ".join(["calm"] * 700)
+    rows = [(long_text + (" attackphrase" if i % 2 else " harmless"), i % 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "text string, label int")
+    fitted = scoring.classifier_pipeline(1 << 10).fit(df)
+    assert fitted.transform(df).where("prediction = label").count() == 40
+
+
 def test_language_detection(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     train, rest = docs.where("doc_id % 5 > 0"), docs.where("doc_id % 5 = 0")

@@ -110,10 +110,15 @@ def test_dedup_with_one_text_in_a_third_of_the_rows(spark):
     assert global_row_id(rows).select("row_id").distinct().count() == 3000
 
 
-def test_row_order_out_of_range_is_an_error(spark):
-    rows = spark.createDataFrame([(1 << 60, "x", 0)], "row_id long, text string, source_priority int")
-    with pytest.raises(PySparkException, match="out of range"):
-        dedup_exact(rows).collect()
+def test_row_ids_of_any_size(spark):
+    rows = spark.createDataFrame(
+        [((1 << 62) + 1, "x", 0), (1 << 62, "x", 0), (0, "x", 5000), ((1 << 62) + 1, "y", 1), (3, "z", 5000)],
+        "row_id long, text string, source_priority int",
+    )
+    kept = {(r.text, r.source_priority, r.row_id) for r in dedup_exact(rows).collect()}
+    assert kept == {("x", 0, 1 << 62), ("y", 1, (1 << 62) + 1), ("z", 5000, 3)}
+    ids = [int(r.row_id) for r in global_row_id(rows.orderBy("source_priority", "row_id")).collect()]
+    assert ids == sorted(set(ids)) and len(ids) == 5
 
 
 def test_label_codec_and_preview(spark):

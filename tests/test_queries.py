@@ -27,7 +27,7 @@ def test_query_equals_its_sql(spark, connections, name):
 
 
 def test_registry():
-    assert set(queries()) - set(oracle_sql()) == NO_SQL
+    assert set(QUERIES) - set(oracle_sql()) == NO_SQL
     assert not set(oracle_sql()) - set(queries())
 
 
@@ -71,6 +71,18 @@ def test_one_scan_feeds_all_metrics(spark):
     assert initial.count("FileScan parquet") == 2
 
 
-def test_dedup_shuffles_keys_not_texts(spark):
-    text = plan(bindings.combined(spark, SMALL))
-    assert "LeftSemi" in text and "SortAggregate" not in text
+def test_dedup_reads_and_shuffles_each_text_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(bindings.combined(spark, SMALL))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "LeftSemi" not in text
+    assert len(re.findall(r"FileScan parquet \[[^\]]*text", text)) == 3
+    assert len(re.findall(r"Exchange hashpartitioning\(_key", text)) == 1
+
+
+def test_samples_do_not_merge_texts_in_one_task(spark):
+    for name in ("uniform_sample", "head_rows"):
+        for line in plan(QUERIES[name](spark, SMALL)).splitlines():
+            assert not ("TakeOrderedAndProject" in line and "text#" in line), line

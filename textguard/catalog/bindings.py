@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textguard.functions.probability import hard_prediction
-from textguard.functions.text import encode_label, unit_hash
-from textguard.operators.agreement import Judge, align
+from textguard.functions.text import unit_hash
+from textguard.operators.agreement import align, answer_code, Judge
 from textguard.operators.normalize import (
     normalize_int_label,
     normalize_scoped,
@@ -140,7 +140,7 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
             "judge_c": judge_c(spark, sf_dir),
         },
     )
-    return both.withColumn("judge_b_prediction", encode_label(F.col("judge_b_predicted_label")))
+    return both.withColumn("judge_b_prediction", answer_code(F.col("judge_b_predicted_label"))).drop("judge_b_present", "judge_c_present")
 
 
 def is_test(key: Column) -> Column:

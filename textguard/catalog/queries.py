@@ -604,5 +604,7 @@ def stream_judge(spark, sf_dir):
         "text",
     )
     out = shared_dir(spark, "stream-judge")
-    start_judging(rows, _length_judge, out, shared_dir(spark, "stream-judge-checkpoint")).awaitTermination()
+    start_judging(
+        rows, _length_judge, out, shared_dir(spark, "stream-judge-checkpoint"), daily_limit=None
+    ).awaitTermination()
     return results.read_predictions(spark, out)

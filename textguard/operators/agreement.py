@@ -10,10 +10,11 @@ from collections.abc import Mapping, Sequence
 from itertools import combinations
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textguard.functions.text import preview
+from textguard.functions.text import encode_label, preview
+from textguard.operators.judge import resolve_results
 from textguard.operators.metrics import LABEL, SOURCE, binary_metrics
 
 # Fixed value: code points shown of a text two judges disagree on.
@@ -29,9 +30,13 @@ class Judge(NamedTuple):
 def align(sample: DataFrame, results: Mapping[str, DataFrame], on: str = "row_id") -> DataFrame:
     """Attach each judge's columns to the sample by row id, prefixed with the judge's name.
 
-    Row ids are unique on both sides, so no key is hot.
+    A log that asked again after an error has several records for a row; each row gets one, an answer or a
+    refusal before an error. ``<name>_present`` tells a row without any record from a refusal.
     """
     for name, result in results.items():
+        if {"predicted_label", "block_reason"} <= set(result.columns):
+            result = resolve_results(result, on)
+        result = result.withColumn("present", F.lit(True))
         renamed = result.select(
             on, *[F.col(c).alias(f"{name}_{c}") for c in result.columns if c != on]
         )
@@ -62,15 +67,22 @@ def completeness(sample: DataFrame, results: Mapping[str, DataFrame], on: str =
 
 
 def assert_complete(sample: DataFrame, results: Mapping[str, DataFrame], on: str = "row_id") -> None:
-    """Raise unless every judge has exactly one result for every sample row."""
+    """Raise unless every judge has a result for every sample row, and for no other. Repeated records of a row
+    are no error: ``align`` resolves them."""
     for row in completeness(sample, results, on).collect():
-        if row.n_results != row.n_sample or row.n_missing or row.n_unknown:
+        if row.n_missing or row.n_unknown:
             raise RuntimeError(
-                f"expected {row.n_sample} rows, found {row.n_results} for {row.judge} "
-                f"({row.n_missing} missing, {row.n_unknown} unknown): is the run still in progress?"
+                f"{row.judge} does not cover the sample: {row.n_missing} of {row.n_sample} rows lack a record, "
+                f"{row.n_unknown} records belong to no row"
             )
 
 
+def answer_code(label: Column) -> Column:
+    """attack → 1, benign → 0, no label → null (a refusal); any other label is an error."""
+    unknown = F.raise_error(F.concat(F.lit("unknown label: "), label)).cast("int")
+    return F.when(label.isNull(), F.lit(None).cast("int")).otherwise(F.coalesce(encode_label(label), unknown))
+
+
 def judged(aligned: DataFrame, judges: Sequence[Judge], keep: Sequence[str] = (LABEL, SOURCE)) -> DataFrame:
     """Long form: one row per row and judge (judge, prediction, prob_positive)."""
     entries = [

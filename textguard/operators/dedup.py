@@ -2,44 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions.text import text_key
 
-_ROW_BITS = 52
-
-
-def _position(priority: Column, row_id: Column) -> Column:
-    """(source_priority, row_id) as one BIGINT in the same order; it is unique per row.
-
-    A single BIGINT lets the minimum run as a hash aggregate instead of a sort.
-    """
-    fits = row_id.between(0, (1 << _ROW_BITS) - 1) & priority.between(0, (1 << 10) - 1)
-    packed = F.shiftleft(priority.cast("bigint"), _ROW_BITS).bitwiseOR(row_id)
-    return F.when(fits, packed).otherwise(F.raise_error(F.lit("row order out of range")).cast("bigint"))
+# Larger than any row id, so sources do not overlap.
+_SOURCE_STEP = 1 << 64
 
 
 def global_row_id(df: DataFrame) -> DataFrame:
-    """Replace (source_priority, row_id) by one ``row_id`` that is unique over all sources."""
-    position = _position(F.col("source_priority"), F.col("row_id"))
+    """Replace (source_priority, row_id) by one ``row_id`` that is unique over all sources and in the same order."""
+    step = F.lit(str(_SOURCE_STEP)).cast("decimal(20,0)")
+    position = F.col("source_priority").cast("decimal(10,0)") * step + F.col("row_id").cast("decimal(20,0)")
     return df.withColumn("row_id", position).drop("source_priority")
 
 
 def dedup_exact(df: DataFrame) -> DataFrame:
-    """One row per text: the first in (source_priority, row_id) order.
+    """One row per text: the first in (source_priority, row_id) order, whatever the size of the ids.
 
-    The aggregate shuffles 40 bytes per row, not the text, and combines copies before the shuffle,
-    so a text with very many copies costs one row per task. Rows come back by a semi join on the
-    unique position, which no number of copies can skew.
+    One scan and one shuffle on the text's hash. Copies are combined before the shuffle, so a text with very many
+    copies costs one row per task.
     """
-    placed = df.withColumn("_pos", _position(F.col("source_priority"), F.col("row_id")))
-    first = (
-        placed.groupBy(text_key(F.col("text")).alias("_key"))
-        .agg(F.min("_pos").alias("_pos"))
-        .select("_pos")
-    )
-    return placed.join(first, "_pos", "left_semi").drop("_pos")
+    row, position = F.struct(*df.columns), F.struct("source_priority", "row_id")
+    first = df.groupBy(text_key(F.col("text")).alias("_key")).agg(F.min_by(row, position).alias("_row"))
+    return first.select("_row.*")
 
 
 def dedup_report(before: DataFrame, after: DataFrame) -> DataFrame:

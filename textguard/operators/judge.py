@@ -16,6 +16,8 @@ from textguard.sources.results import append_predictions, read_predictions
 REQUESTS_PER_MINUTE = 15
 SPACING_MARGIN = 1.1
 DAILY_LIMIT = 1_000
+# Rows between two commits of a paced run.
+COMMIT_ROWS = 100
 ERROR_PREFIX = "error: "
 
 Judgment = Mapping[str, str | None]
@@ -73,14 +75,18 @@ def settled_results(results: DataFrame, retry_errors: bool = False) -> DataFrame
 def todo_rows(sample: DataFrame, done: DataFrame, limit: int | None = None) -> DataFrame:
     """Sample rows without a record, the first ``limit`` in row order."""
     left = sample.join(done.select("row_id"), "row_id", "left_anti")
-    return left if limit is None else left.orderBy("row_id").limit(limit)
+    if limit is None:
+        return left
+    first = left.select("row_id").orderBy("row_id").limit(limit)
+    return left.join(first, "row_id", "left_semi")
 
 
-def resolve_results(results: DataFrame) -> DataFrame:
+def resolve_results(results: DataFrame, on: str = "row_id") -> DataFrame:
     """One record per row id; an answer or a refusal wins over an error record."""
     failed = F.coalesce(F.col("block_reason").startswith("error"), F.lit(False)).cast("int")
     record = F.struct(*results.columns)
-    return results.groupBy("row_id").agg(F.min_by(record, failed).alias("r")).select("r.*")
+    order = F.struct(failed.alias("failed"), record.alias("record"))
+    return results.groupBy(on).agg(F.min(order).alias("r")).select("r.record.*")
 
 
 def result_counts() -> list[Column]:
@@ -119,32 +125,47 @@ def judge_batch(
     rpm: float | None = REQUESTS_PER_MINUTE,
     parallelism: int | None = None,
     retry_errors: bool = False,
+    commit_rows: int = COMMIT_ROWS,
 ) -> dict[str, int]:
     """Judge the next rows of the sample and append their records to the log.
 
+    Where there is a rate, every ``commit_rows`` rows are committed, so a failure loses the answers of one chunk
+    only; without one, answers are cheap and a run is one commit. An exhausted quota ends the run.
+
     Requests are spread over ``parallelism`` tasks of consecutive row ids, which share the rate: one
     task by default where there is a rate, as many as the sample has partitions where there is none.
     Records reach the log with the commit of the job, so a repeated task adds none twice; the
     counts of the run are observed while writing, so the judge is asked once.
     """
     spark = sample.sparkSession
-    done = settled_results(read_predictions(spark, results_path), retry_errors)
-    done_before = done.select("row_id").distinct().count()
-    todo = todo_rows(sample, done, daily_limit).select(
-        "row_id", F.col("label").cast("int").alias("label"), "source_dataset", "text"
-    )
     if parallelism is None and rpm is not None:
         parallelism = 1
-    if parallelism is not None:
-        todo = todo.repartitionByRange(parallelism, "row_id").sortWithinPartitions("row_id")
     interval = 0.0 if rpm is None else 60.0 / rpm * SPACING_MARGIN * parallelism
-    records = todo.mapInPandas(judge_rows(make_judge, interval), JUDGE_RESULT)
-    observed = Observation("judge run")
-    append_predictions(records.observe(observed, *result_counts()), results_path)
-    counts = {
-        name: int(observed.get.get(name) or 0)
-        for name in ("judged_this_run", "ok", "blocked", "errors")
-    }
+    counts = dict.fromkeys(("judged_this_run", "ok", "blocked", "errors"), 0)
+    done_before, asked = None, 0
+    while True:
+        log = read_predictions(spark, results_path)
+        # Errors of this run are not asked again by it.
+        done = settled_results(log, retry_errors and not asked)
+        if done_before is None:
+            done_before = done.select("row_id").distinct().count()
+        limits = [n for n in (daily_limit and daily_limit - asked, commit_rows if rpm is not None else None) if n is not None]
+        chunk = min(limits, default=None)
+        todo = todo_rows(sample, done, chunk).select(
+            "row_id", F.col("label").cast("int").alias("label"), "source_dataset", "text"
+        )
+        if parallelism is not None:
+            todo = todo.repartitionByRange(parallelism, "row_id").sortWithinPartitions("row_id")
+        elif chunk is not None:
+            todo = todo.repartitionByRange(spark.sparkContext.defaultParallelism, "row_id")
+        records = todo.mapInPandas(judge_rows(make_judge, interval), JUDGE_RESULT)
+        observed = Observation("judge run")
+        append_predictions(records.observe(observed, *result_counts()), results_path)
+        run = {name: int(observed.get.get(name) or 0) for name in counts}
+        counts = {name: counts[name] + run[name] for name in counts}
+        asked += run["judged_this_run"]
+        if chunk is None or run["judged_this_run"] < chunk or asked == daily_limit:
+            break
     return {
         **counts,
         "total_done": done_before + counts["judged_this_run"],

@@ -11,21 +11,20 @@ from textguard.functions.text import order_key
 from textguard.operators.hash_rank import dense_row_id, rank_cutoffs
 from textguard.operators.split import SEED
 
-# Up to here a top-n merge is cheap; larger samples are cut at the hash of their last row.
-TOP_N_ROWS = 10_000
-
 
 def head(df: DataFrame, n: int, order_by: str = "row_id") -> DataFrame:
-    """First n rows in row order."""
-    return df.orderBy(order_by).limit(n)
+    """First n rows in row order. Only the order column is merged; the rows come back by a semi join on it."""
+    first = df.select(order_by).orderBy(order_by).limit(n)
+    return df.join(first, order_by, "left_semi").orderBy(order_by)
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = SEED, key: Column | None = None) -> DataFrame:
-    """min(n, rows) uniform rows without replacement: the n smallest seeded hashes of a unique key."""
+    """min(n, rows) uniform rows without replacement: the n smallest seeded hashes of a unique key.
+
+    The hash of the last row is found by counting hash prefixes; rows are then filtered where they are.
+    """
     key = F.col("row_id") if key is None else key
     keyed = df.withColumn("_order", order_key(key, seed))
-    if n <= TOP_N_ROWS:
-        return keyed.orderBy("_order").limit(n).drop("_order")
     if df.count() <= n:
         return df
     one = keyed.withColumn("_all", F.lit(0))

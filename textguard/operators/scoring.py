@@ -35,16 +35,15 @@ def tokenize(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
 
 
 def classifier_pipeline(
-    buckets: int = HASH_BUCKETS, max_iter: int = 20, reg: float = 1e-3, max_tokens: int = MAX_TOKENS
+    buckets: int = HASH_BUCKETS, max_iter: int = 20, reg: float = 1e-3, max_tokens: int | None = None
 ) -> Pipeline:
     """Hashed words weighted by rarity into a logistic regression. The fitted model is one weight
-    per bucket, whatever the size of the vocabulary."""
+    per bucket, whatever the size of the vocabulary. Texts count whole, unless ``max_tokens`` cuts them."""
+    found = f"regexp_extract_all(lower(text), r'{WORD}', 0)"
+    tokens = found if max_tokens is None else f"slice({found}, 1, {max_tokens})"
     return Pipeline(
         stages=[
-            SQLTransformer(
-                statement=f"SELECT *, slice(regexp_extract_all(lower(text), r'{WORD}', 0), 1, {max_tokens}) "
-                "AS tokens FROM __THIS__"
-            ),
+            SQLTransformer(statement=f"SELECT *, {tokens} AS tokens FROM __THIS__"),
             HashingTF(numFeatures=buckets, inputCol="tokens", outputCol="token_counts"),
             IDF(inputCol="token_counts", outputCol="token_weights"),
             LogisticRegression(

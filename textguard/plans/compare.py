@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from textguard.operators.agreement import (
     Judge,
+    align,
+    answer_code,
+    assert_complete,
     compare_judges,
     disagreements,
     pairwise_agreement,
@@ -15,6 +19,18 @@ from textguard.operators.agreement import (
 )
 
 
+def compare_logs(
+    sample: DataFrame, results: Mapping[str, DataFrame], judges: Sequence[Judge], on: str = "row_id"
+) -> dict[str, DataFrame]:
+    """The report from result logs: logs must cover the sample; retried rows count once; unknown labels are an error."""
+    assert_complete(sample, results, on)
+    aligned = align(sample, results, on)
+    for name, result in results.items():
+        if dict(result.dtypes).get("predicted_label") == "string":
+            aligned = aligned.withColumn(f"{name}_prediction", answer_code(F.col(f"{name}_predicted_label")))
+    return comparison_report(aligned, judges)
+
+
 def comparison_report(aligned: DataFrame, judges: Sequence[Judge]) -> dict[str, DataFrame]:
     """Metrics and refusals per judge, agreement per pair, and the disagreements of the first two."""
     return {

@@ -3,29 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from textguard.operators.judge import SPACING_MARGIN, MakeJudge, judge_rows
-from textguard.schemas import JUDGE_RESULT
-
-
-def stream_judge(
-    rows: DataFrame, make_judge: MakeJudge, rpm: float | None = None, parallelism: int = 1
-) -> DataFrame:
-    """Judge records of a stream of sample rows. With a rate, a fixed number of tasks shares it.
-
-    An exhausted quota fails the micro-batch, so none of its rows is skipped: a restart judges it
-    again.
-    """
-    narrow = rows.select(
-        "row_id", F.col("label").cast("int").alias("label"), "source_dataset", "text"
-    )
-    if rpm is None:
-        return narrow.mapInPandas(judge_rows(make_judge, 0.0, False), JUDGE_RESULT)
-    interval = 60.0 / rpm * SPACING_MARGIN * parallelism
-    paced = narrow.repartition(parallelism)
-    return paced.mapInPandas(judge_rows(make_judge, interval, False), JUDGE_RESULT)
+from textguard.operators.judge import DAILY_LIMIT, MakeJudge, QuotaExhausted, judge_batch, todo_rows
+from textguard.sources.results import read_predictions
 
 
 def start_judging(
@@ -34,19 +15,28 @@ def start_judging(
     path: str,
     checkpoint: str,
     rpm: float | None = None,
-    parallelism: int = 1,
+    parallelism: int | None = None,
+    daily_limit: int | None = DAILY_LIMIT,
 ) -> StreamingQuery:
     """Judge what has arrived since the last run and append it to the JSON log at ``path``.
 
-    The checkpoint replaces the list of judged ids: rows are judged once, runs resume.
+    Rows that the log has already are not asked again, and answers are committed as they come. Where a quota or
+    ``daily_limit`` leaves rows of a micro-batch open, it fails after keeping what was answered; the next run gets the
+    same micro-batch and goes on with the open rows.
     """
+
+    def judge_new(batch: DataFrame, _: int) -> None:
+        batch = batch.persist()
+        try:
+            judge_batch(batch, path, make_judge, daily_limit, rpm, parallelism)
+            if not todo_rows(batch, read_predictions(batch.sparkSession, path)).isEmpty():
+                raise QuotaExhausted("rows are left for a later run")
+        finally:
+            batch.unpersist()
+
     return (
-        stream_judge(rows, make_judge, rpm, parallelism)
-        .writeStream.format("json")
-        .option("path", path)
+        rows.writeStream.foreachBatch(judge_new)
         .option("checkpointLocation", checkpoint)
-        .option("ignoreNullFields", "false")
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
