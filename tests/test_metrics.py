@@ -14,7 +14,9 @@ from textguard.functions.probability import (
     verdict_label,
 )
 from textguard.operators import metrics
+from textguard.operators.agreement import Judge, compare_judges
 from textguard.operators.ranges import percentiles, running_totals, value_bounds
+from textguard.operators.scoring import score_with
 from textguard.operators.sweep import GRID, best_threshold, sweep_table, threshold_sweep, tune_then_confirm
 
 
@@ -77,6 +79,29 @@ def test_all_metrics_against_brute_force(spark, digits, bounds):
         check(rows[key], brute(y, d, p))
 
 
+def test_a_model_scores_every_row_once(spark, tmp_path):
+    log = tmp_path / "scored"
+    path = str(log)
+
+    def make_predict():
+        def predict(values):
+            with open(path, "a") as f:
+                f.write("x" * len(values))
+            return np.stack([np.zeros(len(values)), np.sin(values)], axis=1)
+
+        return predict
+
+    ids = spark.range(700).select(
+        F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("label"),
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source_dataset"),
+    )
+    judges = [Judge("model", "prediction", "prob_positive"), Judge("other", "label")]
+    for report in (metrics.evaluate, threshold_sweep, lambda df: compare_judges(df, judges)):
+        log.write_text("")
+        report(score_with(ids, make_predict, ["row_id"])).collect()
+        assert len(log.read_text()) == 700
+
+
 def test_metrics_do_not_depend_on_partitioning(spark):
     df, _ = scored(spark, np.random.default_rng(2))
     one = metrics.binary_metrics(df.repartition(1)).orderBy("scope", "source_dataset").collect()

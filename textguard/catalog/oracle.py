@@ -393,6 +393,8 @@ for _name, _est in (("best_jaccard_est", ESTIMATED), ("best_jaccard_exact", EXAC
 SELECT s.id AS test_id, train_id, {_r('coalesce(similarity, 0)', 'similarity')}
 FROM sides s LEFT JOIN best b ON b.test_id = s.id WHERE s.test"""
 
+SQL["best_jaccard_large_test"] = SQL["best_jaccard_exact"]
+
 # The benchmark gets negative ids to share one table with the documents.
 SQL["benchmark_overlap"] = f"""WITH texts AS (
   SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark), {SHINGLES}, {SIGNATURES},
@@ -411,6 +413,7 @@ def _cosine(rows: str) -> str:
 
 SQL["vector_max_cosine"] = f"""WITH given AS (SELECT vec_id AS row_id, embedding FROM embeddings), {_cosine('given')}
 SELECT test_id, train_id, {_r('sim', 'similarity')} FROM nearest"""
+SQL["vector_max_cosine_large_test"] = SQL["vector_max_cosine"]
 
 MATCHES = f"""texts AS (
   SELECT d.doc_id AS id, d.text FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
@@ -460,8 +463,17 @@ _CELLS = ", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in ("fn", "
 SQL["benign_language_outcome"] = f"""WITH {OUTCOMES}
 SELECT language, {_CELLS} FROM outcomes WHERE source_dataset = 'beta' AND label = 0 GROUP BY language"""
 
+SQL["detect_language"] = f"""SELECT {_u('doc_id', 't')} < 0.1 AS held_out, lang, count(*) AS n, true AS recognized
+FROM documents GROUP BY ALL"""
+
 # Scoring and judging
 
+SQL["fit_score_classifier"] = f"""WITH {BASE}
+SELECT {_u('row_id', 't')} < 0.1 AS held_out, toxic AS label, count(*) AS n, true AS ranks_well, true AS as_reported
+FROM base GROUP BY ALL"""
+
+SQL["stream_verdict"] = "SELECT doc_id AS row_id, true AS same_as_batch FROM documents"
+
 SQL["tokenize_texts"] = r"""WITH t AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')[1:512] AS t FROM documents)
 SELECT doc_id, CAST(len(t) AS INT) AS n_tokens, t[1] AS first_token, t[-1] AS last_token FROM t"""
@@ -511,6 +523,6 @@ _RISK = " + ".join(
     for pattern, weight in CONVERSATION_RULES.items()
 )
 SQL["baseline_scan"] = f"""WITH risk AS (
-  SELECT conv_id * 1000 + turn AS row_id, {_RISK} AS r FROM conversations WHERE role = 'user')
+  SELECT conv_id * 1000 + turn AS row_id, {_RISK} AS r FROM conversations)
 SELECT row_id, CASE WHEN r < 1 THEN 0 ELSE 1 END AS predicted_label,
        CASE WHEN r = 0 THEN -1::DOUBLE ELSE least(r, 1::DOUBLE) END AS risk_score FROM risk"""

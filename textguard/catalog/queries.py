@@ -34,6 +34,9 @@ QUERIES: dict[str, Query] = {}
 
 BIG_SAMPLE = 50
 SAMPLE = 200
+# Stated quality of fitted models, met by held-out rows too: the classifier ranks them at 0.84 to 0.87.
+CLASSIFIER_AUC = 0.75
+LANGUAGE_SHARE = 0.9
 # Stand-in rules: the given conversations are invented prose, so attack phrases do not occur.
 CONVERSATION_RULES = {
     r"(^|[^\p{L}])the([^\p{L}]|$)": 0.5,
@@ -370,6 +373,14 @@ def best_jaccard_exact(spark, sf_dir):
     )
 
 
+@query
+def best_jaccard_large_test(spark, sf_dir):
+    """By shuffle joins, as for a test side of any size."""
+    train, test = B.document_split(spark, sf_dir)
+    found = best_jaccard(train, test, "doc_id", exact=True, max_test_rows=0)
+    return rounded(found.select("test_id", "train_id", "similarity"))
+
+
 @query
 def benchmark_overlap(spark, sf_dir):
     """The benchmark as test side against all documents."""
@@ -386,6 +397,13 @@ def vector_max_cosine(spark, sf_dir):
     return rounded(max_cosine(train, test, "vec_id"))
 
 
+@query
+def vector_max_cosine_large_test(spark, sf_dir):
+    """By a grid of blocks, as for a test side of any size."""
+    train, test = B.vector_split(spark, sf_dir)
+    return rounded(max_cosine(train, test, "vec_id", max_test_rows=0))
+
+
 def _matches(spark, sf_dir):
     train, test = B.embedded_documents(spark, sf_dir)
     matches = leakage.combine_matches(max_cosine(train, test), best_jaccard(train, test))
@@ -441,10 +459,16 @@ def benign_language_outcome(spark, sf_dir):
 
 @query
 def detect_language(spark, sf_dir):
+    """All documents through a detector of nine tenths of them: documents per part and language, and
+    whether at least the stated share of them is recognized."""
     docs = spread(B.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
-    train, rest = docs.where(~B.is_test(F.col("doc_id"))), docs.where(B.is_test(F.col("doc_id")))
-    detector = language.fit_language_detector(train)
-    return language.detect_language(rest, detector).select("doc_id", "lang", "language")
+    held_out = B.is_test(F.col("doc_id"))
+    detector = language.fit_language_detector(docs.where(~held_out))
+    found = language.detect_language(docs, detector)
+    right = F.avg((F.col("lang") == F.col("language")).cast("int"))
+    return found.groupBy(held_out.alias("held_out"), "lang").agg(
+        F.count(F.lit(1)).alias("n"), (right >= LANGUAGE_SHARE).alias("recognized")
+    )
 
 
 # Scoring and judging
@@ -452,10 +476,36 @@ def detect_language(spark, sf_dir):
 
 @query
 def fit_score_classifier(spark, sf_dir):
+    """All labelled rows scored by the model of nine tenths of them: rows per part and class, whether
+    the held-out part ranks at least as well as stated, and whether the report of the fit says the same."""
     rows = B.labelled_texts(spark, sf_dir)
-    train, rest = rows.where(~B.is_test(F.col("row_id"))), rows.where(B.is_test(F.col("row_id")))
-    model, _ = scoring.fit_classifier(train)
-    return scoring.verdict(scoring.score(rest, model), 0.5, ["row_id"])
+    held_out = B.is_test(F.col("row_id"))
+    model, report = scoring.fit_classifier(rows.where(~held_out), rows.where(held_out))
+    scored = stage(
+        scoring.score(rows, model).select(
+            "label", "prediction", "prob_positive", held_out.alias("held_out")
+        ),
+        "classified",
+    )
+    reported = report.select(
+        F.lit(True).alias("held_out"), F.col("n").alias("n_reported"), F.col("roc_auc").alias("auc_reported")
+    )
+    auc = metrics.ranking_metrics(scored, ["held_out"], source=None).select("held_out", "roc_auc")
+    counts = scored.groupBy("held_out", "label").agg(F.count(F.lit(1)).alias("n"))
+    part = counts.groupBy("held_out").agg(F.sum("n").alias("n_part"))
+    same = (F.col("n_reported") == F.col("n_part")) & (F.abs(F.col("auc_reported") - F.col("roc_auc")) < 1e-9)
+    return (
+        counts.join(part, "held_out")
+        .join(auc, "held_out")
+        .join(reported, "held_out", "left")
+        .select(
+            "held_out",
+            "label",
+            "n",
+            (F.col("roc_auc") >= CLASSIFIER_AUC).alias("ranks_well"),
+            F.coalesce(same, ~F.col("held_out")).alias("as_reported"),
+        )
+    )
 
 
 @query
@@ -570,7 +620,7 @@ def judge_batch(spark, sf_dir):
 
 @query
 def baseline_scan(spark, sf_dir):
-    turns = B.table(spark, sf_dir, "conversations").where("role = 'user'")
+    turns = B.table(spark, sf_dir, "conversations")
     rows = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
     return rounded(judge.baseline_results(rows, judge.rule_scanner(CONVERSATION_RULES)))
 
@@ -585,14 +635,22 @@ def _document_stream(spark, sf_dir):
 
 @query
 def stream_verdict(spark, sf_dir):
-    """Every document through a verdict stream; the model is fitted on the labelled ones."""
+    """Every document through a verdict stream; the model is fitted on the labelled ones. Per document:
+    whether the stream gives what the stored model gives the table."""
     model, _ = scoring.fit_classifier(B.labelled_texts(spark, sf_dir))
     prompts = _document_stream(spark, sf_dir).select(F.col("doc_id").alias("row_id"), "text")
     out = shared_dir(spark, "verdicts")
     start_verdicts(
         prompts, model, out, shared_dir(spark, "verdicts-checkpoint"), 0.5, available_now=True
     ).awaitTermination()
-    return spark.read.schema("row_id bigint, label string, prob_attack double, threshold double").parquet(out)
+    streamed = spark.read.schema(
+        "row_id bigint, label string, prob_attack double, threshold double"
+    ).parquet(out)
+    docs = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    batch = scoring.verdict(scoring.score(docs, model), 0.5, ["row_id"])
+    s, b = (F.struct(*[f"{side}.{c}" for c in ("label", "prob_attack", "threshold")]) for side in "sb")
+    both = streamed.alias("s").join(batch.alias("b"), "row_id", "full")
+    return both.select("row_id", s.eqNullSafe(b).alias("same_as_batch"))
 
 
 @query

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions.probability import probability_bin
 from textguard.operators.ranges import percentiles, running_totals, value_bounds
+from textguard.scratch import stage
 
 LABEL, PREDICTION, PROB, SOURCE = "label", "prediction", "prob_positive", "source_dataset"
 # Smallest likelihood in the loss, and the rows timed for latency.
@@ -46,6 +47,20 @@ def cells(
     )
 
 
+def cells_with_bounds(
+    counted: DataFrame, bounds: Sequence[float] | None
+) -> tuple[DataFrame, Sequence[float]]:
+    """The cells, and bounds that divide them into ranges of about equal numbers of cells.
+
+    Without given bounds the cells are written once and the bounds come from what was written, so
+    the scored rows, and a model that makes their scores, run a single time.
+    """
+    if bounds is not None:
+        return counted, bounds
+    counted = stage(counted, "cells")
+    return counted, value_bounds(counted, "score")
+
+
 def scored_count() -> Column:
     """Rows of a cell, 0 where it has no score."""
     return F.when(F.col("score").isNotNull(), F.col("n")).otherwise(F.lit(0))
@@ -229,11 +244,10 @@ def ranking_metrics(
 ) -> DataFrame:
     """roc_auc (ties count half) and pr_auc (step sum); null for a group with one class.
 
-    ``bounds`` are score range bounds from ``value_bounds``; they set the parallelism, not the result.
+    ``bounds`` are score range bounds; they set the parallelism, not the result.
     """
-    if bounds is None:
-        bounds = value_bounds(scored, prob)
-    return finish_scope(cell_ranking(cells(scored, by, source, prob), by, source, bounds), source)
+    counted, bounds = cells_with_bounds(cells(scored, by, source, prob), bounds)
+    return finish_scope(cell_ranking(counted, by, source, bounds), source)
 
 
 def calibration_metrics(
@@ -267,9 +281,7 @@ def binary_metrics(
         empty = F.lit(None).cast("double")
         names = ("roc_auc", "pr_auc", "brier_score", "ece", "log_loss")
         return finish_scope(hard.withColumns({c: empty for c in names}), source)
-    if bounds is None:
-        bounds = value_bounds(scored, prob)
-    counted = cells(scored, by, source, prob)
+    counted, bounds = cells_with_bounds(cells(scored, by, source, prob), bounds)
     return finish_scope(
         rates(cell_confusion(counted, by, source))
         .join(cell_ranking(counted, by, source, bounds), group, "left")

@@ -195,18 +195,29 @@ def max_cosine(
     """Per test vector the largest cosine to any train vector and that vector's id.
 
     Vectors need not be normalized; the cosine with a zero vector is 0. Lowest train id wins ties
-    (at nine decimals).
+    (at nine decimals). A vector that is null, empty or has a null in it matches nothing: such a test
+    row, and every one on an empty train table, gets similarity 0 and no train id. Vectors of
+    different lengths are an error.
     """
 
     def vectors(df: DataFrame) -> DataFrame:
-        return df.select(
+        given = df.select(
             F.col(id_col).cast("bigint").alias("id"),
             F.col(embedding).cast("array<double>").alias("embedding"),
         )
-
-    known, wanted = vectors(train), vectors(test)
-    n_test = wanted.count()
-    if n_test <= max_test_rows:
+        return given.where((F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull()))
+
+    wanted = vectors(test)
+    size = F.size("embedding")
+    seen = wanted.agg(F.count(F.lit(1)).alias("rows"), F.min(size).alias("low"), F.max(size).alias("high")).first()
+    n_test, length = seen["rows"], seen["high"] or 0
+    if seen["low"] != seen["high"]:
+        raise ValueError(f"test vectors have between {seen['low']} and {seen['high']} numbers")
+    other = F.raise_error(F.lit(f"a train vector does not have {length} numbers")).cast("array<double>")
+    known = vectors(train)
+    if n_test:
+        known = known.withColumn("embedding", F.when(size == length, F.col("embedding")).otherwise(other))
+    if n_test <= max_test_rows and n_test * length <= MAX_TEST_VALUES:
         best = _cosine_in_place(known, wanted)
     else:
         best = _cosine_blocked(known, wanted, known.count(), n_test)
@@ -215,7 +226,15 @@ def max_cosine(
             F.struct("train_id", "similarity"), F.struct("similarity", -F.col("train_id"))
         ).alias("best")
     )
-    return reduced.select("test_id", "best.train_id", "best.similarity")
+    return (
+        test.select(F.col(id_col).cast("bigint").alias("test_id"))
+        .join(reduced, "test_id", "left")
+        .select(
+            "test_id",
+            F.col("best.train_id").alias("train_id"),
+            F.coalesce(F.col("best.similarity"), F.lit(0.0)).alias("similarity"),
+        )
+    )
 
 
 _COSINE = "test_id bigint, train_id bigint, similarity double"

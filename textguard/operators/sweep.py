@@ -16,6 +16,7 @@ from textguard.operators.metrics import (
     bin_calibration,
     cell_ranking,
     cells,
+    cells_with_bounds,
     confusion_columns,
     finish_scope,
     group_keys,
@@ -24,7 +25,6 @@ from textguard.operators.metrics import (
     score_bins,
     scored_count,
 )
-from textguard.operators.ranges import value_bounds
 
 # The swept thresholds.
 GRID = (
@@ -75,10 +75,8 @@ def threshold_sweep(
 
     Metrics that need no threshold are computed once and repeat. The grid must ascend.
     """
-    if bounds is None:
-        bounds = value_bounds(scored, prob)
     group = group_keys(by, source)
-    counted = cells(scored.drop(PREDICTION), by, source, prob)
+    counted, bounds = cells_with_bounds(cells(scored.drop(PREDICTION), by, source, prob), bounds)
     return finish_scope(
         rates(sweep_counts(counted, grid, by, source))
         .join(cell_ranking(counted, by, source, bounds), group, "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,15 +112,19 @@ def check_leakage(
     id_col: str = "row_id",
     exact: bool = False,
     scored: bool = False,
+    scorer: Callable[[DataFrame], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """The whole check on (id, text, embedding, ...) tables: report, matches, top matches and, for a
     scored test table, the metrics by part.
 
-    The sample and its matches are written once; every part of the report reads them.
+    ``scorer`` adds ``prediction`` and ``prob_positive`` to a table; it gets the sample only, so a model
+    scores ``n`` rows whatever the size of the test table. The sample and its matches are written
+    once; every part of the report reads them.
     """
     if source is not None:
         train, test = filter_source(train, source), filter_source(test, source)
-    sample = stage(sample_rows(test, n, seed, F.col(id_col)), "leakage-sample")
+    sample = sample_rows(test, n, seed, F.col(id_col))
+    sample = stage(scorer(sample) if scorer else sample, "leakage-sample")
     matches = stage(
         combine_matches(
             max_cosine(train, sample, id_col), best_jaccard(train, sample, id_col, exact=exact)
@@ -134,6 +140,6 @@ def check_leakage(
         "matches": matches,
         "top_matches": top_matches(matches, train, sample, id_col),
     }
-    if scored:
+    if scored or scorer:
         report["leakage_adjusted"] = leakage_adjusted_metrics(sample, matches, id_col)
     return report
