@@ -132,12 +132,12 @@ def test_judge_stream_goes_on_under_a_quota(spark, tmp_path):
     assert log.count() == 10 and log.select("row_id").distinct().count() == 10
 
 
-def test_whole_texts_are_classified(spark):
+def test_whole_texts_are_classified(spark, tmp_path):
     long_text = " ".join(["calm"] * 700)
     rows = [(long_text + (" attackphrase" if i % 2 else " harmless"), i % 2) for i in range(40)]
     df = spark.createDataFrame(rows, "text string, label int")
-    fitted = scoring.classifier_pipeline(1 << 10).fit(df)
-    assert fitted.transform(df).where("prediction = label").count() == 40
+    model, _ = scoring.fit_classifier(df, pipeline=scoring.classifier_pipeline(1 << 10), path=str(tmp_path / "model"))
+    assert scoring.score(df, model).where("prediction = label").count() == 40
 
 
 def test_language_detection(spark):
