@@ -21,6 +21,8 @@ COSINE_LEVELS = (0.99, 0.95, 0.90, 0.80)
 JACCARD_LEVELS = (0.9, 0.8, 0.5)
 PREVIEW_CHARS = 300
 TOP_MATCHES = 15
+# Characters of previews that may be sent to every task.
+MAX_BROADCAST_CHARS = 8_000_000
 
 
 def _share(condition: Column) -> Column:
@@ -95,9 +97,10 @@ def top_matches(
         (test, "test_id", "test_text"),
         (train, "embedding_train_id", "train_text"),
     ]
+    small = n * max(n_chars, 1) <= MAX_BROADCAST_CHARS
     for df, key, name in texts:
         side = df.select(F.col(id_col).alias(key), preview(F.col("text"), n_chars).alias(name))
-        top = side.join(F.broadcast(top), key)
+        top = side.join(F.broadcast(top) if small else top, key)
     return top.select(
         "test_id", "embedding_train_id", "test_text", "train_text", "embedding_sim", "minhash_jaccard"
     )
