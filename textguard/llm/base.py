@@ -14,8 +14,9 @@ from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 BATCH_ROWS = 512
 
-#: Bytes of text handled at once by the array code; a longer single text makes a chunk of its own.
-CHUNK_BYTES = 2 << 20
+#: Bytes of text handled at once by the array code; a longer single text makes a chunk of its own. Arrays of 64-bit
+#: numbers per byte are the largest a worker holds, and the tables of powers it keeps are as long as a chunk.
+CHUNK_BYTES = (1 << 20) - 1
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xD6E8FEB86659FD93)

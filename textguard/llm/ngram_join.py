@@ -109,13 +109,19 @@ def _shared_counts(docs: DataFrame, n: int, bits: int) -> DataFrame:
 
     def counted(parts: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
         keys, counts, low = (b"".join(c) for c in zip(*parts))
+        parts.clear()
         nodes, node_of = np.unique(np.frombuffer(keys, "<i8"), return_inverse=True)
-        owner = np.repeat(node_of, np.frombuffer(counts, "<u4")).astype(np.uint64)
-        pairs = np.unique((np.frombuffer(low, "<u4").astype(np.uint64) << np.uint64(32)) | owner)
-        value = pairs >> np.uint64(32)
+        # One array of (n-gram, owner) in a number each, made and sorted in place.
+        pairs = np.frombuffer(low, "<u4").astype(np.uint64)
+        pairs <<= np.uint64(32)
+        pairs |= np.repeat(node_of.astype("<u4"), np.frombuffer(counts, "<u4"))
+        pairs.sort()
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+        # The upper halves of the numbers, read where they are.
+        value = pairs.view("<u4")[1::2]
         same = value[1:] == value[:-1]
         shared = np.append(same, False) | np.append(False, same)
-        sums = np.bincount((pairs[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(nodes))
+        sums = np.bincount(pairs.view("<u4")[::2][shared], minlength=len(nodes))
         some = np.flatnonzero(sums)
         return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(sums[some])], ["k1", "shared"])
 
@@ -125,7 +131,6 @@ def _shared_counts(docs: DataFrame, n: int, bits: int) -> DataFrame:
             for fragment, *part in zip(*(c.to_pylist() for c in b.columns)):
                 if parts and fragment != now:
                     yield counted(parts)
-                    parts = []
                 now = fragment
                 parts.append(part)
         if parts:

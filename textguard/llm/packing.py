@@ -24,8 +24,10 @@ from textguard.llm.base import small_batches, spread_rows
 from textguard.scratch import stage
 
 CAPACITY = 2048
-#: Encoded white-space chunks that a worker remembers.
-MEMORY = 600_000
+#: Encoded white-space chunks that a worker remembers within a task, and words that it remembers from task to task.
+#: Chunks are put together again from words at little cost.
+MEMORY = 200_000
+WORDS = 400_000
 #: Pieces that are numbered together; their number per length and bucket stays near this, at any table size.
 NUMBERED_ROWS = 20_000
 
@@ -60,7 +62,7 @@ class ChunkEncoder:
         return [b"".join(map(self.known.__getitem__, c)) for c in cut]
 
     def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.words) > MEMORY:
+        if len(self.words) > WORDS:
             self.words.clear()
         known, words, parts = self.known, self.words, self.parts
         simple, other, wanted = [], [], set()
