@@ -305,6 +305,27 @@ def test_disguised_words_are_restored(spark):
     assert {r.score < 0.3 for r in score_toxicity(new, none).collect()} == {True}
 
 
+def test_every_sign_of_a_disguise_reaches_the_decoder(spark):
+    from textguard.llm.toxicity import fit_toxicity, letter_counts, restored_words, score_toxicity
+
+    rng = random.Random(4)
+    plain, toxic = ["garden", "window", "silver", "market", "yellow", "summer", "basket", "candle"], ["idiot", "clown", "loser"]
+    texts = [" ".join(rng.choice(plain) for _ in range(30)) + (" " + toxic[i // 4 % 3] if i % 4 == 0 else "") for i in range(600)]
+    docs = docs_of(spark, texts)
+    model = fit_toxicity(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int"))
+    cases = {
+        "idiot": ["!diot", "!d10t", "(!diot", "1d107", "1d!0+", "iddiot", "IDdiiot", "! d 1 0 t", "i d ! 0 t", "1d1o7!"],
+        "clown": ["(lown", "(l0wn", "(lown)", "(10wn)", "((1own", "cllown", "( l o w n", "(|0wn,"],
+        "loser": ["los€r", "1os€r", "l05€r.", "looser", "l o s € r", "l o s €, r"],
+    }
+    forms = [(word, form) for word, some in cases.items() for form in some]
+    new = docs_of(spark, [f"garden {form} window" for _, form in forms] + ["garden (window) !silver (market 100€ $50 yellow!"], 1000)
+    found = by_id(restored_words(new, letter_counts(docs, "text")))
+    score = {r.doc_id: r.score for r in score_toxicity(new, model).collect()}
+    wrong = [form for k, (word, form) in enumerate(forms, 1000) if word not in found[k].restored or score[k] < 0.3]
+    assert not wrong and score[1000 + len(forms)] < 0.3
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = SMALL.replace("sf0.001", "sf0.1")
     rows = catalog.op7_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").filter("held_out")

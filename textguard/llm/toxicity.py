@@ -53,6 +53,10 @@ _LETTER[128:] = 27
 _CLASSES = 28
 _EDGE = np.zeros(256, bool)
 _EDGE[list(b"0123456789@$+|")] = True
+# Signs that are read as letters at a token's beginning, but as punctuation at its end.
+_LEAD = np.zeros(256, bool)
+_LEAD[list(b"!(")] = True
+_EURO = "€".encode()
 
 
 class LetterModel:
@@ -155,31 +159,44 @@ def _features(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.append(words.hashes(), mix(prefix)), np.append(text, text[long_])
 
 
+def _tokens(words: Words) -> tuple[np.ndarray, ...]:
+    """(letter, first, last, lead) of some tokens: which bytes are letters, where the core of each token begins and ends
+    (nothing in between if it has none), and where it begins with the signs of ``_LEAD`` right before it."""
+    data, starts, ends = words.data, words.starts, words.ends
+    letter, edge = _LETTER[data] > 0, _EDGE[data]
+    euro = np.flatnonzero((data[:-2] == _EURO[0]) & (data[1:-1] == _EURO[1]) & (data[2:] == _EURO[2]))
+    for k in range(len(_EURO)):
+        letter[euro + k], edge[euro + k] = False, True
+    core = np.append(np.flatnonzero(letter | edge), len(data))
+    a, b = np.searchsorted(core, starts), np.searchsorted(core, ends) - 1
+    some = b >= a
+    first, last = np.where(some, core[a], starts), np.where(some, core[np.maximum(b, 0)] + 1, starts)
+    other = np.append(-1, np.maximum.accumulate(np.where(_LEAD[data], -1, np.arange(len(data)))))
+    return letter, first, last, np.where(some, np.maximum(other[first] + 1, starts), starts)
+
+
 def _disguised(words: Words) -> list[tuple[int, str]]:
-    """(text, token) of what may be a disguised word: a token with signs between or for its letters, with a letter
-    three times in a row, or several tokens of one letter in a row."""
+    """(text, token) of what may be a disguised word: a token with signs between or for its letters (of one letter only
+    if it has three characters), with a letter twice in a row, or several tokens of one letter or sign in a row.
+
+    Tokens without a letter are numbers; ``!`` and ``(`` at the end of a token are punctuation, at its beginning they
+    are left to ``_led``."""
     data, starts, ends = words.data, words.starts, words.ends
     if not len(starts):
         return []
-    letter, edge = _LETTER[data] > 0, _EDGE[data]
-    core = np.flatnonzero(letter | edge)
-    if not len(core):
-        return []
-    a = np.minimum(np.searchsorted(core, starts), len(core) - 1)
-    b = np.searchsorted(core, ends) - 1
-    some = (b >= a) & (core[a] >= starts) & (core[a] < ends)
-    first, last = np.where(some, core[a], starts), np.where(some, core[np.maximum(b, 0)] + 1, starts)
-    total = np.append(0, np.cumsum(letter))
-    letters = total[last] - total[first]
-    suspect = some & (letters >= 2) & (letters < last - first)
-    same = np.flatnonzero((data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & letter[2:] & (data[2:] < 128))
+    letter, first, last, _ = _tokens(words)
+    letters, size = (n[last] - n[first] for n in (np.append(0, np.cumsum(c)) for c in (letter, (data & 0xC0) != 0x80)))
+    suspect = (letters < last - first) & ((letters >= 2) | (letters == 1) & (size >= 3))
+    kind = np.where(letter, _LETTER[data], 0)
+    same = np.flatnonzero((kind[1:] == kind[:-1]) & (kind[1:] > 0) & (kind[1:] < 27))
     w = np.searchsorted(starts, same, "right") - 1
-    w = w[(w >= 0)]
-    suspect[w[same[: len(w)] + 2 < ends[w]]] = True
+    suspect[w[same + 1 < ends[w]]] = True
     text = words.text_of()
     found = [(int(text[k]), data[first[k] : last[k]].tobytes().decode(errors="ignore")) for k in np.flatnonzero(suspect)]
-    single = (ends - starts == 1) & letter[starts] | (ends - starts == 2) & (data[starts] >= 0xC3)
-    single |= some & (last - first == 1) & (ends - starts <= 2)
+    single = (ends - starts == 1) & (letter[starts] | _LEAD[data[starts]]) | (ends - starts == 2) & (data[starts] >= 0xC3)
+    single |= (last - first == 1) & (ends - starts <= 2)
+    euro = (last - first == len(_EURO)) & (data[first] == _EURO[0]) & ~letter[first]
+    single |= euro & (ends - starts <= len(_EURO) + 1)
     change = np.flatnonzero(np.diff(np.append(np.append(False, single), False).astype(np.int8)))
     for s, e in zip(change[::2], change[1::2]):
         cuts = np.flatnonzero(np.diff(text[s:e])) + 1 + s
@@ -189,13 +206,39 @@ def _disguised(words: Words) -> list[tuple[int, str]]:
     return found
 
 
+def _led(words: Words) -> list[tuple[int, str]]:
+    """(text, token) of tokens with a letter that begin with ``!`` or ``(``, which may be letters too: ``!diot``."""
+    if not len(words.starts):
+        return []
+    letter, first, last, lead = _tokens(words)
+    total = np.append(0, np.cumsum(letter))
+    found = np.flatnonzero((lead < first) & (total[last] > total[first]))
+    text = words.text_of()
+    return [(int(text[k]), words.data[lead[k] : last[k]].tobytes().decode(errors="ignore")) for k in found]
+
+
+def _readings(words: Words, model: LetterModel) -> Iterator[tuple[int, str]]:
+    """(text, word) of the words restored from disguised tokens."""
+    for text, token in _disguised(words):
+        token = token.lower()
+        restored = model.restore(token)
+        if restored != (token,):
+            for word in restored:
+                yield text, word
+    for text, token in _led(words):
+        token = token.lower()
+        bare = token.lstrip("!(")
+        for word in model.restore(token):
+            if word != bare and word not in model.restore(bare):
+                yield text, word
+
+
 def _restored(words: Words, model: LetterModel) -> tuple[np.ndarray, np.ndarray]:
     """(feature, text) of the words restored from disguised tokens."""
     restored, texts = [], []
-    for text, token in _disguised(words):
-        for word in model.restore(token.lower()):
-            restored.append(word)
-            texts.append(text)
+    for text, word in _readings(words, model):
+        restored.append(word)
+        texts.append(text)
     if not restored:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     found = next(word_chunks(pa.array([" ".join(restored)]), SPACED, True))
@@ -289,6 +332,9 @@ def fit_toxicity(
     if total > fit_rows:
         # A cut on a uniform hash, not a sort of all rows.
         known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / total))
+    if min(total, fit_rows) <= FIT_ROWS:
+        # So few ids and labels go to every task, and only the chosen texts are shuffled.
+        known = F.broadcast(known)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     chosen = texts.join(known, "_id").groupBy(F.xxhash64("text").alias("_k")).agg(F.min("label").alias("label"), F.first("text").alias("text"))
     chosen = stage(chosen.select("text", "label"), "toxicity-fit")
@@ -377,8 +423,8 @@ def restored_words(docs: DataFrame, letters: np.ndarray, id_col: str = "doc_id",
         for b in batches:
             found: list[list[str]] = [[] for _ in range(b.num_rows)]
             for words in word_chunks(b.column(1), SPACED, False):
-                for text, token in _disguised(words):
-                    found[words.first + text] += model.restore(token.lower())
+                for text, word in _readings(words, model):
+                    found[words.first + text].append(word)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], [id_col, "restored"])
 
     narrow = docs.select(F.col(id_col), F.col(text_col))
