@@ -410,6 +410,21 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(turns.limit(0), file, pattern).count() == 0
 
 
+def test_long_segments_are_encoded_whole():
+    import public_tokenizers
+
+    from textguard.llm import chat
+
+    codec = chat.ChatCodec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    words = ["there", " it's", " 漢字é", "\n\n  ", " 12345", "!?", "\u00a0", "\x1c "]
+    mixed = "".join(rng.choice(words) for _ in range(30_000))
+    for text in (LONG, "a" * 50_000, "ab " * 20_000, mixed, "x" + " " * 30_000 + "word", mixed + "\n" * 25_000):
+        assert codec.encode(text) == codec.encoding.encode_ordinary(text)
+    text = "x" + " " * 1_000_000 + "word"  # beyond what the library can search
+    assert codec.decode(codec.encode(text)) == text and codec.encode(text)[-1] == codec.encoding.encode_ordinary(" word")[-1]
+
+
 # pipeline
 
 
