@@ -23,6 +23,7 @@ from textguard.llm.base import (
     SLOT_SCHEMA,
     bit_table,
     bits_set,
+    free_name,
     slot_rows,
     small_batches,
     table_bits,
@@ -117,13 +118,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns unchanged.
+    """The rows of ``docs`` that stay, all columns unchanged, whatever further ones are called.
 
-    Rows that cannot be repeated never leave their task; only the possibly repeated ones are shuffled.
+    Equality, ties, nulls, empty and long texts are as in ``exact_duplicates``; an empty table gives no rows. Rows that
+    cannot be repeated never leave their task; only the possibly repeated ones are shuffled.
     """
     keys = stage(text_keys(docs, id_col, text_col), "dedup-keys")
     twice, bits = repeated_bits(keys)
-    key, maybe = _free_name(docs, _KEY), _free_name(docs, _MAYBE)
+    key, maybe = free_name(docs, _KEY), free_name(docs, _MAYBE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -134,17 +136,9 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     schema = StructType([*docs.schema, StructField(key, BinaryType()), StructField(maybe, BooleanType())])
     flagged = docs.mapInArrow(run, schema)
-    group, keep = _free_name(docs, "_group"), _free_name(docs, "_keep")
+    group, keep = free_name(docs, "_group"), free_name(docs, "_keep")
     suspects = _flagged(keys, twice, bits).filter(_MAYBE)
     largest = suspects.groupBy(F.col(_KEY).alias(group)).agg(F.max(id_col).alias(keep))
     is_largest = (F.col(key) == F.col(group)) & F.col(id_col).eqNullSafe(F.col(keep))
     chosen = flagged.filter(maybe).join(largest, is_largest, "left_semi")
     return flagged.filter(~F.col(maybe)).select(docs.columns).unionByName(chosen.dropDuplicates([key]).select(docs.columns))
-
-
-def _free_name(df: DataFrame, name: str) -> str:
-    while name in df.columns:
-        name += "_"
-    return name
-
-

@@ -26,6 +26,7 @@ from textguard.llm.base import (
     SPACED,
     bit_table,
     bits_set,
+    free_name,
     gram_hashes,
     ranges,
     run_hashes,
@@ -39,6 +40,8 @@ from textguard.scratch import stage
 
 #: N-grams whose owners are counted together in a task, about.
 FRAGMENT_ROWS = 4_000_000
+#: Bits of an n-gram's hash that travel, besides those that name its fragment.
+LOW_BITS = 32
 #: Fragments in which the overlaps of a pair are counted.
 OVERLAP_FRAGMENTS = 4
 
@@ -84,9 +87,10 @@ def _document_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _shared_counts(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """(``k1``, ``shared``): for each set, n-grams that another set has too. Hashes are cut to 32 bits within a
-    fragment, so a count may be too high now and then, never too low."""
+def _shared_counts(docs: DataFrame, n: int, bits: int, low_bits: int = LOW_BITS) -> DataFrame:
+    """(``k1``, ``shared``): for each set, n-grams that another set has too. Hashes are cut to ``low_bits`` within a
+    fragment, so a count may be too high now and then, never too low: n-grams of one set whose cut hashes are equal are
+    told apart before they are cut, and those beyond the first of them (``more``) count as shared."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -96,19 +100,23 @@ def _shared_counts(docs: DataFrame, n: int, bits: int) -> DataFrame:
                 keys = _set_keys(bounds, values)[:, 0]
                 owner = np.repeat(np.arange(len(keys)), np.diff(bounds))
                 fragment = (values >> np.uint64(64 - bits)).astype(np.int64)
-                low = ((values >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-                order = np.lexsort((owner, fragment))
+                low = ((values >> np.uint64(64 - bits - low_bits)) & np.uint64((1 << low_bits) - 1)).astype("<u4")
+                # Hashes ascend within an owner, and so do their cut forms within a fragment.
+                order = np.argsort(fragment, kind="stable")
                 fragment, low, owner = fragment[order], low[order], owner[order]
+                alike = np.append(False, (fragment[1:] == fragment[:-1]) & (owner[1:] == owner[:-1]) & (low[1:] == low[:-1]))
                 begin = np.flatnonzero(np.append(True, fragment[1:] != fragment[:-1]))
                 rows = []
                 for a, e in zip(begin, np.append(begin[1:], len(fragment))):
-                    who, count = np.unique(owner[a:e], return_counts=True)
-                    rows.append((keys[who].tobytes(), count.astype("<u4").tobytes(), low[a:e].tobytes()))
+                    who, first, count = np.unique(owner[a:e], return_index=True, return_counts=True)
+                    more = np.add.reduceat(alike[a:e], first, dtype=np.int64)
+                    parts = (count - more, more, low[a:e][~alike[a:e]])
+                    rows.append((keys[who].tobytes(), *(p.astype("<u4").tobytes() for p in parts)))
                 arrays = [pa.array(fragment[begin], pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*rows))]
                 yield pa.RecordBatch.from_arrays(arrays, cut_schema.names)
 
-    def counted(parts: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        keys, counts, low = (b"".join(c) for c in zip(*parts))
+    def counted(parts: list[tuple[bytes, bytes, bytes, bytes]]) -> pa.RecordBatch:
+        keys, counts, more, low = (b"".join(c) for c in zip(*parts))
         parts.clear()
         nodes, node_of = np.unique(np.frombuffer(keys, "<i8"), return_inverse=True)
         # One array of (n-gram, owner) in a number each, made and sorted in place.
@@ -122,6 +130,10 @@ def _shared_counts(docs: DataFrame, n: int, bits: int) -> DataFrame:
         same = value[1:] == value[:-1]
         shared = np.append(same, False) | np.append(False, same)
         sums = np.bincount(pairs.view("<u4")[::2][shared], minlength=len(nodes))
+        # Copies of a set agree in ``more``; it counts once.
+        beyond = np.zeros(len(nodes), np.int64)
+        beyond[node_of] = np.frombuffer(more, "<u4")
+        sums += beyond
         some = np.flatnonzero(sums)
         return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(sums[some])], ["k1", "shared"])
 
@@ -136,7 +148,7 @@ def _shared_counts(docs: DataFrame, n: int, bits: int) -> DataFrame:
         if parts:
             yield counted(parts)
 
-    cut_schema = StructType([StructField("fragment", IntegerType()), *(StructField(c, BinaryType()) for c in ("keys", "counts", "low"))])
+    cut_schema = StructType([StructField("fragment", IntegerType()), *(StructField(c, BinaryType()) for c in ("keys", "counts", "more", "low"))])
     dealt = docs.select("_text").mapInArrow(cut, cut_schema).repartition("fragment").sortWithinPartitions("fragment")
     sums = dealt.mapInArrow(sum_up, StructType([StructField("k1", _LONG), StructField("shared", _LONG)]))
     return sums.groupBy("k1").agg(F.sum("shared").alias("shared"))
@@ -243,7 +255,8 @@ def ngram_components(
     # A set's node is named by its first key; in the rare case of two sets with one first key, by the second.
     reps = narrow.filter("size > 0").groupBy("k1", "k2").agg(F.min("size").alias("size"), F.min("_id").alias("rep"))
     reps = stage(reps, "join-nodes")
-    total = reps.agg(F.sum("size")).first()[0] or 0
+    # As many n-grams as travel: those of copies do, too.
+    total = narrow.agg(F.sum("size")).first()[0] or 0
     parallel = 2 * spark.sparkContext.defaultParallelism
     bits = min(24, max(1, (max(parallel, total // FRAGMENT_ROWS)).bit_length()))
     shared = _shared_counts(texts, n, bits)
@@ -308,7 +321,9 @@ def ngram_components(
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when of each component the document with the smallest id stays; columns unchanged.
 
-    Rows without an id or words stay. Rows that share the smallest id all stay."""
+    Rows without an id or words stay. Rows that share the smallest id all stay. Links, long texts, repeated rows and empty
+    tables are as in ``ngram_components``; further columns may have any names."""
     found = ngram_components(docs, n, percent, id_col, text_col)
-    gone = found.filter("n_shingles > 0").filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = free_name(docs, "_gone")
+    gone = found.filter("n_shingles > 0").filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from textguard.llm.base import small_batches, spread_rows
+from textguard.llm.base import free_prefix, small_batches, spread_rows
 from textguard.scratch import stage
 
 CAPACITY = 2048
@@ -284,6 +284,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
     Every piece gets a place; places in a sequence are gapless from 0. Lengths are between 1 and ``capacity``; others
     are an error. Pieces of equal length are interchangeable, so repeated rows and null ids need no order of their own.
     An empty table gives no rows. ``pieces`` is read several times and must not change: hand in a written table.
+    Columns ``sequence_id`` and ``offset`` that it has already are replaced; other columns may have any names.
     """
     spark = pieces.sparkSession
     counted = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
@@ -291,35 +292,38 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
     if any(not 1 <= n <= capacity for n in histogram):
         raise ValueError("a piece is empty or longer than a sequence")
     buckets = sum(histogram.values()) // NUMBERED_ROWS + 1
-    numbered = _numbered(pieces, id_col, buckets)
+    tag = free_prefix(pieces, "_pack_")
+    numbered = _numbered(pieces, id_col, buckets, tag)
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
     places = _places(spark, plan_sequences(histogram, capacity))
     # Not more rows than (lengths x distinct rooms), whatever the table: the plan groups equal sequences.
     if len(histogram) == 0:
-        return numbered.select(*pieces.columns, F.lit(0).cast("bigint").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
-    at = places.withColumnRenamed("length", "_length")
-    inside = (F.col("length") == F.col("_length")) & (F.col("_number") >= F.col("first")) & (F.col("_number") < F.col("last"))
+        return numbered.select(*kept, F.lit(0).cast("bigint").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    at = places.toDF(*(tag + c for c in places.columns))
+    number, first, last = (F.col(tag + c) for c in ("number", "first", "last"))
+    inside = (F.col("length") == F.col(tag + "length")) & (number >= first) & (number < last)
     found = numbered.join(F.broadcast(at), inside)
-    sequence = F.col("sequence_0") + F.col("_number") - F.col("first")
-    return found.select(*pieces.columns, sequence.alias("sequence_id"), "offset")
+    sequence = F.col(tag + "sequence_0") + number - first
+    return found.select(*kept, sequence.alias("sequence_id"), F.col(tag + "offset").alias("offset"))
 
 
-def _numbered(pieces: DataFrame, id_col: str, buckets: int) -> DataFrame:
-    """``pieces`` with ``_number``, from 0 within each length.
+def _numbered(pieces: DataFrame, id_col: str, buckets: int, tag: str) -> DataFrame:
+    """``pieces`` with ``number`` (its name begins with ``tag``, like that of further columns), from 0 within each length.
 
     Lengths are divided into buckets by id, numbered within, and shifted by the counts of the buckets before, so
     that no length is sorted as a whole.
     """
-    bucket = F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)).alias("_bucket")
-    dealt = pieces.select("*", bucket)
-    within = Window.partitionBy("length", "_bucket").orderBy(id_col, "piece")
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shift = (
-        dealt.groupBy("length", "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    bucket, row, shift = tag + "bucket", tag + "row", tag + "shift"
+    dealt = pieces.select("*", F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)).alias(bucket))
+    within = Window.partitionBy("length", bucket).orderBy(id_col, "piece")
+    before = Window.partitionBy("length").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = (
+        dealt.groupBy("length", bucket)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("length", bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(shift))
     )
-    ranked = dealt.withColumn("_row", F.row_number().over(within))
-    return ranked.join(shift, ["length", "_bucket"]).withColumn("_number", F.col("_shift") + F.col("_row") - 1)
+    ranked = dealt.withColumn(row, F.row_number().over(within))
+    return ranked.join(shifts, ["length", bucket]).withColumn(tag + "number", F.col(shift) + F.col(row) - 1)
 
 
 def pack_documents(
@@ -338,7 +342,9 @@ def pack_documents(
 
 
 def packed_sequences(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
-    """(``sequence_id``, ``ids``) from written pieces with their ``ids``; a sequence holds at most ``capacity`` ids."""
+    """(``sequence_id``, ``ids``) from written pieces with their ``ids``; a sequence holds at most ``capacity`` ids.
+
+    See ``pack`` for lengths, ties, null ids, empty tables and further columns, which are left out here."""
     placed = pack(pieces, capacity, id_col)
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
     return placed.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))

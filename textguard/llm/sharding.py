@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textguard.llm.base import free_name
 from textguard.scratch import stage
 
 #: Bits of a key's hash. A bucket at this depth holds equal keys only and cannot be split further.
@@ -99,16 +100,25 @@ def _leaf_columns(found: bool = False) -> list[Column]:
 
 
 def write_shards(docs: DataFrame, limit: int, path: str, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write ``docs`` as Parquet, a folder ``_shard=<bits>`` for each shard, and return the directory that was used."""
+    """Write ``docs`` as Parquet, a folder ``_shard=<bits>`` for each shard, and return the directory that was used.
+
+    Rows are dealt out by shard first, so a shard is one file; one that must be larger than ``limit`` is several. Nulls, ties,
+    repeated rows and long texts are as in ``assign_shards``; an empty table writes one without shards. All columns are
+    written, of any names: where ``docs`` has a column ``_shard``, underscores are added to the folders' names.
+    """
     shards = assign_shards(docs, limit, key_col, text_col)
     leaves = shards.select("depth", "shard", "shard_bytes", "shard_rows", "oversized").distinct()
     leaves = stage(leaves, "shard-leaves")
+    bits, shard, files = (free_name(docs, c) for c in ("_bits", "_shard", "_files"))
     depths = [r.depth for r in leaves.select("depth").distinct().collect()]
     if not depths:
         docs.write.parquet(path)
         return leaves
-    offered = docs.withColumn("_bits", F.lpad(F.bin(key_bits(F.col(key_col))), HASH_BITS, "0"))
-    names = F.explode(F.array(*[F.substring("_bits", 1, d) for d in sorted(depths)]))
-    placed = offered.withColumn("_shard", names).join(leaves.select(F.col("shard").alias("_shard")), "_shard", "left_semi")
-    placed.drop("_bits").write.partitionBy("_shard").parquet(path)
+    offered = docs.withColumn(bits, F.lpad(F.bin(key_bits(F.col(key_col))), HASH_BITS, "0"))
+    names = F.explode(F.array(*[F.substring(bits, 1, d) for d in sorted(depths)]))
+    cells = leaves.select(F.col("shard").alias(shard), F.ceil(F.col("shard_bytes") / limit).alias(files))
+    placed = offered.withColumn(shard, names).join(cells, shard).drop(bits)
+    file = F.pmod(F.monotonically_increasing_id(), F.greatest(F.col(files), F.lit(1)))
+    dealt = placed.withColumn(files, file).repartition(shard, files)
+    dealt.drop(files).write.partitionBy(shard).parquet(path)
     return leaves

@@ -2,11 +2,13 @@
 
 A batch's distinct pre-tokens lie one after the other in one array of symbols. Each step finds, for
 every pre-token at once, the best-ranked pair it holds and merges all its occurrences, until no pair is
-left; what remains are the tokens.
+left; what remains are the tokens. A long pre-token is an array of its own in which symbols are linked, and
+a step touches only the places where its best-ranked pair stands and their neighbours.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -23,6 +25,8 @@ SPACE = "▁"
 _NONE = np.int64(1) << np.int64(40)
 #: Counts of so many distinct pre-tokens are remembered by a worker; then it starts anew.
 MEMORY = 1_000_000
+#: Symbols from which a pre-token is merged by itself: the steps of a batch are as many as its longest member needs.
+LONG_RUN = 128
 
 
 class PieceMerger:
@@ -79,6 +83,11 @@ class PieceMerger:
         owner = np.repeat(np.arange(len(words)), lengths)
         np.add.at(result, owner, bytes_more[inverse])
         symbols = piece[inverse]
+        ends = np.cumsum(lengths)
+        for word in np.flatnonzero(lengths > LONG_RUN):
+            result[word] += LinkedRun(self, symbols[ends[word] - lengths[word] : ends[word]]).merged()
+        short = lengths[owner] <= LONG_RUN
+        symbols, owner = symbols[short], owner[short]
         rank, into = self._pair_arrays(symbols, owner)
         while len(symbols):
             starts = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -124,6 +133,92 @@ class PieceMerger:
         return rank, into
 
 
+class LinkedRun:
+    """The symbols of one long pre-token. Merged symbols stay where their left part was; the others drop out of the links.
+
+    Places wait under the rank of the pair that begins there, and are looked at again only when that rank is the best one
+    left: as arrays, or, for ranks that are merged one by one, in a heap from the left.
+    """
+
+    def __init__(self, merger: PieceMerger, symbols: np.ndarray):
+        n = len(symbols)
+        self.merger, self.symbols, self.left = merger, symbols.copy(), n
+        # Place n is behind the end, and place -1 (the last of the array) before the beginning.
+        self.next, self.before = np.append(np.arange(1, n + 1), [n, 0]), np.append(np.arange(-1, n), [0])
+        self.symbols = np.append(self.symbols, [-1, -1])
+        self.rank, self.into = np.full(n + 2, _NONE), np.zeros(n + 2, np.int64)
+        self.arrays: dict[int, list[np.ndarray]] = {}
+        self.heaps: dict[int, list[int]] = {}
+        self.ranks: list[int] = []
+        self._set(np.arange(n))
+
+    def _set(self, places: np.ndarray) -> int:
+        """Find the pairs that begin at some places (ascending), let these wait, and return the best rank among them."""
+        rank, into = self.merger._pairs(self.symbols[places], self.symbols[self.next[places]])
+        self.rank[places], self.into[places] = rank, into
+        known = np.flatnonzero(rank != _NONE)
+        if not len(known):
+            return int(_NONE)
+        order = known[np.argsort(rank[known], kind="stable")]
+        rank, places = rank[order], places[order]
+        begin = np.flatnonzero(np.append(True, rank[1:] != rank[:-1]))
+        for r, part in zip(rank[begin].tolist(), np.split(places, begin[1:])):
+            if self.merger.one_by_one[r]:
+                waiting = self.heaps.get(r)
+                if waiting:
+                    for place in part.tolist():
+                        heapq.heappush(waiting, place)
+                else:
+                    self.heaps[r] = part.tolist()
+                    heapq.heappush(self.ranks, r)
+            elif r in self.arrays:
+                self.arrays[r].append(part)
+            else:
+                self.arrays[r] = [part]
+                heapq.heappush(self.ranks, r)
+        return int(rank[0])
+
+    def _merge(self, at: np.ndarray) -> int:
+        """Join the pairs at some places that do not overlap; the best rank of the pairs that arise."""
+        gone = self.next[at]
+        self.symbols[at] = self.into[at]
+        behind = self.next[gone]
+        self.next[at] = behind
+        self.before[behind] = at
+        self.rank[gone] = _NONE
+        self.left -= len(at)
+        around = self.before[at]
+        return self._set(np.unique(np.concatenate([at, around[around >= 0]])))
+
+    def _leftmost(self, places: np.ndarray) -> np.ndarray:
+        """Of pairs that overlap in a row, every second one from the left."""
+        numbers = np.arange(len(places))
+        follows = np.append(False, self.next[places[:-1]] == places[1:])
+        row_start = np.maximum.accumulate(np.where(follows, 0, numbers))
+        return places[(numbers - row_start) % 2 == 0]
+
+    def merged(self) -> int:
+        """Merge until no pair is left; the number of symbols that remain."""
+        while self.ranks:
+            best = heapq.heappop(self.ranks)
+            if self.merger.one_by_one[best]:
+                waiting = self.heaps[best]
+                while waiting:
+                    place = heapq.heappop(waiting)
+                    # A pair that arises and is better ranked goes first; the rest waits on.
+                    if self.rank[place] == best and self._merge(np.array([place])) < best:
+                        break
+                if waiting:
+                    heapq.heappush(self.ranks, best)
+            else:
+                parts = self.arrays.pop(best)
+                places = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+                places = places[self.rank[places] == best]
+                if len(places):
+                    self._merge(self._leftmost(places))
+        return self.left
+
+
 class TokenCounter:
     """Counts tokens of whole texts; pre-tokens met before are looked up."""
 
@@ -159,8 +254,9 @@ def count_tokens(
     ``model_file`` names a sentencepiece BPE model that is present on every worker. Begin and end tokens
     are not counted; their strings inside a text are ordinary text; characters outside the vocabulary
     count one token a byte. Null and empty texts have no bytes and no tokens. Rows are independent:
-    repeated rows repeat the result, null ids stay null, further columns are not read. A text of any
-    length is counted whole; a single pre-token is held as an array.
+    repeated rows repeat the result, null ids stay null, an empty table gives no rows, further columns are
+    not read. A text of any length is counted whole; a single pre-token is held as an array, and takes
+    time in proportion to its length, but for a logarithm.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
