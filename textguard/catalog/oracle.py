@@ -395,6 +395,18 @@ FROM sides s LEFT JOIN best b ON b.test_id = s.id WHERE s.test"""
 
 SQL["best_jaccard_large_test"] = SQL["best_jaccard_exact"]
 
+SQL["best_jaccard_complete"] = f"""WITH {TEXTS}, {SHINGLES}, {DOCUMENT_SIDES}, each AS MATERIALIZED (
+  SELECT shingled.id, test, len(s) AS n, unnest(s) AS x FROM shingled JOIN sides USING (id)), est AS (
+  SELECT x.id AS test_id, y.id AS train_id, count(*) / (x.n + y.n - count(*))::DOUBLE AS similarity
+  FROM each x JOIN each y ON x.x = y.x AND x.test AND NOT y.test GROUP BY x.id, y.id, x.n, y.n), {TOP_TRAIN}
+SELECT s.id AS test_id, train_id, {_r('coalesce(similarity, 0)', 'similarity')}
+FROM sides s LEFT JOIN best b ON b.test_id = s.id WHERE s.test"""
+
+SQL["indexed_best_jaccard"] = f"""WITH {LSH}, {ESTIMATED}, {TOP_TRAIN}, counted AS (
+  SELECT test_id, count(*) AS n FROM pairs GROUP BY test_id)
+SELECT s.id AS test_id, train_id, {_r('coalesce(similarity, 0)', 'similarity')}, coalesce(n, 0) AS n_candidates
+FROM sides s LEFT JOIN best b ON b.test_id = s.id LEFT JOIN counted c ON c.test_id = s.id WHERE s.test"""
+
 # The benchmark gets negative ids to share one table with the documents.
 SQL["benchmark_overlap"] = f"""WITH texts AS (
   SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark), {SHINGLES}, {SIGNATURES},

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +19,10 @@ from textguard.functions.text import (
     unit_hash,
 )
 from textguard.functions.minhash import minhash
-from textguard.operators import agreement, dedup, judge, language, metrics, normalize, profiles
+from textguard.operators import agreement, dedup, judge, language, metrics, nearest_set, normalize, profiles
 from textguard.operators import sampling, scoring, split, sweep
 from textguard.operators.similarity import best_jaccard, max_cosine
+from textguard.operators.train_index import TrainIndex
 from textguard.plans import leakage
 from textguard.plans.language import language_report
 from textguard.scratch import shared_dir, spread, stage
@@ -381,6 +383,23 @@ def best_jaccard_large_test(spark, sf_dir):
     return rounded(found.select("test_id", "train_id", "similarity"))
 
 
+@query
+def best_jaccard_complete(spark, sf_dir):
+    """The most similar of all train rows, whether or not they share a band."""
+    train, test = B.document_split(spark, sf_dir)
+    return rounded(nearest_set.best_jaccard_complete(train, test, "doc_id"))
+
+
+@query
+def indexed_best_jaccard(spark, sf_dir):
+    """A kept train index, built from two thirds of the train rows; the others are appended."""
+    train, test = B.document_split(spark, sf_dir)
+    index = TrainIndex(spark, f"train_{uuid.uuid4().hex}", shared_dir(spark, "train-index"), 8)
+    index.append(train.where("doc_id % 3 > 0"), "doc_id")
+    index.append(train.where("doc_id % 3 = 0"), "doc_id")
+    return rounded(index.best_jaccard(test, "doc_id"))
+
+
 @query
 def benchmark_overlap(spark, sf_dir):
     """The benchmark as test side against all documents."""
@@ -399,7 +418,7 @@ def vector_max_cosine(spark, sf_dir):
 
 @query
 def vector_max_cosine_large_test(spark, sf_dir):
-    """By a grid of blocks, as for a test side of any size."""
+    """By cells that pivots prune, as for a test side of any size."""
     train, test = B.vector_split(spark, sf_dir)
     return rounded(max_cosine(train, test, "vec_id", max_test_rows=0))
 

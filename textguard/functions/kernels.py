@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
 PAIR_CHUNK = 1 << 16
+# Hashes of pairs that are compared at once, and pairs that candidates are looked up for at once, about.
+PAIR_VALUES = 1 << 21
+CANDIDATE_CHUNK = 1 << 21
 VECTOR_CHUNK = 1 << 10
 # Values per pass of the permutations: small enough for the processor cache.
 VALUE_CHUNK = 1 << 15
@@ -87,18 +92,35 @@ def jaccard_pairs(
 ) -> np.ndarray:
     """Exact Jaccard of pairs of sorted distinct sets."""
     out = np.empty(len(left))
-    for k, (i, j) in enumerate(zip(left, right)):
-        x = left_values[left_offsets[i] : left_offsets[i + 1]]
-        y = right_values[right_offsets[j] : right_offsets[j + 1]]
-        if len(x) > len(y):
-            x, y = y, x
-        at = np.searchsorted(y, x)
-        at[at == len(y)] = len(y) - 1
-        common = int((y[at] == x).sum())
-        out[k] = common / (len(x) + len(y) - common)
+    sizes, others = np.diff(left_offsets)[left], np.diff(right_offsets)[right]
+    steps = np.cumsum(sizes + others) // PAIR_VALUES
+    for a, e in chunk_bounds(steps):
+        x = left_values[ragged(left_offsets[left[a:e]], sizes[a:e])]
+        y = right_values[ragged(right_offsets[right[a:e]], others[a:e])]
+        # Values as numbers of their order, so that a pair's number fits in front of them.
+        known, number = np.unique(np.concatenate([x, y]), return_inverse=True)
+        pair = np.concatenate([np.repeat(np.arange(e - a), n[a:e]) for n in (sizes, others)])
+        coded = pair * len(known) + number
+        x, y, pair = coded[: len(x)], coded[len(x) :], pair[: len(x)]
+        # Sets are sorted and pairs ascend, so both are.
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        common = np.bincount(pair[y[at] == x], minlength=e - a)
+        out[a:e] = common / (sizes[a:e] + others[a:e] - common)
     return out
 
 
+def chunk_bounds(steps: np.ndarray) -> list[tuple[int, int]]:
+    """(first, behind the last) of the runs of equal numbers."""
+    begin = np.flatnonzero(np.append(True, steps[1:] != steps[:-1]))[: len(steps)]
+    return list(zip(begin.tolist(), np.append(begin[1:], len(steps)).tolist()))
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of all ranges, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) - np.repeat(before - starts, lengths)
+
+
 class BandIndex:
     """Lookup of a bounded set of signatures by band."""
 
@@ -108,21 +130,22 @@ class BandIndex:
         self.order = np.argsort(keys, axis=0, kind="stable")
         self.sorted_keys = np.take_along_axis(keys, self.order, axis=0)
 
-    def candidates(self, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (probe row, indexed row) pairs that share a band."""
+    def candidates(self, signatures: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Distinct (probe row, indexed row) pairs that share a band, for some probe rows after the others: a row has at
+        most as many as there are bands and indexed rows, and a chunk little more than ``CANDIDATE_CHUNK``."""
         keys = band_keys(signatures, self.bands, self.rows)
-        codes = np.empty(0, dtype=np.int64)
+        low, count = (np.empty(keys.shape, dtype=np.int64) for _ in range(2))
         for band in range(self.bands):
             column = self.sorted_keys[:, band]
-            low = np.searchsorted(column, keys[:, band], "left")
-            count = np.searchsorted(column, keys[:, band], "right") - low
-            probe = np.repeat(np.arange(len(keys)), count)
-            if len(probe) == 0:
-                continue
-            step = np.arange(len(probe)) - np.repeat(np.cumsum(count) - count, count)
-            hit = self.order[np.repeat(low, count) + step, band]
-            codes = np.union1d(codes, probe * len(self.ids) + hit)
-        return codes // len(self.ids), codes % len(self.ids)
+            low[:, band] = np.searchsorted(column, keys[:, band], "left")
+            count[:, band] = np.searchsorted(column, keys[:, band], "right") - low[:, band]
+        for a, e in chunk_bounds(np.cumsum(count.sum(axis=1)) // CANDIDATE_CHUNK):
+            n = count[a:e].ravel()
+            band = np.repeat(np.tile(np.arange(self.bands), e - a), n)
+            probe = np.repeat(np.repeat(np.arange(a, e), self.bands), n)
+            hit = self.order[ragged(low[a:e].ravel(), n), band]
+            codes = np.unique(probe * len(self.ids) + hit)
+            yield codes // max(1, len(self.ids)), codes % max(1, len(self.ids))
 
 
 def match_batches(batches, index: BandIndex, sets=None):
@@ -152,15 +175,15 @@ def match_batches(batches, index: BandIndex, sets=None):
         _, first, copies = np.unique(packed.ravel(), return_index=True, return_counts=True)
         ids, signatures, by_id = ids[first], signatures[first], by_id[first]
 
-        train, test = index.candidates(signatures)
-        found += np.bincount(test, weights=copies[train], minlength=n).astype(np.int64)
-        for start in range(0, len(train), PAIR_CHUNK):
-            i, j = train[start : start + PAIR_CHUNK], test[start : start + PAIR_CHUNK]
-            if sets is None:
-                score = (signatures[i] == index.signatures[j]).mean(axis=1)
-            else:
-                score = jaccard_pairs(values, offsets, sets[0], sets[1], by_id[i], j)
-            keep_best(best, best_id, j, score, ids[i])
+        for train, test in index.candidates(signatures):
+            found += np.bincount(test, weights=copies[train], minlength=n).astype(np.int64)
+            for start in range(0, len(train), PAIR_CHUNK):
+                i, j = train[start : start + PAIR_CHUNK], test[start : start + PAIR_CHUNK]
+                if sets is None:
+                    score = (signatures[i] == index.signatures[j]).mean(axis=1)
+                else:
+                    score = jaccard_pairs(values, offsets, sets[0], sets[1], by_id[i], j)
+                keep_best(best, best_id, j, score, ids[i])
     hit = np.flatnonzero(found)
     yield pa.RecordBatch.from_arrays(
         [

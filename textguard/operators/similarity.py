@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from textguard.functions import kernels
 from textguard.functions.minhash import BAND_ROWS, BANDS, NUM_PERM, bands, minhash
 from textguard.functions.text import shingle_hashes
+from textguard.operators.pivots import pivoted_cosine
 from textguard.scratch import stage
 
 # Bounds of what is sent to every task: 20,000 signatures are 10 MB, 16 M hashes 128 MB,
@@ -23,7 +24,6 @@ MAX_TEST_VALUES = 16_000_000
 # Members of one band on one side that meet in one join group.
 BAND_BLOCK = 2_048
 SALTS = 32
-VECTOR_BLOCK = 4_096
 
 _BEST = "test_id bigint, train_id bigint, similarity double, n_candidates bigint"
 
@@ -37,7 +37,7 @@ def sketches(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     return hashed.withColumn("signature", minhash(F.col("hashes")))
 
 
-def _finish(test_ids: DataFrame, best: DataFrame) -> DataFrame:
+def finish_matches(test_ids: DataFrame, best: DataFrame) -> DataFrame:
     """One row per test row; similarity 0 and no train id without a candidate."""
     per_test = best.groupBy("test_id").agg(
         F.max_by(
@@ -70,23 +70,22 @@ def _match_in_place(train: DataFrame, test: DataFrame, exact: bool) -> DataFrame
     return train.select(*columns).mapInArrow(run, _BEST)
 
 
-def _with_set_key(side: DataFrame) -> DataFrame:
+def with_set_key(side: DataFrame) -> DataFrame:
+    """Sketches with a digest that names their shingle set."""
     joined = F.concat_ws(",", F.col("hashes").cast("array<string>"))
     return side.withColumn("set_key", F.unhex(F.sha2(joined, 256)))
 
 
-def _distinct_sets(side: DataFrame) -> DataFrame:
-    """One row per distinct shingle set: lowest id, number of copies, bands."""
-    return (
-        side.groupBy("set_key")
-        .agg(
-            F.min("id").alias("id"),
-            F.first("hashes").alias("hashes"),
-            F.first("signature").alias("signature"),
-            F.count(F.lit(1)).alias("copies"),
-        )
-        .withColumn("bands", bands(F.col("signature")))
+def _distinct_sets(side: DataFrame, compared: str, purpose: str) -> DataFrame:
+    """One row per distinct shingle set: lowest id, number of copies, band keys, and what pairs are compared by."""
+    grouped = side.groupBy("set_key").agg(
+        F.min("id").alias("id"),
+        F.first(compared).alias(compared),
+        F.first("signature").alias("_signature"),
+        F.count(F.lit(1)).alias("copies"),
     )
+    keyed = grouped.withColumn("bands", bands(F.col("_signature")))
+    return stage(keyed.select("set_key", "id", compared, "copies", "bands"), purpose)
 
 
 def _place(side: DataFrame, hot: DataFrame, own: str, other: str) -> DataFrame:
@@ -108,14 +107,16 @@ def _place(side: DataFrame, hot: DataFrame, own: str, other: str) -> DataFrame:
 def _match_shuffled(train: DataFrame, test: DataFrame, exact: bool) -> DataFrame:
     """The same by joins on bands, for a test side of any size.
 
-    Copies collapse to one row per distinct set before anything is paired, hot bands are divided
-    into bounded cells, and pairs are reduced to the best one per test set where they arise.
+    Copies collapse to one row per distinct set before anything is paired, hot bands are divided into bounded cells, and only
+    ids go through the bands: signatures or hashes are fetched once for each distinct pair.
     """
-    test_keyed = _with_set_key(test)
-    sets = {"train": _distinct_sets(_with_set_key(train)), "test": _distinct_sets(test_keyed)}
-    banded = {
-        side: df.select(F.explode("bands").alias("band"), "id") for side, df in sets.items()
+    compared = "hashes" if exact else "signature"
+    test_keyed = with_set_key(test)
+    sets = {
+        "train": _distinct_sets(with_set_key(train), compared, "train-sets"),
+        "test": _distinct_sets(test_keyed, compared, "test-sets"),
     }
+    banded = {side: df.select(F.explode("bands").alias("band"), "id") for side, df in sets.items()}
     sizes = {
         side: df.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BAND_BLOCK).alias(f"{side}_block"))
         for side, df in banded.items()
@@ -123,33 +124,27 @@ def _match_shuffled(train: DataFrame, test: DataFrame, exact: bool) -> DataFrame
     hot = sizes["train"].join(sizes["test"], "band").where("train_block > 1 OR test_block > 1")
     cell = ["band", "train_block", "test_block"]
     near = {
-        "train": _place(banded["train"], hot, "train_block", "test_block"),
-        "test": _place(banded["test"], hot, "test_block", "train_block"),
+        "train": _place(banded["train"], hot, "train_block", "test_block").withColumnRenamed("id", "train_id"),
+        "test": _place(banded["test"], hot, "test_block", "train_block").withColumnRenamed("id", "test_id"),
     }
-    cells_in_use = {side: df.select(*cell).distinct() for side, df in near.items()}
-
-    def attach(side: str, opposite: str) -> DataFrame:
-        rows = near[side].join(cells_in_use[opposite], cell, "left_semi")
-        wide = rows.join(sets[side].drop("set_key"), "id")
-        return wide.select(*cell, *[F.col(c).alias(f"{side}_{c}") for c in wide.columns if c not in cell])
-
-    pairs = attach("train", "test").join(attach("test", "train"), cell)
-    shared = F.zip_with("train_bands", "test_bands", lambda x, y: x == y)
-    first_shared = F.element_at("train_bands", F.array_position(shared, True).cast("int"))
+    pairs = near["train"].join(near["test"], cell).select("test_id", "train_id").distinct()
+    wide = pairs
+    for side in ("train", "test"):
+        given = sets[side].select(F.col("id").alias(f"{side}_id"), F.col(compared).alias(side), *(["copies"] if side == "train" else []))
+        wide = wide.join(given, f"{side}_id")
     if exact:
-        common = F.size(F.array_intersect("train_hashes", "test_hashes"))
-        similarity = common / (F.size("train_hashes") + F.size("test_hashes") - common)
+        common = F.size(F.array_intersect("train", "test"))
+        similarity = common / (F.size("train") + F.size("test") - common)
     else:
-        equal = F.zip_with("train_signature", "test_signature", lambda x, y: x == y)
+        equal = F.zip_with("train", "test", lambda x, y: x == y)
         similarity = F.size(F.filter(equal, lambda e: e)) / NUM_PERM
-    scored = pairs.where(F.col("band") == first_shared).select(
-        "test_id", "train_id", "train_copies", similarity.alias("similarity")
-    )
-    per_set = scored.groupBy("test_id").agg(
-        F.max_by(
-            F.struct("train_id", "similarity"), F.struct("similarity", -F.col("train_id"))
-        ).alias("best"),
-        F.sum("train_copies").alias("n_candidates"),
+    per_set = (
+        wide.select("test_id", "train_id", "copies", similarity.alias("similarity"))
+        .groupBy("test_id")
+        .agg(
+            F.max_by(F.struct("train_id", "similarity"), F.struct("similarity", -F.col("train_id"))).alias("best"),
+            F.sum("copies").alias("n_candidates"),
+        )
     )
     best = sets["test"].select("set_key", F.col("id").alias("test_id")).join(per_set, "test_id")
     return (
@@ -182,7 +177,7 @@ def best_jaccard(
     known = sketches(train, id_col, text)
     fits = size["rows"] <= max_test_rows and (not exact or size["values"] <= MAX_TEST_VALUES)
     match = _match_in_place if fits else _match_shuffled
-    return _finish(wanted.select(F.col("id").alias("test_id")), match(known, wanted, exact))
+    return finish_matches(wanted.select(F.col("id").alias("test_id")), match(known, wanted, exact))
 
 
 def max_cosine(
@@ -195,7 +190,8 @@ def max_cosine(
     """Per test vector the largest cosine to any train vector and that vector's id.
 
     Vectors need not be normalized; the cosine with a zero vector is 0. Lowest train id wins ties
-    (at nine decimals). A vector that is null, empty or has a null in it matches nothing: such a test
+    (at nine decimals). A vector that is null, empty or has a null
+    or a number that is not finite in it matches nothing: such a test
     row, and every one on an empty train table, gets similarity 0 and no train id. Vectors of
     different lengths are an error.
     """
@@ -205,7 +201,8 @@ def max_cosine(
             F.col(id_col).cast("bigint").alias("id"),
             F.col(embedding).cast("array<double>").alias("embedding"),
         )
-        return given.where((F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull()))
+        odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        return given.where((F.size("embedding") > 0) & ~odd)
 
     wanted = vectors(test)
     size = F.size("embedding")
@@ -220,7 +217,7 @@ def max_cosine(
     if n_test <= max_test_rows and n_test * length <= MAX_TEST_VALUES:
         best = _cosine_in_place(known, wanted)
     else:
-        best = _cosine_blocked(known, wanted, known.count(), n_test)
+        best = pivoted_cosine(known, wanted)
     reduced = best.groupBy("test_id").agg(
         F.max_by(
             F.struct("train_id", "similarity"), F.struct("similarity", -F.col("train_id"))
@@ -252,21 +249,3 @@ def _cosine_in_place(train: DataFrame, test: DataFrame) -> DataFrame:
         return kernels.cosine_batches(batches, test_ids, vectors)
 
     return train.mapInArrow(run, _COSINE)
-
-
-def _cosine_blocked(train: DataFrame, test: DataFrame, n_train: int, n_test: int) -> DataFrame:
-    """Both sides in hash blocks of bounded size; each cell of the block grid is one group."""
-
-    def blocked(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        own_blocks, other_blocks = (-(-n // VECTOR_BLOCK) or 1 for n in (n_own, n_other))
-        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(own_blocks))).withColumn(
-            other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(other_blocks - 1).cast("bigint")))
-        )
-
-    def cell(left, right):
-        return kernels.cosine_cell(left, right)
-
-    grid = ["train_block", "test_block"]
-    left = blocked(train, "train_block", n_train, "test_block", n_test)
-    right = blocked(test, "test_block", n_test, "train_block", n_train)
-    return left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(cell, _COSINE)
