@@ -1,5 +1,5 @@
+import glob
 import json
-import os
 import sys
 
 import pytest
@@ -124,8 +124,8 @@ def test_rows_pause_between_requests():
 def test_log_is_one_json_record_per_row_with_nulls(spark, tmp_path):
     path = str(tmp_path / "log")
     append_predictions(spark.createDataFrame([(1, 0, "s", None, "SAFETY")], JUDGE_RESULT), path)
-    files = [f for f in os.listdir(path) if f.endswith(".json")]
-    records = [json.loads(line) for f in files for line in open(os.path.join(path, f))]
+    files = glob.glob(f"{path}/commit=*/*.json")
+    records = [json.loads(line) for f in files for line in open(f)]
     assert records == [{"row_id": 1, "true_label": 0, "source_dataset": "s", "predicted_label": None, "block_reason": "SAFETY"}]
     assert read_predictions(spark, str(tmp_path / "absent")).count() == 0
 

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textguard.functions.text import encode_label, preview
-from textguard.operators.judge import resolve_results
 from textguard.operators.metrics import LABEL, SOURCE, binary_metrics
+from textguard.sources.results import resolve_results
 
 # Fixed value: code points shown of a text two judges disagree on.
 PREVIEW_CHARS = 200
@@ -30,13 +30,11 @@ class Judge(NamedTuple):
 def align(sample: DataFrame, results: Mapping[str, DataFrame], on: str = "row_id") -> DataFrame:
     """Attach each judge's columns to the sample by row id, prefixed with the judge's name.
 
-    A log that asked again after an error has several records for a row; each row gets one, an answer or a
+    A log of any kind may have several records for a row; each row gets one (see ``resolve_results``), an answer or a
     refusal before an error. ``<name>_present`` tells a row without any record from a refusal.
     """
     for name, result in results.items():
-        if {"predicted_label", "block_reason"} <= set(result.columns):
-            result = resolve_results(result, on)
-        result = result.withColumn("present", F.lit(True))
+        result = resolve_results(result, on).withColumn("present", F.lit(True))
         renamed = result.select(
             on, *[F.col(c).alias(f"{name}_{c}") for c in result.columns if c != on]
         )
@@ -67,8 +65,11 @@ def completeness(sample: DataFrame, results: Mapping[str, DataFrame], on: str =
 
 
 def assert_complete(sample: DataFrame, results: Mapping[str, DataFrame], on: str = "row_id") -> None:
-    """Raise unless every judge has a result for every sample row, and for no other. Repeated records of a row
-    are no error: ``align`` resolves them."""
+    """Raise unless every judge has a result for every sample row, and for no other, and every sample row has an id of its own.
+    Repeated records of a row are no error: ``align`` resolves them."""
+    rows, ids = sample.agg(F.count(F.lit(1)), F.countDistinct(on)).first()
+    if rows != ids:
+        raise RuntimeError(f"{rows - ids} of {rows} sample rows have no id of their own")
     for row in completeness(sample, results, on).collect():
         if row.n_missing or row.n_unknown:
             raise RuntimeError(
@@ -77,6 +78,12 @@ def assert_complete(sample: DataFrame, results: Mapping[str, DataFrame], on: str
             )
 
 
+def number_code(label: Column) -> Column:
+    """A numeric label: 0, 1 or null (a refusal); any other is an error."""
+    unknown = F.raise_error(F.concat(F.lit("unknown label: "), label.cast("string"))).cast("int")
+    return F.when(label.isNull() | label.isin(0, 1), label.cast("int")).otherwise(unknown)
+
+
 def answer_code(label: Column) -> Column:
     """attack → 1, benign → 0, no label → null (a refusal); any other label is an error."""
     unknown = F.raise_error(F.concat(F.lit("unknown label: "), label)).cast("int")

@@ -6,11 +6,13 @@ import time
 from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textguard.schemas import BASELINE_RESULT, JUDGE_RESULT
-from textguard.sources.results import append_predictions, read_predictions
+from textguard.operators.sampling import head
+from textguard.scratch import stage
+from textguard.sources.results import ResultLog, append_predictions, read_predictions, resolve_results
 
 # Requests per minute, safety margin on their spacing, rows per day.
 REQUESTS_PER_MINUTE = 15
@@ -73,20 +75,12 @@ def settled_results(results: DataFrame, retry_errors: bool = False) -> DataFrame
 
 
 def todo_rows(sample: DataFrame, done: DataFrame, limit: int | None = None) -> DataFrame:
-    """Sample rows without a record, the first ``limit`` in row order."""
+    """Sample rows without a record, the first ``limit`` in row order. Rows without an id are refused; rows that share an id are
+    one row of the sample, of which ``limit`` may take some."""
+    odd = F.raise_error(F.lit("a sample row has no row_id")).cast("boolean")
+    sample = sample.where(F.when(F.col("row_id").isNull(), odd).otherwise(True))
     left = sample.join(done.select("row_id"), "row_id", "left_anti")
-    if limit is None:
-        return left
-    first = left.select("row_id").orderBy("row_id").limit(limit)
-    return left.join(first, "row_id", "left_semi")
-
-
-def resolve_results(results: DataFrame, on: str = "row_id") -> DataFrame:
-    """One record per row id; an answer or a refusal wins over an error record."""
-    failed = F.coalesce(F.col("block_reason").startswith("error"), F.lit(False)).cast("int")
-    record = F.struct(*results.columns)
-    order = F.struct(failed.alias("failed"), record.alias("record"))
-    return results.groupBy(on).agg(F.min(order).alias("r")).select("r.record.*")
+    return left if limit is None else head(left, limit)
 
 
 def result_counts() -> list[Column]:
@@ -132,45 +126,71 @@ def judge_batch(
     Where there is a rate, every ``commit_rows`` rows are committed, so a failure loses the answers of one chunk
     only; without one, answers are cheap and a run is one commit. An exhausted quota ends the run.
 
+    The log is read once a run, and the open rows are written in order first, so a chunk reads neither log nor sample. A run
+    that answers all it has set out to leaves a mark: the next one looks at log and sample beyond it only, as long as
+    the sample still has as many rows up to it.
+
     Requests are spread over ``parallelism`` tasks of consecutive row ids, which share the rate: one
     task by default where there is a rate, as many as the sample has partitions where there is none.
     Records reach the log with the commit of the job, so a repeated task adds none twice; the
     counts of the run are observed while writing, so the judge is asked once.
     """
-    spark = sample.sparkSession
+    spark, log = sample.sparkSession, ResultLog(sample.sparkSession, results_path)
+    log.compact_if_long()
     if parallelism is None and rpm is not None:
         parallelism = 1
     interval = 0.0 if rpm is None else 60.0 / rpm * SPACING_MARGIN * parallelism
     counts = dict.fromkeys(("judged_this_run", "ok", "blocked", "errors"), 0)
-    done_before, asked = None, 0
-    while True:
-        log = read_predictions(spark, results_path)
-        # Errors of this run are not asked again by it.
-        done = settled_results(log, retry_errors and not asked)
-        if done_before is None:
-            done_before = done.select("row_id").distinct().count()
-        limits = [n for n in (daily_limit and daily_limit - asked, commit_rows if rpm is not None else None) if n is not None]
-        chunk = min(limits, default=None)
-        todo = todo_rows(sample, done, chunk).select(
-            "row_id", F.col("label").cast("int").alias("label"), "source_dataset", "text"
-        )
+    total = sample.count()
+    settled = None if retry_errors else _settled_upto(sample, log)
+    open_, before = sample, 0
+    if settled is not None:
+        open_, before = sample.where(F.coalesce(F.col("row_id") > settled[0], F.lit(True))), settled[1]
+    done = settled_results(log.read(settled and settled[0]), retry_errors)
+    if settled is not None:
+        done = done.where(F.col("row_id") > settled[0])
+    done = stage(done.select("row_id").distinct(), "judge-done")
+    done_before = done.count() + before
+    todo = todo_rows(open_, done, daily_limit).select(
+        "row_id", F.col("label").cast("int").alias("label"), "source_dataset", "text"
+    )
+    todo = stage(_in_chunks(todo, commit_rows if rpm is not None else None), "judge-todo")
+    wanted, chunks, last_id = todo.agg(F.count(F.lit(1)), F.max("chunk"), F.max("row_id")).first()
+    for chunk in range(0, (chunks or 0) + 1) if wanted else ():
+        part = todo.where(F.col("chunk") == chunk).drop("chunk")
         if parallelism is not None:
-            todo = todo.repartitionByRange(parallelism, "row_id").sortWithinPartitions("row_id")
-        elif chunk is not None:
-            todo = todo.repartitionByRange(spark.sparkContext.defaultParallelism, "row_id")
-        records = todo.mapInPandas(judge_rows(make_judge, interval), JUDGE_RESULT)
+            part = part.repartitionByRange(parallelism, "row_id").sortWithinPartitions("row_id")
+        records = part.mapInPandas(judge_rows(make_judge, interval), JUDGE_RESULT)
         observed = Observation("judge run")
-        append_predictions(records.observe(observed, *result_counts()), results_path)
+        log.append(records.observe(observed, *result_counts()))
         run = {name: int(observed.get.get(name) or 0) for name in counts}
         counts = {name: counts[name] + run[name] for name in counts}
-        asked += run["judged_this_run"]
-        if chunk is None or run["judged_this_run"] < chunk or asked == daily_limit:
+        if rpm is not None and run["judged_this_run"] < commit_rows:
             break
-    return {
-        **counts,
-        "total_done": done_before + counts["judged_this_run"],
-        "total_sample": sample.count(),
-    }
+    if wanted and counts["judged_this_run"] == wanted:
+        log.set_mark(last_id, sample.where(F.col("row_id") <= last_id).count())
+    return {**counts, "total_done": done_before + counts["judged_this_run"], "total_sample": total}
+
+
+def _settled_upto(sample: DataFrame, log: ResultLog) -> tuple[int, int] | None:
+    """The log's mark, if this sample has as many rows up to it as the one that it was set for."""
+    mark = log.mark()
+    return mark if mark and sample.where(F.col("row_id") <= mark[0]).count() == mark[1] else None
+
+
+def _in_chunks(rows: DataFrame, size: int | None) -> DataFrame:
+    """``rows`` in row order with the number of their ``chunk`` of ``size`` rows. Without a size there is one chunk."""
+    if size is None:
+        return rows.withColumn("chunk", F.lit(0).cast("bigint"))
+    ranged = rows.repartitionByRange("row_id").sortWithinPartitions("row_id")
+    at = stage(ranged.withColumn("_at", F.monotonically_increasing_id()), "judge-order")
+    part, in_part = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = at.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    shift = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    place = F.col("_shift") + in_part
+    numbered = at.withColumn("_part", part).join(F.broadcast(shift), "_part")
+    return numbered.withColumn("chunk", F.floor(place / size)).drop("_at", "_part", "_shift").sortWithinPartitions("chunk", "row_id")
 
 
 def parse_judge_response(

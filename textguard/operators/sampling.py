@@ -13,9 +13,18 @@ from textguard.operators.split import SEED
 
 
 def head(df: DataFrame, n: int, order_by: str = "row_id") -> DataFrame:
-    """First n rows in row order. Only the order column is merged; the rows come back by a semi join on it."""
-    first = df.select(order_by).orderBy(order_by).limit(n)
-    return df.join(first, order_by, "left_semi").orderBy(order_by)
+    """The first min(n, rows) rows in row order, nulls first; of rows that share an order value, those with the least hash.
+
+    Only order values and hashes are merged; the rows come back by a join on both. Rows alike in both are equal, so one of them
+    is repeated as often as it is wanted.
+    """
+    keyed = df.withColumns({"_key": F.col(order_by), "_row": F.xxhash64(*df.columns)})
+    first = keyed.select("_key", "_row").orderBy("_key", "_row").limit(n)
+    taken = first.groupBy("_key", "_row").agg(F.count(F.lit(1)).cast("int").alias("_times"))
+    same = F.col("k._key").eqNullSafe(F.col("t._key")) & (F.col("k._row") == F.col("t._row"))
+    found = keyed.alias("k").join(taken.alias("t"), same).select("k.*", "t._times").dropDuplicates(["_key", "_row"])
+    times = F.explode(F.array_repeat(F.lit(0), F.col("_times")))
+    return found.withColumn("_copy", times).orderBy("_key").select(*df.columns)
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = SEED, key: Column | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from textguard.operators.agreement import (
     Judge,
     align,
     answer_code,
+    number_code,
     assert_complete,
     compare_judges,
     disagreements,
@@ -26,8 +27,12 @@ def compare_logs(
     assert_complete(sample, results, on)
     aligned = align(sample, results, on)
     for name, result in results.items():
-        if dict(result.dtypes).get("predicted_label") == "string":
-            aligned = aligned.withColumn(f"{name}_prediction", answer_code(F.col(f"{name}_predicted_label")))
+        label = F.col(f"{name}_predicted_label")
+        kind = dict(result.dtypes).get("predicted_label")
+        if kind == "string":
+            aligned = aligned.withColumn(f"{name}_prediction", answer_code(label))
+        elif kind is not None:
+            aligned = aligned.withColumn(f"{name}_predicted_label", number_code(label))
     return comparison_report(aligned, judges)
 
 
