@@ -143,6 +143,15 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("judge_b_prediction", answer_code(F.col("judge_b_predicted_label"))).drop("judge_b_present", "judge_c_present")
 
 
+def retried_logs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The logs of both judges with rows that were asked again: after an error, or with the same answer."""
+    b, c = judge_b(spark, sf_dir), judge_c(spark, sf_dir)
+    failed = b.where("row_id % 7 = 0").withColumns(
+        {"predicted_label": F.lit(None).cast("string"), "block_reason": F.lit("error: timeout")}
+    )
+    return {"judge_b": b.unionByName(failed), "judge_c": c.unionByName(c.where("row_id % 5 = 0"))}
+
+
 def is_test(key: Column) -> Column:
     return unit_hash(key, "t") < 0.1
 
@@ -174,3 +183,18 @@ def embedded_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
         hard_prediction(prob / 10000.0).alias("prediction"),
     )
     return rows.where(~is_test(F.col("row_id"))), rows.where(is_test(F.col("row_id")))
+
+
+# Offsets of the ids of planted leaks, and every how many-th train rows are leaked.
+COPIES_FROM, NEAR_FROM, LEAKED_EVERY = 1_000_000_000, 2_000_000_000, 10
+
+
+def leaky_documents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``embedded_documents`` with leaks on the test side: train rows as they are, and others with their vector bent."""
+    train, test = embedded_documents(spark, sf_dir)
+    double = F.col("embedding").cast("array<double>")
+    bent = F.transform(double, lambda x, i: x * (1 + 0.5 * (i % 2)))
+    copies = train.where(f"row_id % {LEAKED_EVERY} = 3").withColumns({"row_id": F.col("row_id") + COPIES_FROM, "embedding": double})
+    near = train.where(f"row_id % {LEAKED_EVERY} = 4").withColumns({"row_id": F.col("row_id") + NEAR_FROM, "embedding": bent})
+    own = test.withColumn("embedding", double)
+    return train, own.unionByName(copies).unionByName(near)

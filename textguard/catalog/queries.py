@@ -20,15 +20,18 @@ from textguard.functions.text import (
 )
 from textguard.functions.minhash import minhash
 from textguard.operators import agreement, dedup, judge, language, metrics, nearest_set, normalize, profiles
-from textguard.operators import sampling, scoring, split, sweep
+from textguard.operators import sampling, scanner, scoring, split, sweep
+from textguard.operators.scanner import Phrase
 from textguard.operators.similarity import best_jaccard, max_cosine
 from textguard.operators.train_index import TrainIndex
 from textguard.plans import leakage
+from textguard.plans.compare import compare_logs
 from textguard.plans.language import language_report
 from textguard.scratch import shared_dir, spread, stage
 from textguard.sources import profile as raw_profile
 from textguard.sources import raw, report, results, splits
 from textguard.streaming.judging import start_judging
+from textguard.streaming.pending import start_pending_judging
 from textguard.streaming.verdicts import start_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,8 +40,20 @@ QUERIES: dict[str, Query] = {}
 BIG_SAMPLE = 50
 SAMPLE = 200
 # Stated quality of fitted models, met by held-out rows too: the classifier ranks them at 0.84 to 0.87.
-CLASSIFIER_AUC = 0.75
+CLASSIFIER_AUC = 0.9
+PHRASE_AUC = 0.7
+# Error of ranks that a latency sketch may have; a sketch of SKETCH_K is stated at some 0.002.
+SKETCH_ERROR = 0.005
+# Phrases that the given documents hold: insults, alone or near one another, and everyday words in order.
+DOCUMENT_PHRASES = (
+    Phrase("insult", (("idiot", "moron", "loser", "clown", "scum", "trash"),)),
+    Phrase("contempt", (("worthless", "pathetic", "stupid", "disgusting"),)),
+    Phrase("both", (("worthless", "pathetic", "stupid", "disgusting"), ("idiot", "moron", "loser", "clown", "scum", "trash")), 40),
+    Phrase("this and that", (("the", "this"), ("and",), ("that", "the")), 3),
+    Phrase("de la", (("de",), ("la", "las", "los"))),
+)
 LANGUAGE_SHARE = 0.9
+UNKNOWN_SHARE = 0.95
 # Stand-in rules: the given conversations are invented prose, so attack phrases do not occur.
 CONVERSATION_RULES = {
     r"(^|[^\p{L}])the([^\p{L}]|$)": 0.5,
@@ -255,6 +270,23 @@ def latency_summary(spark, sf_dir):
     return rounded(metrics.latency_summary(events, "value", ["event_type"]))
 
 
+@query
+def latency_sketches(spark, sf_dir):
+    """Percentiles from merged sketches of three parts of the events: measurements, and whether the share of them that is not
+    larger than each lies within the stated error of what it should be."""
+    events = B.table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    parts = [metrics.latency_sketch(events.where(f"event_id % 3 = {k}"), "value", ["event_type"]) for k in range(3)]
+    kept = [stage(p, "sketches") for p in parts]
+    merged = metrics.merge_sketches(kept[0].unionByName(kept[1]).unionByName(kept[2]), ["event_type"])
+    found = metrics.sketched_latency(merged, ["event_type"])
+    near = []
+    for name, rank in {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}.items():
+        at, below = F.avg((F.col("value") <= F.col(name)).cast("int")), F.avg((F.col("value") < F.col(name)).cast("int"))
+        near.append(((at >= rank - SKETCH_ERROR) & (below <= rank + SKETCH_ERROR)).alias(f"{name[:3]}_near"))
+    held = events.join(F.broadcast(found), "event_type").groupBy("event_type").agg(F.max("n_samples").alias("n_samples"), *near)
+    return rounded(held.join(found.select("event_type", "mean_ms"), "event_type"), 6)
+
+
 # Threshold sweep
 
 
@@ -322,6 +354,13 @@ def pairwise_agreement(spark, sf_dir):
     return rounded(agreement.pairwise_agreement(B.aligned(spark, sf_dir), B.JUDGES))
 
 
+@query
+def compare_logs_retried(spark, sf_dir):
+    """Agreement of the judges from logs in which rows were asked again: each counts once."""
+    rows = B.scored(spark, sf_dir)
+    return rounded(compare_logs(rows, B.retried_logs(spark, sf_dir), B.JUDGES)["pairwise_agreement"])
+
+
 @query
 def disagreements(spark, sf_dir):
     return agreement.disagreements(B.aligned(spark, sf_dir), *B.JUDGES[:2])
@@ -437,7 +476,9 @@ def leakage_report(spark, sf_dir):
 
 @query
 def leakage_adjusted(spark, sf_dir):
-    _, test, matches = _matches(spark, sf_dir)
+    """On a test side with planted leaks, so that every part has rows."""
+    train, test = B.leaky_documents(spark, sf_dir)
+    matches = stage(leakage.combine_matches(max_cosine(train, test), best_jaccard(train, test)), "matches")
     return rounded(leakage.leakage_adjusted_metrics(test, matches))
 
 
@@ -490,6 +531,34 @@ def detect_language(spark, sf_dir):
     )
 
 
+@query
+def unknown_language(spark, sf_dir):
+    """All documents in letters of another script, and with every letter replaced by the next one: texts of no known language.
+    Per kind: documents, and whether at least the stated share of them is rejected, and of the documents as they are, taken."""
+    docs = spread(B.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+    detector = language.fit_language_detector(docs.where(~B.is_test(F.col("doc_id"))))
+    lower, latin = F.lower("text"), "abcdefghijklmnopqrstuvwxyz"
+    texts = {"own": F.col("text"), "other_script": F.translate(lower, latin, "αβψδεφγηιξκλμνοπθρστυωςχζφ"), "shifted": F.translate(lower, latin, latin[1:] + "a")}
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in texts.items())))
+    rows = docs.select("doc_id", kinds.alias("k")).select("doc_id", "k.kind", "k.text")
+    found = language.detect_language(rows, detector)
+    rejected = (F.col("language") == language.UNKNOWN) == (F.col("kind") != "own")
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), (F.avg(rejected.cast("int")) >= UNKNOWN_SHARE).alias("as_expected"))
+
+
+@query
+def detected_language_report(spark, sf_dir):
+    """The report of a fitted detector: rows and false positives, and whether its rates are near those of the given languages."""
+    docs = spread(B.table(spark, sf_dir, "documents").select("text", "lang", "doc_id"), "doc_id")
+    rows = B.scored(spark, sf_dir)
+    detected = language_report(rows.drop("lang"), "beta", language.fit_language_detector(docs))["rates"]
+    given = language_report(_languages(spark, sf_dir), "beta")["rates"]
+    rates = ("overall_non_english_rate", "fp_non_english_rate")
+    both = detected.join(given.select("n_total", *(F.col(r).alias(f"given_{r}") for r in rates)), "n_total")
+    near = [(F.abs(F.col(r) - F.col(f"given_{r}")) <= 1 - LANGUAGE_SHARE).alias(f"{r}_near") for r in rates]
+    return both.select("n_total", "n_false_positives", *near)
+
+
 # Scoring and judging
 
 
@@ -644,6 +713,31 @@ def baseline_scan(spark, sf_dir):
     return rounded(judge.baseline_results(rows, judge.rule_scanner(CONVERSATION_RULES)))
 
 
+@query
+def phrase_scan(spark, sf_dir):
+    """The phrases that each document holds."""
+    docs = spread(B.table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    found = scanner.phrase_matches(docs, DOCUMENT_PHRASES)
+    return found.select("doc_id", F.array_join("phrases", ",").alias("phrases"))
+
+
+@query
+def phrase_weights(spark, sf_dir):
+    """Weights of phrases fitted on nine tenths of the labelled documents: per part and class the rows, and whether the risk scores
+    rank the part at least as well as stated."""
+    rows = B.labelled_texts(spark, sf_dir)
+    matched = stage(scanner.phrase_matches(rows, DOCUMENT_PHRASES), "phrases")
+    held_out = B.is_test(F.col("row_id"))
+    model = scanner.fit_phrases(matched.where(~held_out), DOCUMENT_PHRASES)
+    risk = model.results(matched).withColumnRenamed("risk_score", "prob_positive")
+    scored = risk.join(matched.select("row_id", "label"), "row_id").select(
+        "label", F.col("predicted_label").alias("prediction"), F.greatest("prob_positive", F.lit(0.0)).alias("prob_positive"), held_out.alias("held_out")
+    )
+    scored = stage(scored, "phrase-risks")
+    auc = metrics.ranking_metrics(scored, ["held_out"], source=None).select("held_out", (F.col("roc_auc") >= PHRASE_AUC).alias("ranks_well"))
+    return scored.groupBy("held_out", "label").agg(F.count(F.lit(1)).alias("n")).join(auc, "held_out")
+
+
 # Streaming
 
 
@@ -685,3 +779,15 @@ def stream_judge(spark, sf_dir):
         rows, _length_judge, out, shared_dir(spark, "stream-judge-checkpoint"), daily_limit=None
     ).awaitTermination()
     return results.read_predictions(spark, out)
+
+
+@query
+def stream_judge_pending(spark, sf_dir):
+    """Two runs with rows in state: the first asks a hundred times a shard, the second does the rest without new input."""
+    rows = _document_stream(spark, sf_dir).select(
+        F.col("doc_id").alias("row_id"), F.lit(0).alias("label"), B.source_name(F.col("source")).alias("source_dataset"), "text"
+    )
+    out, checkpoint = shared_dir(spark, "judge-pending"), shared_dir(spark, "judge-pending-checkpoint")
+    for limit in (100, None):
+        start_pending_judging(rows, _length_judge, out, checkpoint, limit=limit, shards=4).awaitTermination()
+    return results.read_predictions(spark, out)

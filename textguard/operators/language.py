@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import json
+import math
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import HashingTF, IndexToString, SQLTransformer, StringIndexer
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import HashingTF, IndexToString, StringIndexer
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textguard.scratch import stage
+
 UNKNOWN = "unknown"
 ENGLISH = "en"
 # Outcomes in the order of the report columns.
 OUTCOMES = ("fn", "fp", "tn", "tp")
 TRIGRAM_BUCKETS = 1 << 15
+#: Share of the known texts of each language that may be rejected as unknown.
+REJECTED = 0.005
+#: Of so many rows one is kept from the fit to find the cuts.
+CUT_EVERY = 5
 
 
 def trigrams(text: Column) -> Column:
@@ -23,44 +34,83 @@ def trigrams(text: Column) -> Column:
     return F.regexp_extract_all(letters, F.lit(r"(?=(...))."), F.lit(1))
 
 
+@dataclass
+class LanguageDetector:
+    """A naive Bayes model of letter trigrams; per language its log share of the fitted rows and the least mean log-likelihood
+    ratio of a text's trigrams, against a background in which all buckets are equally likely, that still counts as it."""
+
+    model: PipelineModel
+    priors: dict[str, float]
+    cuts: dict[str, float]
+    buckets: int
+
+    def scored(self, df: DataFrame, text: str = "text") -> DataFrame:
+        """``df`` with ``_language``, the likeliest one, and ``_ratio``, null without a trigram."""
+        found = self.model.transform(df.withColumn("trigrams", trigrams(F.coalesce(F.col(text), F.lit("")))))
+        likelihood = F.array_max(vector_to_array("language_raw")) - _of(self.priors, F.col("detected"))
+        ratio = likelihood / F.nullif(F.size("trigrams"), F.lit(0)) + math.log(self.buckets)
+        return found.select(*df.columns, F.col("detected").alias("_language"), ratio.alias("_ratio"))
+
+    def save(self, path: str) -> None:
+        self.model.write().overwrite().save(f"{path}/model")
+        row = (json.dumps({"priors": self.priors, "cuts": self.cuts, "buckets": self.buckets}),)
+        SparkSession.active().createDataFrame([row], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/cuts")
+
+    @staticmethod
+    def load(path: str) -> LanguageDetector:
+        known = json.loads(SparkSession.active().read.text(f"{path}/cuts").first().value)
+        return LanguageDetector(PipelineModel.load(f"{path}/model"), known["priors"], known["cuts"], known["buckets"])
+
+
+def _of(values: dict[str, float], key: Column) -> Column:
+    out = F.lit(None).cast("double")
+    for name, value in values.items():
+        out = F.when(key == name, F.lit(value)).otherwise(out)
+    return out
+
+
 def fit_language_detector(
-    df: DataFrame, text: str = "text", language: str = "lang", buckets: int = TRIGRAM_BUCKETS
-) -> PipelineModel:
+    df: DataFrame, text: str = "text", language: str = "lang", buckets: int = TRIGRAM_BUCKETS, rejected: float = REJECTED
+) -> LanguageDetector:
     """Multinomial naive Bayes over hashed letter trigrams of a table with a language column.
 
-    The model is one weight per language and bucket, so its size does not depend on the data.
+    Of the texts, one in ``CUT_EVERY`` (by its hash) is kept from the fit; the cut of a language is the ``rejected`` quantile of the
+    ratios of its texts among them, so about this share of known texts is taken for unknown. A language without such
+    texts gets the lowest cut of the others. The model is one weight per language and bucket, whatever the size of the data.
     """
-    grams = df.select(F.col(language).alias("language"), trigrams(F.col(text)).alias("trigrams"))
-    indexer = StringIndexer(
-        inputCol="language", outputCol="language_index", stringOrderType="alphabetAsc"
-    ).fit(grams)
-    # The fitted indexer is a fixed stage here; scoring leaves it out, as it has no language column.
-    stages = [
-        indexer,
-        HashingTF(numFeatures=buckets, inputCol="trigrams", outputCol="trigram_counts"),
-        NaiveBayes(
-            featuresCol="trigram_counts",
-            labelCol="language_index",
-            predictionCol="language_prediction",
-            probabilityCol="language_probability",
-            rawPredictionCol="language_raw",
-        ),
-    ]
-    fitted = Pipeline(stages=stages).fit(grams)
-    names = IndexToString(
-        inputCol="language_prediction", outputCol="detected", labels=list(indexer.labels)
+    kept_out = F.pmod(F.xxhash64(text), F.lit(CUT_EVERY)) == 0
+    given = df.where(F.col(language).isNotNull() & F.col(text).isNotNull())
+    rows = given.select(F.col(language).alias("language"), trigrams(F.col(text)).alias("trigrams"), kept_out.alias("cut"))
+    counter = HashingTF(numFeatures=buckets, inputCol="trigrams", outputCol="trigram_counts")
+    counted = stage(counter.transform(rows).select("language", F.size("trigrams").alias("n"), "trigram_counts", "cut"), "trigrams")
+    fitted_rows = counted.where(~F.col("cut"))
+    indexer = StringIndexer(inputCol="language", outputCol="language_index", stringOrderType="alphabetAsc").fit(fitted_rows)
+    bayes = NaiveBayes(
+        featuresCol="trigram_counts",
+        labelCol="language_index",
+        predictionCol="language_prediction",
+        probabilityCol="language_probability",
+        rawPredictionCol="language_raw",
     )
-    decide = SQLTransformer(
-        statement="SELECT *, CASE WHEN size(trigrams) = 0 THEN 'unknown' ELSE detected END AS language "
-        "FROM __THIS__"
-    )
-    return PipelineModel([*fitted.stages[1:], names, decide])
-
-
-def detect_language(df: DataFrame, model: PipelineModel, text: str = "text") -> DataFrame:
-    """``df`` with ``language``: the most likely code, 'unknown' for a text without a trigram."""
-    scored = model.transform(df.withColumn("trigrams", trigrams(F.col(text))))
-    return scored.select(*df.columns, "language")
+    fitted = bayes.fit(indexer.transform(fitted_rows))
+    names = list(indexer.labels)
+    namer = IndexToString(inputCol="language_prediction", outputCol="detected", labels=names)
+    priors = dict(zip(names, fitted.pi.toArray().tolist()))
+    held = PipelineModel([fitted, namer]).transform(counted.where("cut and n > 0")).where("detected = language")
+    ratio = (F.array_max(vector_to_array("language_raw")) - _of(priors, F.col("detected"))) / F.col("n") + math.log(buckets)
+    found = held.groupBy("language").agg(F.percentile_approx(ratio, rejected, 10_000).alias("cut")).collect()
+    cuts = {r.language: r["cut"] for r in found}
+    lowest = min(cuts.values(), default=0.0)
+    return LanguageDetector(PipelineModel([counter, fitted, namer]), priors, {n: cuts.get(n, lowest) for n in names}, buckets)
+
+
+def detect_language(df: DataFrame, model: LanguageDetector, text: str = "text") -> DataFrame:
+    """``df`` with ``language``: the most likely code, 'unknown' for a text without a trigram, or whose trigrams are less
+    typical of that language than the cut allows."""
+    scored = model.scored(df, text)
+    typical = F.col("_ratio") >= _of(model.cuts, F.col("_language"))
+    language = F.when(typical, F.col("_language")).otherwise(F.lit(UNKNOWN))
+    return scored.select(*df.columns, language.alias("language"))
 
 
 def outcome(label: Column, prediction: Column) -> Column:

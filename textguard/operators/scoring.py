@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from itertools import takewhile
 
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, SQLTransformer
+from pyspark.ml.feature import CountVectorizerModel, SQLTransformer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +25,10 @@ from textguard.scratch import shared_dir, stage
 # Tokens kept of a text, and rows per inference batch.
 MAX_TOKENS = 512
 BATCH_ROWS = 32
-HASH_BUCKETS = 1 << 16
+# Hash buckets of all features, those chosen of them, and letters of a run.
+HASH_BUCKETS = 1 << 18
+CHOSEN_BUCKETS = 1_024
+RUN_LETTERS = 4
 
 
 def tokenize(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
@@ -34,20 +36,51 @@ def tokenize(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
     return F.slice(words(text), 1, max_tokens)
 
 
+def _terms(words_sql: str, buckets: int) -> str:
+    """SQL for the distinct hash buckets of the words of a text, of pairs of neighbours, and of runs of letters inside words."""
+    pairs = "transform(sequence(1, greatest(size(w) - 1, 1)), i -> concat(w[i - 1], ' ', coalesce(w[i], '')))"
+    padded = "concat('<', x, '>')"
+    runs = f"flatten(transform(array_distinct(w), x -> transform(sequence(1, greatest(char_length(x) + 3 - {RUN_LETTERS}, 1)), i -> substr({padded}, i, {RUN_LETTERS}))))"
+    terms = f"transform(array({words_sql}), w -> array_distinct(concat(w, if(size(w) > 1, {pairs}, array()), {runs})))[0]"
+    return f"array_distinct(transform({terms}, t -> cast(pmod(xxhash64(t), {buckets}) AS string)))"
+
+
+class BucketSelector(Estimator):
+    """Chooses the buckets whose presence depends most on the label, by a chi-square aggregate, as the columns of a vector."""
+
+    def __init__(self, most: int, at_least: int = 3, inputCol: str = "tokens", outputCol: str = "token_counts"):
+        super().__init__()
+        self.most, self.at_least, self.inputCol, self.outputCol = most, at_least, inputCol, outputCol
+
+    def _fit(self, rows: DataFrame) -> CountVectorizerModel:
+        n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+        # As many groups as there are buckets, combined before the shuffle.
+        counted = rows.select("label", F.explode(self.inputCol).alias("bucket")).groupBy("bucket").agg(
+            F.count(F.lit(1)).cast("double").alias("df"), F.sum("label").cast("double").alias("a")
+        )
+        off = F.col("a") * n - F.col("df") * positive
+        chi = off * off / F.nullif(F.col("df") * (n - F.col("df")) * positive * (n - positive), F.lit(0.0))
+        best = counted.where(F.col("df") >= self.at_least).select("bucket", F.coalesce(chi, F.lit(0.0)).alias("chi"))
+        chosen = [r.bucket for r in best.orderBy(F.desc("chi"), "bucket").limit(self.most).collect()]
+        chosen = chosen or [r.bucket for r in counted.orderBy("bucket").limit(1).collect()] or ["0"]
+        model = CountVectorizerModel.from_vocabulary(sorted(chosen), inputCol=self.inputCol, outputCol=self.outputCol)
+        return model.setBinary(True).setMinTF(1.0)
+
+
 def classifier_pipeline(
-    buckets: int = HASH_BUCKETS, max_iter: int = 20, reg: float = 1e-3, max_tokens: int | None = None
+    buckets: int = HASH_BUCKETS, max_iter: int = 20, reg: float = 3e-3, max_tokens: int | None = None, most: int = CHOSEN_BUCKETS
 ) -> Pipeline:
-    """Hashed words weighted by rarity into a logistic regression. The fitted model is one weight
-    per bucket, whatever the size of the vocabulary. Texts count whole, unless ``max_tokens`` cuts them."""
+    """Words, word pairs and runs of letters, hashed together; the ``most`` buckets that tell the labels apart go into a logistic
+    regression. The fitted model is one weight per chosen bucket, whatever the size of the vocabulary. Texts count whole,
+    unless ``max_tokens`` cuts them."""
     found = f"regexp_extract_all(lower(text), r'{WORD}', 0)"
-    tokens = found if max_tokens is None else f"slice({found}, 1, {max_tokens})"
+    tokens = _terms(found if max_tokens is None else f"slice({found}, 1, {max_tokens})", buckets)
     return Pipeline(
         stages=[
             SQLTransformer(statement=f"SELECT *, {tokens} AS tokens FROM __THIS__"),
-            HashingTF(numFeatures=buckets, inputCol="tokens", outputCol="token_counts"),
-            IDF(inputCol="token_counts", outputCol="token_weights"),
+            BucketSelector(most),
             LogisticRegression(
-                featuresCol="token_weights", labelCol="label", maxIter=max_iter, regParam=reg
+                featuresCol="token_counts", labelCol="label", maxIter=max_iter, regParam=reg, standardization=False
             ),
         ]
     )
@@ -61,19 +94,20 @@ def fit_classifier(
 ) -> tuple[PipelineModel, DataFrame | None]:
     """Fit on (text, label), store the model, evaluate the stored model once on val.
 
-    The leading stages that need no fitting run once over the texts and their features are written
-    as a table, so the passes of the fit read columns instead of tokenizing again. Returns (model,
-    val metrics). The model is read back from ``path`` (a new shared folder by default): a freshly
+    The features that the last stage is fitted on are written as a table, so its passes read columns instead of texts. Returns
+    (model, val metrics). The model is read back from ``path`` (a new shared folder by default): a freshly
     fitted one still carries its training session, which tasks cannot take along.
     """
     spark = train.sparkSession
     path = path or shared_dir(spark, "classifier")
-    stages = (pipeline or classifier_pipeline()).getStages()
-    fixed = list(takewhile(lambda s: isinstance(s, Transformer), stages))
-    features = PipelineModel(fixed).transform(train.select("text", "label"))
-    kept = [c for c in features.columns if c not in ("text", "tokens")]
-    fitted = Pipeline(stages=stages[len(fixed) :]).fit(stage(features.select(*kept), "features"))
-    PipelineModel([*fixed, *fitted.stages]).write().overwrite().save(path)
+    *first, last = (pipeline or classifier_pipeline()).getStages()
+    rows, fitted = train.select("text", "label"), []
+    for step in first:
+        fitted.append(step if isinstance(step, Transformer) else step.fit(rows))
+        rows = fitted[-1].transform(rows)
+    kept = [c for c in rows.columns if c not in ("text", "tokens")]
+    fitted.append(last.fit(stage(rows.select(*kept), "features")))
+    PipelineModel(fitted).write().overwrite().save(path)
     model = load_classifier(path)
     if val is None:
         return model, None

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from textguard.operators.language import (
+    LanguageDetector,
     benign_language_outcome,
     detect_language,
     language_counts,
@@ -15,7 +15,7 @@ from textguard.operators.normalize import filter_source
 
 
 def language_report(
-    scored: DataFrame, source: str, detector: PipelineModel | None = None
+    scored: DataFrame, source: str, detector: LanguageDetector | None = None
 ) -> dict[str, DataFrame]:
     """Rates, counts per language and benign language x outcome counts of a scored source.
 
