@@ -158,3 +158,74 @@ def test_linked_runs_equal_the_library(monkeypatch):
     parts = ["a", "aa", "the", "ing", "==", "//", "0", "é", "中", "<s>", "▁", " ", "\n", "er", "in"]
     texts = ["".join(rng.choices(parts, k=rng.randint(1, 40))) * rng.randint(1, 3) for _ in range(800)]
     assert counter.counts(texts) == [len(library.encode(t)) for t in texts]
+
+
+# Exact dedup at any size
+
+
+def test_classes_keep_the_filter_selective(spark, monkeypatch):
+    from textguard.llm import exact_dedup
+    from textguard.llm.exact_dedup import drop_duplicates, exact_duplicates, flagged_rows, text_keys
+
+    rows = [(i, f"text {i % 11_500}", "k") for i in range(12_000)] + [(50_000 + i, "hot", "k") for i in range(700)] + [(None, None, "k"), (3, "", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _class string").repartition(8)
+    want = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_duplicates(docs).collect()}
+    kept = sorted(r.doc_id or -1 for r in drop_duplicates(docs).collect())
+    for module in (base, exact_dedup):
+        monkeypatch.setattr(module, "MAX_TABLE_BITS", 16)
+    keys = text_keys(docs, "doc_id", "text")
+    assert exact_dedup.hash_classes(keys.count()) == 4
+    repeated = 2 * 500 + 700 + 2
+    found = flagged_rows(keys).filter("_maybe").count()
+    one_table = flagged_rows(keys, 1).filter("_maybe").count()
+    assert repeated <= found and 5 * (found - repeated) < one_table - repeated
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_duplicates(docs).collect()} == want
+    again = drop_duplicates(docs)
+    assert again.columns == docs.columns and sorted(r.doc_id or -1 for r in again.collect()) == kept
+
+
+# Longest matches
+
+
+def test_longest_matches_belong_to_one_item(spark):
+    from textguard.llm.decontamination import contamination
+
+    first, second = ([f"{c}{i}" for i in range(14)] for c in "pq")
+    bench = spark.createDataFrame([(1, " ".join(first)), (2, " ".join(second)), (2, " ".join(second)), (3, "tiny one")], "item_id long, text string")
+    texts = [
+        " ".join(first[:10] + second[:10]),  # side by side
+        " ".join(["x", *first, "y", *first[2:13]]),
+        " ".join(second[1:12] + ["tiny", "one"]),
+        " ".join(first[:9]),
+    ]
+    found = {r.doc_id: r for r in contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()}
+    matches = {i: sorted(map(tuple, r.matches)) for i, r in found.items()}
+    assert matches == {0: [("1", 0, 10), ("2", 10, 10)], 1: [("1", 1, 14), ("1", 16, 11)], 2: [("2", 0, 11), ("3", 11, 2)], 3: []}
+    assert [found[i].longest for i in range(4)] == [10, 14, 11, 0] and found[0].n_hit == 20 and list(found[0].spans) == [0, 20]
+
+
+def test_matches_equal_brute_force(spark):
+    from textguard.llm.decontamination import contamination
+
+    rng = random.Random(8)
+    items = [" ".join(rng.choices("abc", k=rng.randint(1, 9))) for _ in range(12)]
+    texts = [" ".join(rng.choices("abcd", k=rng.randint(0, 25))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+
+    def matches(text):
+        words, out = text.split(), set()
+        for number, item in enumerate(items):
+            item = item.split()
+            least = min(3, len(item))
+            for i in range(len(words)):
+                for j in range(len(item)):
+                    n = 0
+                    while i + n < len(words) and j + n < len(item) and words[i + n] == item[j + n]:
+                        n += 1
+                    if n >= least and not (i and j and words[i - 1] == item[j - 1]):
+                        out.add((str(number), i, n))
+        return out
+
+    for r in contamination(docs, bench, window=3).collect():
+        assert set(map(tuple, r.matches)) == matches(texts[r.doc_id])

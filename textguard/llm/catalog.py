@@ -23,7 +23,7 @@ from textguard.llm.toxicity import fit_toxicity, score_toxicity
 from textguard.llm.warc import read_resolved, write_archives
 from textguard.scratch import shared_dir, stage
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 1 << 20
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:

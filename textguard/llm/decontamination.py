@@ -24,18 +24,23 @@ BLOCK_BYTES = 16 << 20
 #: Windows searched at once in a shard.
 SEARCH_ROWS = 50_000
 
-_SPANS, _ITEMS, _LONGEST = "spans", "items", "longest"
+_SPANS, _ITEMS, _MATCHES, _LONGEST = "spans", "items", "matches", "longest"
+_MATCH = StructType([StructField("item", StringType()), StructField("start", LongType()), StructField("length", LongType())])
+
+_MATCHES_ARROW = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
 
 
 @dataclass
 class TestBlock:
-    """Windows of some benchmark items: ``windows`` are distinct rows of word ids padded with 0;
-    ``lengths`` their words; window w occurs in the items ``owners[owner_at[w]:owner_at[w + 1]]``."""
+    """Windows of some benchmark items, the beginnings of all their suffixes: ``windows`` are distinct rows of word ids padded
+    with 0; ``lengths`` their words; window w begins at word ``offsets[k]`` of item ``owners[k]`` for k from ``owner_at[w]`` to
+    ``owner_at[w + 1] - 1``."""
 
     vocabulary: np.ndarray
     windows: np.ndarray
     lengths: np.ndarray
     owners: np.ndarray
+    offsets: np.ndarray
     owner_at: np.ndarray
     items: list[str]
 
@@ -44,7 +49,7 @@ class TestBlock:
         chunks = list(word_chunks(pa.array(texts, pa.string()), ALNUM, True))
         hashes = [c.hashes() for c in chunks]
         vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-        rows, owners, lengths = [], [], []
+        rows, owners, offsets, lengths = [], [], [], []
         for c, h in zip(chunks, hashes):
             ids = np.append(np.searchsorted(vocabulary, h) + 1, np.zeros(size, np.int64))
             words = np.diff(c.bounds)
@@ -56,12 +61,14 @@ class TestBlock:
             rows.append(window)
             lengths.append(length)
             owners.append(np.repeat(np.arange(c.texts) + c.first, count))
+            offsets.append(starts - np.repeat(c.bounds[:-1], count))
         if not len(vocabulary):
             return None
         windows, inverse = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
-        pairs = np.unique(np.stack([inverse.ravel(), np.concatenate(owners)]), axis=1)
-        owner_at = np.searchsorted(pairs[0], np.arange(len(windows) + 1))
-        return cls(vocabulary, windows, (windows > 0).sum(1), pairs[1], owner_at, items)
+        order = np.argsort(inverse.ravel(), kind="stable")
+        owner_at = np.searchsorted(inverse.ravel()[order], np.arange(len(windows) + 1))
+        owners, offsets = np.concatenate(owners)[order], np.concatenate(offsets)[order]
+        return cls(vocabulary, windows, (windows > 0).sum(1), owners, offsets, owner_at, items)
 
 
 def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -134,17 +141,37 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[fresh, 0], reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(spans) - 1)]], axis=1)
 
 
+def _longest_matches(block: TestBlock, window: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int]]:
+    """(item, start, length) of the longest verbatim matches of item suffixes with one text, in which windows occur at some words.
+
+    Along a diagonal, where text and item go on together, each window prolongs the match of the one before by a word."""
+    count = block.owner_at[window + 1] - block.owner_at[window]
+    owner = ranges(block.owner_at[window], count)
+    item, place = block.owners[owner], np.repeat(at, count)
+    size = np.repeat(block.lengths[window], count)
+    diagonal = place - block.offsets[owner]
+    order = np.lexsort((place, diagonal, item))
+    item, place, size, diagonal = item[order], place[order], size[order], diagonal[order]
+    begin = np.append(True, (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (place[1:] != place[:-1] + 1))[: len(item)]
+    first = np.flatnonzero(begin)
+    last = np.append(first[1:], len(item)) - 1
+    lengths = place[last] + size[last] - place[first]
+    return list(zip(item[first].tolist(), place[first].tolist(), lengths.tolist()))
+
+
 def _test_blocks(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> list[Broadcast]:
     """The benchmark as broadcast blocks of about ``BLOCK_BYTES`` of text, at least one (which may be None)."""
     tests = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
+    # Repeated rows say nothing new, and rows of one item may lie in several blocks.
+    tests = tests.distinct()
     total = tests.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     count = int(total // BLOCK_BYTES) + 1
     sent = []
     for k in range(count):
-        rows = tests.filter(F.pmod(F.xxhash64("item"), F.lit(count)) == k).collect()
+        rows = tests.filter(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k).collect()
         block = TestBlock.build([r.item for r in rows], [r.text for r in rows], window)
         sent.append(benchmark.sparkSession.sparkContext.broadcast(block))
     return sent
@@ -160,8 +187,9 @@ def contamination(
     item_text_col: str = "text",
 ) -> DataFrame:
     """Per row of ``docs``: id, ``n_words``, ``n_hit`` (words inside an occurrence of a window),
-    ``items`` (ids as strings, of items with occurring windows, sorted), ``spans`` (start and end word of each
-    verbatim match, merged, one after the other) and ``longest`` (words of the longest such span).
+    ``items`` (ids as strings, of items with occurring windows, sorted), ``spans`` (start and end word of what is
+    covered, merged, one after the other), ``matches`` (item, start word and length of the longest verbatim matches of
+    the items' suffixes, of a window at least) and ``longest`` (words of the longest match).
 
     Words are runs of letters and digits after lower-casing A-Z. A window is ``window`` consecutive words of an
     item; a shorter item with at least one word is one window. Null and empty texts have no words, on both
@@ -177,12 +205,14 @@ def contamination(
         StructField("n_words", LongType()),
         StructField(_SPANS, ArrayType(LongType())),
         StructField(_ITEMS, ArrayType(StringType())),
+        StructField(_MATCHES, ArrayType(_MATCH)),
     ]
     found = docs.select(
         F.col(id_col),
         F.lit(None).cast("bigint").alias("n_words"),
         F.array().cast("array<bigint>").alias(_SPANS),
         F.array().cast("array<string>").alias(_ITEMS),
+        F.array().cast(ArrayType(_MATCH)).alias(_MATCHES),
         F.col(text_col).alias("_text"),
     )
     found = spread_rows(found)
@@ -195,7 +225,7 @@ def contamination(
 
         found = found.mapInArrow(run, StructType(kinds if last else [*kinds, StructField("_text", StringType())]))
     size = F.expr(f"aggregate(sequence(0, size({_SPANS}) - 2, 2), 0L, (s, i) -> s + {_SPANS}[i + 1] - {_SPANS}[i])")
-    most = F.expr(f"array_max(transform(sequence(0, size({_SPANS}) - 2, 2), i -> {_SPANS}[i + 1] - {_SPANS}[i]))")
+    most = F.array_max(F.transform(_MATCHES, lambda m: m["length"]))
     some = F.size(_SPANS) > 0
     return found.select(
         id_col,
@@ -203,13 +233,14 @@ def contamination(
         F.when(some, size).otherwise(0).alias("n_hit"),
         _ITEMS,
         _SPANS,
+        _MATCHES,
         F.when(some, most).otherwise(0).alias(_LONGEST),
     )
 
 
 def _hits(batch: pa.RecordBatch, block: TestBlock | None, size: int, last: bool) -> pa.RecordBatch:
-    ids, _, spans, items, texts = batch.columns
-    spans, items = spans.to_pylist(), items.to_pylist()
+    ids, _, spans, items, matches, texts = batch.columns
+    spans, items, matches = spans.to_pylist(), items.to_pylist(), matches.to_pylist()
     words = np.zeros(batch.num_rows, np.int64)
     for chunk in word_chunks(texts, ALNUM, True):
         words[chunk.first : chunk.first + chunk.texts] = np.diff(chunk.bounds)
@@ -227,11 +258,13 @@ def _hits(batch: pa.RecordBatch, block: TestBlock | None, size: int, last: bool)
             new = np.stack([at[a:b] - base, at[a:b] - base + block.lengths[w]], axis=1)
             old = np.array(spans[row], np.int64).reshape(-1, 2)
             spans[row] = _merged(np.concatenate([old, new])).ravel().tolist()
+            found = _longest_matches(block, w, at[a:b] - base)
+            matches[row] += [{"item": block.items[i], "start": s, "length": n} for i, s, n in found]
             w = np.unique(w)
             owners = block.owners[ranges(block.owner_at[w], block.owner_at[w + 1] - block.owner_at[w])]
             items[row] = sorted({*items[row], *(block.items[o] for o in np.unique(owners))})
-    columns = [ids, pa.array(words), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-    names = ["id", "n_words", _SPANS, _ITEMS]
+    columns = [ids, pa.array(words), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(matches, _MATCHES_ARROW)]
+    names = ["id", "n_words", _SPANS, _ITEMS, _MATCHES]
     names[0] = batch.schema.names[0]
     return pa.RecordBatch.from_arrays(columns if last else [*columns, texts], names if last else [*names, "_text"])
 
@@ -251,7 +284,10 @@ def decontaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs`` whose text holds no window of the benchmark, all columns unchanged and without a shuffle."""
+    """The rows of ``docs`` whose text holds no window of the benchmark, all columns unchanged and without a shuffle.
+
+    Windows, nulls, empty and long texts, ties and empty tables are as in ``contamination``; rows without words stay, repeated
+    rows stay or go together, and further columns may have any names."""
     small_batches(docs.sparkSession)
     place = docs.columns.index(text_col)
     for block in _test_blocks(benchmark, window, item_col, item_text_col):

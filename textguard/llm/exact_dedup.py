@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, StructField, StructType
 
 from textguard.llm.base import (
     LOWER,
+    MAX_TABLE_BITS,
     SLOT_SCHEMA,
     bit_table,
     bits_set,
@@ -29,12 +30,15 @@ from textguard.llm.base import (
     table_bits,
     take_column,
 )
-from textguard.scratch import stage
+from textguard.scratch import shared_dir, stage
 
 BITS_PER_ROW = 16
 PROBES = 2
 
-_KEY, _MAYBE = "_key", "_maybe"
+#: Groups of more than one in so many of the possibly repeated rows are broadcast.
+HOT_SHARE = 1_000
+
+_KEY, _MAYBE, _CLASS = "_key", "_maybe", "_class"
 
 
 def _keys(text: pa.Array) -> list[bytes]:
@@ -61,9 +65,20 @@ def text_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return narrow.mapInArrow(run, StructType([narrow.schema[0], StructField(_KEY, BinaryType())]))
 
 
-def repeated_bits(keys: DataFrame) -> tuple[Broadcast, int]:
+def hash_classes(rows: int) -> int:
+    """How many classes of the hashes get a table of their own, so that none is too full to tell hashes apart."""
+    return -(-rows * BITS_PER_ROW // (1 << MAX_TABLE_BITS)) or 1
+
+
+def _in_classes(keys: DataFrame, key: str, classes: int) -> DataFrame:
+    """``keys`` with the class of each hash, from bytes that the filter positions do not use."""
+    number = F.conv(F.hex(F.substring(F.col(key), 25, 4)), 16, 10).cast("bigint")
+    return keys.withColumn(_CLASS, F.pmod(number, F.lit(classes)).cast("int"))
+
+
+def repeated_bits(keys: DataFrame, rows: int) -> tuple[Broadcast, int]:
     """First pass: the broadcast bits set by at least two rows, and the number of bits as a power of two."""
-    bits = table_bits(keys.count(), BITS_PER_ROW)
+    bits = table_bits(rows, BITS_PER_ROW)
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,16 +95,40 @@ def _maybe_repeated(keys: list[bytes], twice: np.ndarray, bits: int) -> np.ndarr
 
 
 def _flagged(keys: DataFrame, twice: Broadcast, bits: int) -> DataFrame:
-    """Second pass: every (id, key) with whether its text may be repeated."""
+    """Second pass: every row with whether its text may be repeated."""
+    at = keys.columns.index(_KEY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            maybe = _maybe_repeated(b.column(1).to_pylist(), twice.value, bits)
+            maybe = _maybe_repeated(b.column(at).to_pylist(), twice.value, bits)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(maybe, pa.bool_())], [*b.schema.names, _MAYBE])
 
     return keys.mapInArrow(run, StructType([*keys.schema, StructField(_MAYBE, BooleanType())]))
 
 
+def flagged_rows(keys: DataFrame, classes: int | None = None) -> DataFrame:
+    """Written rows (``_KEY``, ...) with whether their text may be repeated: both passes.
+
+    Where one table would be too full, hashes are divided into classes, which lie apart on disk and have their passes one
+    after the other, with one table broadcast at a time."""
+    rows = keys.count()
+    classes = classes or hash_classes(rows)
+    if classes == 1:
+        return _flagged(keys, *repeated_bits(keys, rows))
+    spark, path, out = keys.sparkSession, shared_dir(keys.sparkSession, "dedup-classes"), shared_dir(keys.sparkSession, "dedup-flagged")
+    _in_classes(keys, _KEY, classes).write.partitionBy(_CLASS).parquet(path)
+    schema = None
+    for number in range(classes):
+        part = spark.read.schema(StructType([*keys.schema, StructField(_CLASS, IntegerType())])).parquet(path)
+        part = part.filter(F.col(_CLASS) == number).select(*keys.columns)
+        twice, bits = repeated_bits(part, part.count())
+        flagged = _flagged(part, twice, bits)
+        flagged.write.mode("append").parquet(out)
+        schema = flagged.schema
+        twice.destroy()
+    return spark.read.schema(schema).parquet(out)
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
@@ -99,17 +138,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     table gives no rows; further columns are not read.
     """
     keys = stage(text_keys(docs, id_col, text_col), "dedup-keys")
-    flagged = _flagged(keys, *repeated_bits(keys))
+    flagged = flagged_rows(keys)
     alone = flagged.filter(~F.col(_MAYBE)).select(
         id_col, _KEY, F.col(id_col).alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept")
     )
     suspects = flagged.filter(_MAYBE).select(id_col, _KEY)
     groups = suspects.groupBy(_KEY).agg(F.max(id_col).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = stage(groups, "dedup-groups")
+    # Groups of over a thousandth of the suspects are fewer than a thousand: these go to every task, the others are joined.
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+    large = F.col("group_size") * HOT_SHARE > total
+    hot = F.broadcast(groups.filter(large))
     same = Window.partitionBy(_KEY, id_col).orderBy(id_col)
+    copies = suspects.withColumn("_copy", F.row_number().over(same))
+    joined = copies.join(hot, _KEY).unionByName(copies.join(hot.select(_KEY), _KEY, "left_anti").join(groups.filter(~large), _KEY))
     decided = (
-        suspects.withColumn("_copy", F.row_number().over(same))
-        .join(groups, _KEY)
-        .withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1))
+        joined.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.col("_copy") == 1))
         .select(id_col, _KEY, "keep_id", "group_size", "kept")
     )
     return alone.unionByName(decided).select(
@@ -123,22 +167,44 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equality, ties, nulls, empty and long texts are as in ``exact_duplicates``; an empty table gives no rows. Rows that
     cannot be repeated never leave their task; only the possibly repeated ones are shuffled.
     """
-    keys = stage(text_keys(docs, id_col, text_col), "dedup-keys")
-    twice, bits = repeated_bits(keys)
-    key, maybe = free_name(docs, _KEY), free_name(docs, _MAYBE)
+    classes = hash_classes(docs.count())
+    key, maybe, division = (free_name(docs, c) for c in (_KEY, _MAYBE, _CLASS))
+
+    def with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array(_keys(take_column(b, text_col)), pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, key])
+
+    keyed = StructType([*docs.schema, StructField(key, BinaryType())])
+    if classes == 1:
+        keys = stage(text_keys(docs, id_col, text_col), "dedup-keys")
+        return _kept(docs.mapInArrow(with_key, keyed), keys, docs.columns, id_col, key, maybe)
+    # Rows of a class lie together, and stay or go by themselves; one class after the other.
+    spark, path, out = docs.sparkSession, shared_dir(docs.sparkSession, "dedup-classes"), shared_dir(docs.sparkSession, "dedup-kept")
+    divided = _in_classes(docs.mapInArrow(with_key, keyed), key, classes).withColumnRenamed(_CLASS, division)
+    divided.write.partitionBy(division).parquet(path)
+    for number in range(classes):
+        part = spark.read.schema(StructType([*keyed, StructField(division, IntegerType())])).parquet(path)
+        part = part.filter(F.col(division) == number).drop(division)
+        kept = _kept(part, part.select(id_col, F.col(key).alias(_KEY)), docs.columns, id_col, key, maybe)
+        kept.write.mode("append").parquet(out)
+    return spark.read.schema(docs.schema).parquet(out)
+
+
+def _kept(rows: DataFrame, keys: DataFrame, columns: list[str], id_col: str, key: str, maybe: str) -> DataFrame:
+    """Of ``rows`` with their ``key``, those that stay; ``keys`` has their ids and keys alone."""
+    twice, bits = repeated_bits(keys, keys.count())
+    at = rows.columns.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = _keys(take_column(b, text_col))
-            flags = _maybe_repeated(found, twice.value, bits)
-            extra = [pa.array(found, pa.binary()), pa.array(flags, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *extra], [*b.schema.names, key, maybe])
-
-    schema = StructType([*docs.schema, StructField(key, BinaryType()), StructField(maybe, BooleanType())])
-    flagged = docs.mapInArrow(run, schema)
-    group, keep = free_name(docs, "_group"), free_name(docs, "_keep")
+            flags = _maybe_repeated(b.column(at).to_pylist(), twice.value, bits)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(flags, pa.bool_())], [*b.schema.names, maybe])
+
+    flagged = rows.mapInArrow(run, StructType([*rows.schema, StructField(maybe, BooleanType())]))
+    group, keep = free_name(rows, "_group"), free_name(rows, "_keep")
     suspects = _flagged(keys, twice, bits).filter(_MAYBE)
     largest = suspects.groupBy(F.col(_KEY).alias(group)).agg(F.max(id_col).alias(keep))
     is_largest = (F.col(key) == F.col(group)) & F.col(id_col).eqNullSafe(F.col(keep))
     chosen = flagged.filter(maybe).join(largest, is_largest, "left_semi")
-    return flagged.filter(~F.col(maybe)).select(docs.columns).unionByName(chosen.dropDuplicates([key]).select(docs.columns))
+    return flagged.filter(~F.col(maybe)).select(columns).unionByName(chosen.dropDuplicates([key]).select(columns))

@@ -27,9 +27,9 @@ WITH k AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
 l AS (SELECT d::INT AS depth, bits >> (60 - d)::INT AS prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*)::BIGINT AS shard_rows
       FROM k, range(0, 61) r(d) GROUP BY ALL),
 leaf AS (SELECT l.* FROM l LEFT JOIN l up ON up.depth = l.depth - 1 AND up.prefix = l.prefix >> 1
-         WHERE (l.shard_bytes <= {16 << 20} OR l.depth = 60) AND (up.depth IS NULL OR up.shard_bytes > {16 << 20}))
+         WHERE (l.shard_bytes <= {1 << 20} OR l.depth = 60) AND (up.depth IS NULL OR up.shard_bytes > {1 << 20}))
 SELECT doc_id, n_bytes, depth, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth, '0') END AS shard,
-       shard_bytes, shard_rows, shard_bytes > {16 << 20} AS oversized
+       shard_bytes, shard_rows, shard_bytes > {1 << 20} AS oversized
 FROM k JOIN leaf ON leaf.prefix = k.bits >> (60 - depth)
 """
 
