@@ -39,7 +39,7 @@ from textguard.llm.base import (
 from textguard.scratch import stage
 
 #: N-grams whose owners are counted together in a task, about.
-FRAGMENT_ROWS = 4_000_000
+FRAGMENT_ROWS = 1_000_000
 #: Bits of an n-gram's hash that travel, besides those that name its fragment.
 LOW_BITS = 32
 #: Fragments in which the overlaps of a pair are counted.
