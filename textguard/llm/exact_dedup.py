@@ -178,7 +178,7 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = StructType([*docs.schema, StructField(key, BinaryType())])
     if classes == 1:
         keys = stage(text_keys(docs, id_col, text_col), "dedup-keys")
-        return _kept(docs.mapInArrow(with_key, keyed), keys, docs.columns, id_col, key, maybe)
+        return _kept(docs, keys, docs.columns, id_col, key, maybe, text_col)
     # Rows of a class lie together, and stay or go by themselves; one class after the other.
     spark, path, out = docs.sparkSession, shared_dir(docs.sparkSession, "dedup-classes"), shared_dir(docs.sparkSession, "dedup-kept")
     divided = _in_classes(docs.mapInArrow(with_key, keyed), key, classes).withColumnRenamed(_CLASS, division)
@@ -186,23 +186,26 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for number in range(classes):
         part = spark.read.schema(StructType([*keyed, StructField(division, IntegerType())])).parquet(path)
         part = part.filter(F.col(division) == number).drop(division)
-        kept = _kept(part, part.select(id_col, F.col(key).alias(_KEY)), docs.columns, id_col, key, maybe)
+        kept = _kept(part, part.select(id_col, F.col(key).alias(_KEY)), docs.columns, id_col, key, maybe, None)
         kept.write.mode("append").parquet(out)
     return spark.read.schema(docs.schema).parquet(out)
 
 
-def _kept(rows: DataFrame, keys: DataFrame, columns: list[str], id_col: str, key: str, maybe: str) -> DataFrame:
-    """Of ``rows`` with their ``key``, those that stay; ``keys`` has their ids and keys alone."""
+def _kept(rows: DataFrame, keys: DataFrame, columns: list[str], id_col: str, key: str, maybe: str, text_col: str | None) -> DataFrame:
+    """Of ``rows``, those that stay; ``keys`` has their ids and keys alone. With a ``text_col`` the ``key`` is found in the same pass as
+    the flag, by one Python worker a task."""
     twice, bits = repeated_bits(keys, keys.count())
-    at = rows.columns.index(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flags = _maybe_repeated(b.column(at).to_pylist(), twice.value, bits)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(flags, pa.bool_())], [*b.schema.names, maybe])
-
-    flagged = rows.mapInArrow(run, StructType([*rows.schema, StructField(maybe, BooleanType())]))
-    group, keep = free_name(rows, "_group"), free_name(rows, "_keep")
+            found = _keys(take_column(b, text_col)) if text_col else take_column(b, key).to_pylist()
+            added = [pa.array(found, pa.binary())] if text_col else []
+            flags = pa.array(_maybe_repeated(found, twice.value, bits), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*b.columns, *added, flags], [*b.schema.names, *[key][: len(added)], maybe])
+
+    more = [StructField(key, BinaryType())] if text_col else []
+    flagged = rows.mapInArrow(run, StructType([*rows.schema, *more, StructField(maybe, BooleanType())]))
+    group, keep = free_name(flagged, "_group"), free_name(flagged, "_keep")
     suspects = _flagged(keys, twice, bits).filter(_MAYBE)
     largest = suspects.groupBy(F.col(_KEY).alias(group)).agg(F.max(id_col).alias(keep))
     is_largest = (F.col(key) == F.col(group)) & F.col(id_col).eqNullSafe(F.col(keep))
