@@ -12,7 +12,7 @@ from textguard.operators import metrics
 # Few rows per stratum at the smallest size make the split an error, as they should.
 NEED_ROWS = {"stratified_split", "split_balance", "split_profile", "split_tables", "shared_eval_sample"}
 # Held-out parts of a few dozen rows say nothing about a model at the smallest size.
-NEED_ROWS |= {"detect_language", "fit_score_classifier"}
+NEED_ROWS |= {"detect_language", "fit_score_classifier", "phrase_weights", "unknown_language"}
 
 
 @pytest.fixture(scope="module")
