@@ -305,6 +305,34 @@ def test_disguised_words_are_restored(spark):
     assert {r.score < 0.3 for r in score_toxicity(new, none).collect()} == {True}
 
 
+def test_restored_words_are_the_cheapest_path():
+    """The Viterbi search against all paths through the lattices of short tokens."""
+    import numpy as np
+
+    from textguard.llm.toxicity import _CLASSES, LetterModel
+
+    rng = random.Random(9)
+    model = LetterModel(np.array([rng.randint(0, 40) for _ in range(_CLASSES**3)]))
+
+    def paths(token, i, a, b, cost, read):
+        if i == len(token):
+            yield cost + model.cost[a][b][0], tuple(read.split())
+            return
+        for end, letters, paid in model._arcs(token, i):
+            total, x, y = cost + paid, a, b
+            for letter in letters:
+                c = ord(letter) - 96 if "a" <= letter <= "z" else 0 if letter == " " else 27
+                total += model.cost[x][y][c]
+                x, y = (0, 0) if c == 0 else (y, c)
+            yield from paths(token, end, x, y, total, read + letters)
+
+    for _ in range(300):
+        token = "".join(rng.choices("abeilost013457@$!-.", k=rng.randint(1, 7)))
+        found = list(paths(token, 0, 0, 0, 0.0, ""))
+        least = min(cost for cost, _ in found)
+        assert model.restore(token) in {words for cost, words in found if cost <= least + 1e-9}
+
+
 def test_every_sign_of_a_disguise_reaches_the_decoder(spark):
     from textguard.llm.toxicity import fit_toxicity, letter_counts, restored_words, score_toxicity
 

@@ -92,6 +92,15 @@ def test_rules_without_both_classes(spark, labels, share):
     assert rule_ensemble.score_rules(docs.limit(0), model).count() == 0
 
 
+def test_rules_where_no_tree_splits(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * (i + 1)) for i in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i > 0)) for i in range(4)], "doc_id long, quality int")
+    assert rule_ensemble.score_rules(docs, rule_ensemble.fit_rules(docs, labels)).count() == 4
+    monkeypatch.setattr(rule_ensemble, "tree_rules", lambda described, names: [])
+    model = rule_ensemble.fit_rules(docs, labels)
+    assert not model.rules and rule_ensemble.score_rules(docs, model).first().score == pytest.approx(0.75)
+
+
 # 12: Merkle manifest
 
 DOCS = "doc_id long, source string, lang string, n_chars long, text string, g string, pos string, digest string"

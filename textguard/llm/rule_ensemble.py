@@ -167,7 +167,7 @@ def fit_rules(
 
     At most ``fit_rows`` labelled rows are fitted, chosen by a hash of the id. Rows without a label, text or id are left out, of
     an id with two labels the larger one counts, repeated rows and copies count once. Without labelled rows of both classes
-    every text gets the share of good ones (without any: 0.5). Names of further columns may clash with anything.
+    every text gets the share of good ones (without any: 0.5); also where no tree finds a split. Names of further columns may clash with anything.
     """
     chosen = stage(fitted_rows(docs, labels, fit_rows, id_col, text_col, label_col).coalesce(8), "rules-fit")
     names = chosen.columns[:-1]
@@ -178,8 +178,10 @@ def fit_rules(
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(chosen).select("features", "label", *names)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, minInstancesPerNode=max(1, int(total * LEAST_SUPPORT)), seed=11).fit(vectors)
     rules = tree_rules(forest.toDebugString, names)
-    counts = chosen.agg(*(F.count_if(rule_column(r)).alias(f"r{i}") for i, r in enumerate(rules))).first()
-    rules = [r for r, n in zip(rules, counts) if LEAST_SUPPORT <= n / total <= 1 - LEAST_SUPPORT]
+    counts = chosen.agg(F.count(F.lit(1)), *(F.count_if(rule_column(r)).alias(f"r{i}") for i, r in enumerate(rules))).first()
+    rules = [r for r, n in zip(rules, counts[1:]) if LEAST_SUPPORT <= n / total <= 1 - LEAST_SUPPORT]
+    if not rules:
+        return RuleModel({}, math.log(good / (total - good)))
     held = chosen.select("label", *(rule_column(r).cast("double").alias(f"r{i}") for i, r in enumerate(rules)))
     inputs = VectorAssembler(inputCols=held.columns[1:], outputCol="features").transform(held).select("features", "label")
     inputs = stage(inputs, "rules-held")
