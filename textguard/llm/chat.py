@@ -155,7 +155,9 @@ def read_back(formatted: DataFrame, rank_file: str, pattern: str, conv_col: str
     """What the formatted ids say of each conversation: ``n_turns``, ``turns_sha256`` (role, line end, text, line end of
     each turn), ``loss_chars`` and ``loss_sha256`` of the text under the loss mask, ``formatted_chars``.
 
-    Pieces are parsed as a stream; a conversation that goes over pieces, or is very long, is never held whole.
+    Pieces are parsed as a stream; a conversation that goes over pieces, or is very long, is never held whole. Turns come in the
+    order in which they were written, repeated ones too; null roles and texts have become empty ones, a null conversation id is a
+    conversation of its own; an empty table gives no rows; further columns are not read.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -414,7 +414,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
 
 def restored_words(docs: DataFrame, letters: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id and ``restored``, the words its disguised tokens stand for."""
+    """Per row: id and ``restored``, the words its disguised tokens stand for, in no order that matters.
+
+    Null and empty texts have none; texts are read whole, repeated rows repeat the result, of readings that cost the same the
+    first found stays, an empty table gives no rows, and further columns are not read."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(letters)
 
@@ -432,7 +435,10 @@ def restored_words(docs: DataFrame, letters: np.ndarray, id_col: str = "doc_id",
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, all columns unchanged and without a shuffle."""
+    """The rows of ``docs`` that score below ``threshold``, all columns unchanged and without a shuffle.
+
+    A score equal to it rejects. Null and empty texts score like any text without signals; texts are read whole; repeated rows
+    stay or go together; an empty table gives no rows; further columns may have any names."""
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)

@@ -160,7 +160,10 @@ def _unpacked(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives in a folder: ``record_type``, ``record_id``, ``url``, ``payload_digest``,
-    ``refers_to`` (as in its headers; null where absent) and ``payload`` as bytes."""
+    ``refers_to`` (as in its headers; null where absent) and ``payload`` as bytes.
+
+    Records come as often and in the form in which they were written, empty payloads as empty bytes; a record of any length is
+    held whole, an archive is read piece by piece. Archives without records give no rows; a cut one is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Refers-To"]
@@ -190,7 +193,8 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
 def read_resolved(spark: SparkSession, path: str) -> DataFrame:
     """What the archives say of each page: ``page_id``, ``payload_bytes`` and ``payload_digest`` of the full payload,
     ``record_type``, ``refers_to``. A response's figures are computed from the payload that was read; a revisit takes
-    its original's by a join on the record it refers to."""
+    its original's by a join on the record it refers to. A record without an id has a null ``page_id``; repeated records are
+    rows of their own; a revisit whose original is not there has null figures; archives without records give no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
