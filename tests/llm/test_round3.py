@@ -7,8 +7,9 @@ import zlib
 import pytest
 from conftest import MEDIUM
 from pyspark.sql import functions as F
+from test_operators import linked_components
 
-from textguard.llm import catalog, merkle, prefix_trie, rule_ensemble
+from textguard.llm import catalog, merkle, ngram_join, prefix_trie, rule_ensemble
 
 LONG = " ".join(f"w{i}" for i in range(30_000))
 
@@ -247,3 +248,33 @@ def test_skeleton_is_bounded(spark):
     table = spark.createDataFrame([(c, bytes([c % 250]) * 40) for c in range(3_000)], "c long, path binary")
     cuts = prefix_trie.splitters(table, 16, 3_000)
     assert 8 <= len(cuts) <= 15 and cuts == sorted(cuts)
+
+
+def template_texts(rng, rows, passages=24, picked=9, words=50):
+    shared = [" ".join(f"p{p}w{i}" for i in range(words)) for p in range(passages)]
+    return [" ".join(rng.sample(shared, picked)) for _ in range(rows)]
+
+
+def test_pairs_at_hot_ngrams_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_GRAM", 3)
+    monkeypatch.setattr(ngram_join, "CELL_ROWS", 8)
+    rng = random.Random(11)
+    texts = template_texts(rng, 40, passages=12, words=12)
+    for base in texts[:12]:
+        # Near copies by exchanged words, whose common n-grams are those of the templates.
+        for _ in range(3):
+            words = base.split()
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = f"e{rng.randint(0, 5)}"
+            texts.append(" ".join(words))
+    found = ngram_join.ngram_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == linked_components(texts)
+
+
+def test_templates_make_few_pairs(spark, monkeypatch):
+    verified, tried = ngram_join._verified, []
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *rest: tried.append(pairs.count()) or verified(pairs, *rest))
+    for rows in (500, 1_000):
+        docs = spark.createDataFrame(list(enumerate(template_texts(random.Random(2), rows))), "doc_id long, text string")
+        ngram_join.ngram_components(docs).collect()
+    assert sum(tried[2:]) < 2.5 * sum(tried[:2]) and sum(tried[2:]) < 40 * 1_000, tried

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -53,6 +54,21 @@ def spread_rows(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(3 * cores)
 
 
+#: Groups with more than one in so many of all rows are hot: fewer than this number of groups can be.
+HOT_SHARE = 1000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` with the columns of their group; ``groups`` has one row per key and, in ``size``, the group's number of rows.
+
+    The few hot groups go to every task, so that their rows stay where they are; all others are joined by key. Both tables
+    are read twice and should be written ones."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) * HOT_SHARE > total
+    hot = F.broadcast(groups.filter(large))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(groups.filter(~large), key))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Scatter 64-bit values (splitmix64 finalizer)."""
     h = h ^ (h >> np.uint64(30))

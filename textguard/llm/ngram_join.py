@@ -28,6 +28,7 @@ from textguard.llm.base import (
     bits_set,
     free_name,
     gram_hashes,
+    join_groups,
     ranges,
     run_hashes,
     slot_rows,
@@ -44,6 +45,11 @@ FRAGMENT_ROWS = 1_000_000
 LOW_BITS = 32
 #: Fragments in which the overlaps of a pair are counted.
 OVERLAP_FRAGMENTS = 4
+#: N-grams with more prefixes than this have their pairs tried in cells of two blocks of rows, behind a bound of the overlap.
+HOT_GRAM = 16
+CELL_ROWS = 512
+#: Classes of n-grams whose counts bound the overlap of two sets.
+BOUND_CLASSES = 1024
 
 _LONG = LongType()
 
@@ -225,12 +231,83 @@ def components(links: DataFrame) -> DataFrame:
         before = state
 
 
-def _candidates(postings: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of rows of two posting tables, at n-grams early enough in both for their sizes."""
-    x, y = postings.alias("x"), joined.alias("y")
-    # Alike sets share an n-gram so early that what either has from there on could be the whole overlap.
-    most = F.least(*[F.col(f"{t}.size") - F.col(f"{t}.own") - F.col(f"{t}.place") for t in "xy"])
-    return x.join(y, F.col("x.gram") == F.col("y.gram")).filter(_alike(F.col("x.size"), F.col("y.size"), most, percent))
+def _early(size_x: Column, rest_x: Column, size_y: Column, rest_y: Column, percent: int) -> Column:
+    """Whether an n-gram comes early enough in two sets: what either has from there on could be the whole overlap."""
+    return _alike(size_x, size_y, F.least(rest_x, rest_y), percent)
+
+
+def _class_counts(ordered: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(``node``, ``counts``): how many n-grams of a set fall into each class of hashes, two bytes a class. Null for the sets
+    of tens of millions of n-grams that two bytes do not hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bounds, grams = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy()
+            rows = []
+            for first, end in zip(bounds[:-1], bounds[1:]):
+                counts = np.bincount(grams[first:end] & (BOUND_CLASSES - 1), minlength=BOUND_CLASSES)
+                rows.append(counts.astype("<u2").tobytes() if counts.max() < 1 << 16 else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["node", "counts"])
+
+    schema = StructType([StructField("node", _LONG), StructField("counts", BinaryType())])
+    return ordered.join(nodes, "node", "left_semi").select("node", F.col("o.gram").alias("grams")).mapInArrow(run, schema)
+
+
+def _hot_pairs(rows: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) at hot n-grams that could be alike. The rows of an n-gram are dealt into blocks, every two blocks meet in
+    a cell, and of a cell only pairs leave whose overlap, class by class the lesser count, may be large enough."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        node, size, rest, component, block = (cell.column(c).to_numpy() for c in ("node", "size", "rest", "component", "block"))
+        parts = cell.column("counts").to_pylist()
+        known = np.array([p is not None for p in parts])
+        table = np.stack([np.zeros(BOUND_CLASSES, "<u2") if p is None else np.frombuffer(p, "<u2") for p in parts])
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        a, b = [], []
+        if cell.column("low")[0] != cell.column("high")[0] and block.min() == block.max():
+            left = left[:0]  # the other block of the cell has no rows
+        for x in left:
+            y = right[component[right] != component[x]]
+            if block[x] == block.max():
+                y = y[node[y] > node[x]]
+            need = percent * (size[x] + size[y])
+            early = (100 + percent) * np.minimum(rest[x], rest[y]) >= need
+            y, need = y[early], need[early]
+            most = np.minimum(table[y], table[x]).sum(1, dtype=np.int64)
+            y = y[((100 + percent) * most >= need) | ~known[y] | ~known[x]]
+            a.append(np.minimum(node[x], node[y]))
+            b.append(np.maximum(node[x], node[y]))
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
+
+    blocks = F.ceil(F.col("prefixes") / CELL_ROWS).cast("bigint")
+    dealt = rows.join(counts, "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    cells = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "prefixes")
+    return cells.groupBy("gram", "low", "high").applyInArrow(run, StructType([StructField("a", _LONG), StructField("b", _LONG)]))
+
+
+def _open_pairs(postings: DataFrame, together: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share an n-gram of their prefixes and could be alike.
+
+    Of n-grams in the very same prefixes only the first in the global order counts: it is the first that a pair shares, too.
+    """
+    placed = postings.join(together, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = stage(placed.select("gram", "df", "node", "size", "rest", "component"), "join-placed")
+    alike = [F.expr(f"bit_xor(xxhash64(node, {seed}))").alias(f"owners{seed}") for seed in (1, 2)]
+    apart = placed.groupBy("gram", "df").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("prefixes"), *alike
+    )
+    first = apart.filter("lo < hi").groupBy("prefixes", "owners1", "owners2").agg(F.min(F.struct("df", "gram")).alias("g"))
+    grams = stage(first.select("g.gram", "prefixes"), "join-apart")
+    rows = stage(join_groups(placed.drop("df"), grams, "gram", "prefixes"), "join-open")
+    few, many = rows.filter(F.col("prefixes") <= HOT_GRAM), rows.filter(F.col("prefixes") > HOT_GRAM)
+    x, y = few.alias("x"), few.alias("y")
+    early = _early(F.col("x.size"), F.col("x.rest"), F.col("y.size"), F.col("y.rest"), percent)
+    met = x.join(y, F.col("x.gram") == F.col("y.gram")).filter(early).filter("x.node < y.node and x.component <> y.component")
+    counts = stage(_class_counts(ordered, many.select("node").distinct()), "join-counts")
+    pairs = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return pairs.unionByName(_hot_pairs(many, counts, percent)).distinct()
 
 
 def ngram_components(
@@ -269,9 +346,9 @@ def ngram_components(
     )
     able = stage(able, "join-able")
     grams = stage(_able_sets(texts, able, n), "join-grams").select("node", "size", F.explode("grams").alias("gram"))
-    df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    df = stage(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "join-frequencies")
     # N-grams of one document come first in the order; they are only counted (``own``).
-    ordered = grams.join(df, "gram").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("o"))
+    ordered = join_groups(grams, df, "gram", "df").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("o"))
     ordered = ordered.withColumns(
         {"own": F.col("size") - F.size("o"), "central": F.expr("aggregate(o, 0L, (s, x) -> s + x.df) / size")}
     )
@@ -281,22 +358,21 @@ def ngram_components(
     sets = stage(ordered.select("node", "size", F.posexplode(of_fragment).alias("fragment", "grams")), "join-fragments")
     prefix = F.expr(f"slice(o, 1, cast(greatest(size - cast(ceil(size * {percent} / 100D) as bigint) + 1 - own, 0) as int))")
     postings = ordered.select("node", "size", "own", "central", F.posexplode(prefix).alias("place", "g"))
-    postings = stage(postings.select("node", "size", "own", "central", "place", F.col("g.gram").alias("gram")), "join-postings")
-
-    centre = F.max(F.struct("central", "node", "size", "own", "place"))
-    centres = postings.groupBy("gram").agg(centre.alias("c")).select("gram", "c.*")
-    first = _candidates(postings, centres, percent).filter("x.node <> y.node")
-    pairs = first.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    # What a set has from this n-gram on.
+    rest = (F.col("size") - F.col("own") - F.col("place")).alias("rest")
+    postings = stage(postings.select("node", "size", "central", rest, "g.gram", "g.df"), "join-postings")
+
+    centre = F.max(F.struct("central", "node", "size", "rest"))
+    centres = postings.groupBy("gram").agg(centre.alias("c"), F.count(F.lit(1)).alias("prefixes"))
+    centres = centres.select("gram", "prefixes", *(F.col(f"c.{c}").alias(f"{c}_c") for c in ("node", "size", "rest")))
+    first = join_groups(postings, stage(centres, "join-centres"), "gram", "prefixes").filter("node <> node_c")
+    first = first.filter(_early(F.col("size"), F.col("rest"), F.col("size_c"), F.col("rest_c"), percent))
+    pairs = first.select(F.least("node", "node_c").alias("a"), F.greatest("node", "node_c").alias("b")).distinct()
     tried = stage(pairs, "join-pairs")
     links = stage(_verified(tried, sets, percent), "join-links")
-    together = components(links)
-    # N-grams that still join different components: all their pairs between components that have not been tried.
-    placed = postings.join(together, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    open_ = stage(placed.join(apart.select("gram"), "gram", "left_semi"), "join-open")
-    rest = _candidates(open_, open_, percent).filter("x.node < y.node and x.component <> y.component")
-    rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = stage(_verified(rest, sets, percent), "join-more")
+    # N-grams that still join different components: their pairs between components that have not been tried.
+    rest = _open_pairs(postings, components(links), ordered, percent).join(tried, ["a", "b"], "left_anti")
+    more = stage(_verified(stage(rest, "join-rest"), sets, percent), "join-more")
 
     name = able.select("node", "rep")
     named = (
