@@ -232,6 +232,44 @@ def test_archives(spark, tmp_path):
     assert read_resolved(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_archives_of_bounded_bytes(spark, tmp_path):
+    """A gzip member per record, files of at most so many bytes, longer records alone, a payload that a third of the rows share."""
+    from textguard.llm.warc import read_resolved, write_archives
+
+    rng = random.Random(4)
+    noise = lambda n: "".join(chr(rng.randint(33, 0x2FF)) for _ in range(n))
+    texts = ["everywhere" if k % 3 == 0 else noise(40_000 if k % 50 == 1 else rng.randint(0, 3_000)) for k in range(300)]
+    pages = spark.createDataFrame([(k, "u", t) for k, t in enumerate(texts)], "page_id long, url string, html string")
+    write_archives(pages, str(tmp_path / "w"), archive_bytes=20_000)
+    counts = []
+    for file in (tmp_path / "w").glob("part-*"):
+        data, members = file.read_bytes(), []
+        while data:
+            unzip = zlib.decompressobj(31)
+            members.append(unzip.decompress(data))
+            assert unzip.eof
+            data = unzip.unused_data
+        assert members.pop() == b""
+        assert all(m.startswith(b"WARC/1.1\r\n") and m.count(b"WARC-Type") == 1 for m in members)
+        assert file.stat().st_size <= 20_000 or len(members) == 1
+        counts.append(len(members))
+    assert sum(counts) == 300 and max(counts) > 1
+    found = by_id(read_resolved(spark, str(tmp_path / "w")), "page_id")
+    for k, text in enumerate(texts):
+        assert (found[k].payload_bytes, found[k].refers_to) == (len(text.encode()), 0 if text == "everywhere" and k else None)
+
+
+def test_cut_archive_is_an_error(spark, tmp_path):
+    from textguard.llm.warc import read_archives, write_archives
+
+    write_archives(spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string"), str(tmp_path / "w"))
+    whole = next(f for f in (tmp_path / "w").glob("part-*") if f.stat().st_size).read_bytes()
+    (tmp_path / "cut").mkdir()
+    (tmp_path / "cut" / "a.warc.gz").write_bytes(whole[:60])
+    with pytest.raises(Exception, match="archive ends inside"):
+        read_archives(spark, str(tmp_path / "cut")).collect()
+
+
 # 5: shards
 
 

@@ -1,8 +1,9 @@
 """WARC archives whose repeated payloads are revisit records.
 
 Headers are shuffled by payload digest to find the original of each payload; every record then gets fresh
-headers, as response or revisit, and is written. Archives are gzip files of whole records, of bounded size, and
-go through Spark's committed writer, so any shared store will do.
+headers, as response or revisit, and is written. An archive holds whole records up to a number of bytes, a gzip
+member each, so that a reader can seek to a record. Archives go through Spark's committed writer, so any shared store
+will do.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from textguard.llm.base import small_batches, spread_rows
+from textguard.llm.base import join_groups, small_batches, spread_rows
 from textguard.scratch import stage
 
 CRLF = "\r\n"
-#: Bytes of payload in an archive at most, at the mean length of a record; a record is never cut.
+#: Bytes of an archive at most, as it lies on disk; a record is never cut, so that a longer one is an archive of its own.
 ARCHIVE_BYTES = 16 << 20
+#: Bytes handed to the decompressor at once; what it leaves of them is copied at the end of each member.
+_WINDOW = 1 << 14
 _HEX, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -36,7 +39,7 @@ def payload_digest(payload: Column) -> Column:
 def resolve_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
     """(id, ``record_type``, ``refers_to``, ``payload_digest``, ``payload_bytes``) of every row.
 
-    Only headers are shuffled. Of records with equal digest and length of at least ``min_bytes``, that with the
+    Only headers are shuffled; those of the few payloads with very many copies stay where they are. Of records with equal digest and length of at least ``min_bytes``, that with the
     smallest id is the response (null ids count as larger than any other); the others revisit it.
     """
     payload = F.coalesce(F.col(payload_col), F.lit(""))
@@ -45,11 +48,12 @@ def resolve_revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str
         payload_digest(payload).alias("payload_digest"),
         F.octet_length(payload).cast("bigint").alias("payload_bytes"),
     )
-    headers = stage(headers, "warc-headers")
-    originals = headers.groupBy("payload_digest", "payload_bytes").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_copies"))
-    copied = originals.filter((F.col("_copies") > 1) & (F.col("payload_bytes") >= min_bytes)).drop("_copies")
-    refers = F.when(~F.col(id_col).eqNullSafe(F.col("_first")), F.col("_first"))
-    return headers.join(copied, ["payload_digest", "payload_bytes"], "left").select(
+    same = F.concat_ws(":", "payload_digest", "payload_bytes")
+    headers = stage(headers.withColumn("_same", same), "warc-headers")
+    originals = stage(headers.groupBy("_same").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_copies")), "warc-originals")
+    is_copy = (F.col("payload_bytes") >= min_bytes) & ~F.col(id_col).eqNullSafe(F.col("_first"))
+    refers = F.when(is_copy, F.col("_first"))
+    return join_groups(headers, originals, "_same", "_copies").select(
         id_col,
         F.when(refers.isNull(), "response").otherwise("revisit").alias("record_type"),
         refers.alias("refers_to"),
@@ -62,6 +66,16 @@ def _record_id(number: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), number.cast("string"), F.lit(">"))
 
 
+def _member(content: bytes) -> bytes:
+    """``content`` as one gzip member."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(content) + packer.flush()
+
+
+#: An archive ends with a member without content; the text writer sets it as the end of its only line.
+_END = _member(b"")
+
+
 def write_archives(
     pages: DataFrame,
     path: str,
@@ -70,16 +84,32 @@ def write_archives(
     payload_col: str = "html",
     min_bytes: int = 0,
     date: str = "2024-01-01T00:00:00Z",
+    archive_bytes: int = ARCHIVE_BYTES,
 ) -> None:
-    """Write a WARC record for every row, revisits without their payload.
+    """Write a WARC record for every row, revisits without their payload, in files of at most ``archive_bytes``.
 
     Null payloads are empty. Line ends in an address would end its header, so they are written percent-encoded;
     a null address or id is left out of its record. Rows that repeat an id and payload each get a record of the same
     type. Records without any id to refer to stay responses. An empty table gives archives without records; further
-    columns are not read. A payload of any length is one record.
+    columns are not read. A payload of any length is one record, and alone in its archive where it is longer than that.
     """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive = bytearray()
+        for b in batches:
+            for record in b.column(0):
+                member = _member(record.as_py())
+                if archive and len(archive) + len(member) + len(_END) > archive_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([bytes(archive)], pa.binary())], ["value"])
+                    archive.clear()
+                archive += member
+        if archive:
+            yield pa.RecordBatch.from_arrays([pa.array([bytes(archive)], pa.binary())], ["value"])
+
+    small_batches(pages.sparkSession)
     decided = resolve_revisits(pages, id_col, payload_col, min_bytes)
     decided = decided.groupBy(id_col, "payload_digest", "payload_bytes").agg(F.first("record_type").alias("record_type"), F.first("refers_to").alias("refers_to"))
+    decided = stage(decided, "warc-decided")
     payload = F.coalesce(F.col(payload_col), F.lit(""))
     rows = spread_rows(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), payload.alias("_payload")))
     same = F.col("_id").eqNullSafe(F.col(id_col)) & (payload_digest(F.col("_payload")) == F.col("payload_digest"))
@@ -104,12 +134,12 @@ def write_archives(
         header("Content-Length", F.octet_length(body).cast("string")),
         F.lit(CRLF),
         body,
+        F.lit(CRLF + CRLF),
     )
-    sizes = pages.agg(F.sum(F.octet_length(payload_col)).alias("bytes"), F.count(F.lit(1)).alias("rows")).first()
-    mean = (sizes["bytes"] or 0) // max(1, sizes["rows"]) + 500
-    # The writer ends each record with two line ends, as the format asks for.
-    records = joined.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip")
-    records.option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // mean)).text(path)
+    archives = joined.select(record.cast("binary").alias("value")).mapInArrow(pack, "value binary")
+    # One row a file, its bytes written as they are.
+    writer = archives.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1)
+    writer.option("encoding", "ISO-8859-1").option("lineSep", _END.decode("latin-1")).text(path)
 
 
 _FIELDS = ["record_type", "record_id", "url", "payload_digest", "refers_to", "payload"]
@@ -149,13 +179,16 @@ def _parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def _unpacked(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
     """The content of a gzip file of any number of members, piece by piece."""
-    while data:
+    view, at = memoryview(data), 0
+    while at < len(view):
         unzip = zlib.decompressobj(31)
-        while data and not unzip.eof:
-            yield unzip.decompress(data, step)
-            data = unzip.unconsumed_tail or unzip.unused_data
-        if unzip.eof:
-            data = unzip.unused_data
+        while not unzip.eof:
+            part = view[at : at + _WINDOW]
+            content = unzip.decompress(part, step)
+            if not part and not content:
+                raise ValueError("archive ends inside a gzip member")
+            at += len(part) - len(unzip.unconsumed_tail) - len(unzip.unused_data)
+            yield content
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -181,7 +214,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     kinds = [StructField(n, StringType()) for n in _FIELDS[:-1]] + [StructField("payload", BinaryType())]
     small_batches(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInArrow(run, StructType(kinds))
 
 
@@ -212,11 +245,16 @@ def read_resolved(spark: SparkSession, path: str) -> DataFrame:
 
     is_response = F.col("record_type") == "response"
     declared = F.concat(F.lit("sha1:"), F.col("digest")).alias("declared")
-    originals = records.filter(is_response).groupBy(F.col("record_id").alias("refers"), declared).agg(F.first("n").alias("_n"), F.first("digest").alias("_digest"))
-    return records.join(originals, ["refers", "declared"], "left").select(
+    responses = records.filter(is_response)
+    originals = responses.groupBy(F.col("record_id").alias("refers"), F.concat(F.lit("sha1:"), "digest").alias("declared"))
+    originals = originals.agg(F.first("n").alias("_n"), F.first("digest").alias("_digest"))
+    # Written, so that the engine can divide the revisits of a payload that is everywhere.
+    revisits = records.filter(~is_response).drop("n", "digest").join(stage(originals, "warc-read-originals"), ["refers", "declared"], "left")
+    revisits = revisits.withColumnsRenamed({"_n": "n", "_digest": "digest"})
+    return responses.unionByName(revisits).select(
         number("record_id").alias("page_id"),
-        F.when(is_response, F.col("n")).otherwise(F.col("_n")).alias("payload_bytes"),
-        F.when(is_response, F.col("digest")).otherwise(F.col("_digest")).alias("payload_digest"),
+        F.col("n").alias("payload_bytes"),
+        F.col("digest").alias("payload_digest"),
         "record_type",
         number("refers").alias("refers_to"),
     )
