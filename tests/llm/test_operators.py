@@ -476,6 +476,35 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(turns.limit(0), file, pattern).count() == 0
 
 
+def test_a_long_conversation_goes_over_ranges(spark):
+    import public_tokenizers
+
+    from textguard.llm import chat
+
+    file, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    rng = random.Random(10)
+    rows = [(7 if k % 3 else rng.choice([None, 1, 2, 9]), rng.choice([None, *range(400)]), rng.choice(["user", "assistant", None]), f"t{rng.randint(0, 50)}") for k in range(2_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        formatted = chat.format_conversations(turns, file, pattern)
+        pieces = formatted.orderBy("conv_id", "piece").collect()
+        found = by_id(chat.read_back(formatted, file, pattern), "conv_id")
+    finally:
+        spark.conf.unset(coalesce)
+    numbers = {c: [p.piece for p in pieces if p.conv_id == c] for c in (None, 1, 2, 7, 9)}
+    assert all(n == list(range(len(n))) for n in numbers.values()) and len(numbers[7]) > 2
+    codec = chat.ChatCodec(file, pattern)
+    for conv in numbers:
+        said = sorted((t is not None, t or 0, r or "", x) for c, t, r, x in rows if c == conv)
+        want = [i for _, _, role, text in said for i in codec.assemble(role, text, role == "assistant")[0]]
+        assert [i for p in pieces if p.conv_id == conv for i in p.ids] == want
+        trained = "".join(x for _, _, r, x in said if r == "assistant")
+        assert found[conv].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in said).encode()).hexdigest()
+        assert (found[conv].n_turns, found[conv].loss_chars, found[conv].loss_sha256) == (len(said), len(trained), hashlib.sha256(trained.encode()).hexdigest())
+
+
 def test_long_segments_are_encoded_whole():
     import public_tokenizers
 

@@ -21,7 +21,7 @@ from textguard.llm.substring_dedup import remove_repeats
 from textguard.llm.token_counts import count_tokens
 from textguard.llm.toxicity import fit_toxicity, score_toxicity
 from textguard.llm.warc import read_resolved, write_archives
-from textguard.scratch import shared_dir, stage
+from textguard.scratch import shared_dir
 
 SHARD_BYTES = 1 << 20
 
@@ -86,8 +86,7 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], given.schema)
     file, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    formatted = stage(format_conversations(given.unionByName(more), file, pattern), "chat")
-    return read_back(formatted, file, pattern)
+    return read_back(format_conversations(given.unionByName(more), file, pattern), file, pattern)
 
 
 def op11_quality(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Roles and texts are encoded one by one, with every control string in them escaped; the control tokens are
 spliced in as reserved ids that no encoded text can hold. The loss mask is a running sum over marks at the ends
-of each trained segment.
+of each trained segment. Turns are dealt out in ranges of (conversation, turn), so a conversation of any length is
+put together by several tasks.
 """
 
 from __future__ import annotations
@@ -14,16 +15,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from textguard.llm.base import small_batches, spread_rows
+from textguard.llm.base import small_batches
+from textguard.scratch import stage
 
 #: The template of a turn: TURN role TEXT text END. The reserved ids follow the vocabulary's last one.
 CONTROLS = ("<|turn|>", "<|text|>", "<|end|>")
 #: A conversation is one row, unless it is longer than this; then it goes on in further pieces.
 PIECE_TOKENS = 1 << 16
+#: Characters of roles and texts by which ranges are cut; the cuts of all ranges are held by the driver.
+_RANGE_CHARS = 32
+_PART_BITS = 33
 
 _LONG_SPACE = re.compile(r"\s{20000}")
 _OPENS = re.compile(r"<(\\*)\|")
@@ -73,6 +78,19 @@ class ChatCodec:
     def decode(self, ids: list[int]) -> str:
         return self.encoding.decode_bytes(ids).decode()
 
+    def read(self, ids: np.ndarray, mask: np.ndarray) -> tuple[int, int, int, bytes, bytes]:
+        """Of whole turns: their number, code points under the mask and in all, role and text of each with line ends, and
+        the text under the mask."""
+        turns, trained, loss_chars, chars = [], [], 0, 0
+        begins, texts, ends = (np.flatnonzero(ids == c) for c in (self.turn, self.text, self.end))
+        for a, b, c in zip(begins, texts, ends):
+            role, text = self.decode(ids[a + 1 : b].tolist()), self.decode(ids[b + 1 : c].tolist())
+            chars += len(role) + len(text) + sum(map(len, CONTROLS))
+            turns.append(f"{unescape(role)}\n{unescape(text)}\n")
+            trained.append(unescape(self.decode(ids[a : c + 1][mask[a : c + 1]].tolist())))
+            loss_chars += len(trained[-1])
+        return len(turns), loss_chars, chars, "".join(turns).encode(), "".join(trained).encode()
+
 
 _codecs: dict[str, ChatCodec] = {}
 
@@ -96,112 +114,108 @@ def format_conversations(
     A conversation's turns follow each other by turn number, null first, ties by role and then text. Null texts and
     roles count as empty, null conversation ids are one conversation, repeated rows are repeated turns. Under the
     loss mask lie the tokens of the texts of ``trained_role``, without control tokens. An empty table gives no rows;
-    further columns are not read. Every turn is encoded by itself before the shuffle; a conversation is put together
-    as a stream, so its length is bounded by no task's memory.
+    further columns are not read. A range of turns is sorted and put together as a stream, with one piece in memory; a
+    conversation that goes over ranges has a piece end at each cut. Turns of one conversation and number whose role and
+    text begin alike are in one range. The pieces lie in a written table.
     """
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(rank_file, pattern)
-        for b in batches:
-            ids, masks = [], []
-            for role, text in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                turn, mask = codec.assemble(role, text, role == trained_role)
-                ids.append(turn)
-                masks.append(mask)
-            arrays = [*b.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names, "ids", "mask"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, piece, ids, mask, open_ = None, 0, [], [], False
-
-        def out() -> pa.RecordBatch:
-            arrays = [pa.array([now], kind), pa.array([piece], pa.int32()), pa.array([ids], pa.list_(pa.int32())), pa.array([mask], pa.list_(pa.bool_()))]
-            return pa.RecordBatch.from_arrays(arrays, [conv_col, "piece", "ids", "loss_mask"])
-
-        kind = None
+        done, held, now, piece, turns_, size, kind = [], 0, None, 0, [], 0, None
         for b in batches:
             kind = b.schema.field(0).type
-            for conv, more, marks in zip(*(b.column(k).to_pylist() for k in range(3))):
-                if open_ and (conv != now or len(ids) >= PIECE_TOKENS):
-                    yield out()
+            for conv, role, text in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if turns_ and (conv != now or size >= PIECE_TOKENS):
+                    done.append((now, piece, *map(np.concatenate, zip(*turns_))))
+                    held, turns_, size = held + size, [], 0
                     piece = piece + 1 if conv == now else 0
-                    ids, mask = [], []
-                now, open_ = conv, True
-                ids += more
-                mask += marks
-        if open_:
-            yield out()
+                    if held >= PIECE_TOKENS:
+                        yield _pieces(done, kind, conv_col)
+                        done, held = [], 0
+                ids, mask = codec.assemble(role, text, role == trained_role)
+                turns_.append((np.array(ids, np.int32), mask))
+                now, size = conv, size + len(ids)
+        if turns_:
+            done.append((now, piece, *map(np.concatenate, zip(*turns_))))
+            yield _pieces(done, kind, conv_col)
 
     small_batches(turns.sparkSession)
-    conv = StructField(conv_col, turns.schema[conv_col].dataType)
     rows = turns.select(
         F.col(conv_col),
-        F.col(turn_col).alias("_turn"),
         F.coalesce(role_col, F.lit("")).alias("_role"),
         F.coalesce(text_col, F.lit("")).alias("_text"),
+        F.col(turn_col).alias("_turn"),
     )
-    arrays = [ArrayType(IntegerType()), ArrayType(BooleanType())]
-    encoded = spread_rows(rows).mapInArrow(
-        encode, StructType([*rows.schema, StructField("ids", arrays[0]), StructField("mask", arrays[1])])
-    )
-    sorted_ = encoded.repartition(conv_col).sortWithinPartitions(conv_col, "_turn", "_role", "_text")
-    return sorted_.select(conv_col, "ids", "mask").mapInArrow(
-        join,
-        StructType([conv, StructField("piece", IntegerType()), StructField("ids", arrays[0]), StructField("loss_mask", arrays[1])]),
-    )
+    starts = (F.substring(c, 1, _RANGE_CHARS) for c in ("_role", "_text"))
+    ranged = rows.repartitionByRange(conv_col, "_turn", *starts).sortWithinPartitions(conv_col, "_turn", "_role", "_text")
+    lists = [StructField("ids", ArrayType(IntegerType())), StructField("loss_mask", ArrayType(BooleanType()))]
+    schema = StructType([StructField(conv_col, turns.schema[conv_col].dataType), StructField("piece", IntegerType()), *lists])
+    pieces = ranged.drop("_turn").mapInArrow(assemble, schema)
+    pieces = stage(pieces.withColumn("_part", F.shiftright(F.monotonically_increasing_id(), _PART_BITS)), "chat-pieces")
+    # A range goes on with at most one conversation of the ranges before it, so there are no more shifts than ranges.
+    earlier = Window.partitionBy(conv_col).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = pieces.groupBy(conv_col, "_part").agg(F.count(F.lit(1)).alias("_run"))
+    shifts = runs.select(F.col(conv_col).alias("_conv"), F.col("_part").alias("_at"), F.sum("_run").over(earlier).alias("_shift"))
+    goes_on = F.col(conv_col).eqNullSafe(F.col("_conv")) & (F.col("_part") == F.col("_at"))
+    numbered = pieces.join(F.broadcast(shifts.filter("_shift is not null")), goes_on, "left")
+    piece = (F.col("piece") + F.coalesce("_shift", F.lit(0))).cast("int").alias("piece")
+    return numbered.select(conv_col, piece, "ids", "loss_mask")
+
+
+def _pieces(done: list[tuple], kind: pa.DataType, conv_col: str) -> pa.RecordBatch:
+    convs, numbers, *lists = zip(*done)
+    ends = pa.array(np.cumsum([0, *map(len, lists[0])]), pa.int32())
+    columns = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c))) for c in lists]
+    return pa.RecordBatch.from_arrays([pa.array(convs, kind), pa.array(numbers, pa.int32()), *columns], [conv_col, "piece", "ids", "loss_mask"])
 
 
 def read_back(formatted: DataFrame, rank_file: str, pattern: str, conv_col: str = "conv_id") -> DataFrame:
     """What the formatted ids say of each conversation: ``n_turns``, ``turns_sha256`` (role, line end, text, line end of
     each turn), ``loss_chars`` and ``loss_sha256`` of the text under the loss mask, ``formatted_chars``.
 
-    Pieces are parsed as a stream; a conversation that goes over pieces, or is very long, is never held whole. Turns come in the
-    order in which they were written, repeated ones too; null roles and texts have become empty ones, a null conversation id is a
-    conversation of its own; an empty table gives no rows; further columns are not read.
+    Pieces are decoded where they lie. A digest needs its bytes in order, so these alone are brought together by conversation
+    and hashed as a stream; a conversation that goes over pieces is never held whole. Turns come in the order in which they were
+    written, repeated ones too; null roles and texts have become empty ones, a null conversation id is a conversation of its own;
+    an empty table gives no rows; further columns are not read.
     """
+    counts, contents = ("n_turns", "loss_chars", "formatted_chars"), ("turns_sha256", "loss_sha256")
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(rank_file, pattern)
-        state, now, kind = None, None, None
+        for b in batches:
+            lists = zip(b.column(2), b.column(3))
+            read = [codec.read(i.values.to_numpy(), m.values.to_numpy(zero_copy_only=False)) for i, m in lists]
+            kinds = [pa.int64()] * 3 + [pa.binary()] * 2
+            arrays = [pa.array(c, k) for c, k in zip(zip(*read), kinds)]
+            if read:
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *arrays], [conv_col, "piece", *counts, *contents])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, now, numbers, hashes, kind = [], None, None, [], None
         for b in batches:
             kind = b.schema.field(0).type
-            for k, conv in enumerate(b.column(0).to_pylist()):
-                if state is None or conv != now:
-                    if state is not None:
-                        yield state.row(now, kind, conv_col)
-                    state, now = _Reader(codec), conv
-                state.feed(b.column(2)[k].values.to_numpy(), b.column(3)[k].values.to_numpy(zero_copy_only=False))
-        if state is not None:
-            yield state.row(now, kind, conv_col)
-
-    longs, texts = ("n_turns", "loss_chars", "formatted_chars"), ("turns_sha256", "loss_sha256")
-    schema = StructType([formatted.schema[conv_col], *(StructField(n, LongType()) for n in longs), *(StructField(n, StringType()) for n in texts)])
-    dealt = formatted.select(conv_col, "piece", "ids", "loss_mask").repartition(conv_col).sortWithinPartitions(conv_col, "piece")
-    return dealt.mapInArrow(parse, schema)
-
-
-class _Reader:
-    """Digests of one conversation, fed with the ids and masks of its pieces; pieces end with a turn."""
-
-    def __init__(self, codec: ChatCodec):
-        self.codec, self.turns, self.loss = codec, hashlib.sha256(), hashlib.sha256()
-        self.n_turns = self.loss_chars = self.chars = 0
-
-    def feed(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        codec = self.codec
-        begins, texts, ends = (np.flatnonzero(ids == c) for c in (codec.turn, codec.text, codec.end))
-        for a, b, c in zip(begins, texts, ends):
-            role, text = codec.decode(ids[a + 1 : b].tolist()), codec.decode(ids[b + 1 : c].tolist())
-            self.chars += len(role) + len(text) + sum(map(len, CONTROLS))
-            role, text = unescape(role), unescape(text)
-            self.turns.update(f"{role}\n{text}\n".encode())
-            self.n_turns += 1
-            trained = unescape(codec.decode(ids[a : c + 1][mask[a : c + 1]].tolist()))
-            self.loss.update(trained.encode())
-            self.loss_chars += len(trained)
-
-    def row(self, conv: object, kind: pa.DataType, conv_col: str) -> pa.RecordBatch:
-        numbers = [pa.array([n], pa.int64()) for n in (self.n_turns, self.loss_chars, self.chars)]
-        digests = [pa.array([d.hexdigest()]) for d in (self.turns, self.loss)]
-        names = [conv_col, "n_turns", "loss_chars", "formatted_chars", "turns_sha256", "loss_sha256"]
-        return pa.RecordBatch.from_arrays([pa.array([conv], kind), *numbers, *digests], names)
+            for conv, _, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if numbers is None or conv != now:
+                    if numbers is not None:
+                        done.append((now, *numbers, *(h.hexdigest() for h in hashes)))
+                    now, numbers, hashes = conv, [0] * len(counts), [hashlib.sha256() for _ in contents]
+                numbers = [n + more for n, more in zip(numbers, row)]
+                for h, content in zip(hashes, row[len(counts) :]):
+                    h.update(content)
+            if done:
+                yield _digests(done, kind, schema.names)
+                done = []
+        if numbers is not None:
+            yield _digests([(now, *numbers, *(h.hexdigest() for h in hashes))], kind, schema.names)
+
+    small_batches(formatted.sparkSession)
+    conv, longs = formatted.schema[conv_col], [StructField(n, LongType()) for n in counts]
+    schema = StructType([conv, *longs, *(StructField(n, StringType()) for n in contents)])
+    decoded = StructType([conv, StructField("piece", IntegerType()), *longs, *(StructField(n, BinaryType()) for n in contents)])
+    pieces = formatted.select(conv_col, "piece", "ids", "loss_mask").mapInArrow(decode, decoded)
+    return pieces.repartition(conv_col).sortWithinPartitions(conv_col, "piece").mapInArrow(digest, schema)
+
+
+def _digests(rows: list[tuple], kind: pa.DataType, names: list[str]) -> pa.RecordBatch:
+    kinds = [kind] + [pa.int64()] * 3 + [pa.string()] * 2
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
