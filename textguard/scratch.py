@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 _DIR_KEY = "spark.checkpoint.dir"
 _local_root: str | None = None
+#: Paths handed out in the innermost ``temporary_tables`` block of this thread.
+_handed_out: ContextVar[list[str] | None] = ContextVar("handed_out", default=None)
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -26,7 +31,29 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         if _local_root is None:
             _local_root = tempfile.mkdtemp(prefix="textguard-")
         root = _local_root
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if (paths := _handed_out.get()) is not None:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end of the block what was staged in it, also after an error.
+
+    Results that read staged tables must be written to a place of their own within the block. Tables staged before, outside or
+    by other threads (a stream's micro-batches) stay; a block inside another one deletes only its own.
+    """
+    paths: list[str] = []
+    token = _handed_out.set(paths)
+    try:
+        yield
+    finally:
+        _handed_out.reset(token)
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            table = spark._jvm.org.apache.hadoop.fs.Path(path)
+            table.getFileSystem(hadoop).delete(table, True)
 
 
 def stage(df: DataFrame, purpose: str) -> DataFrame:
