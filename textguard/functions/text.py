@@ -1,10 +1,13 @@
-"""Column expressions over text. All run in the JVM."""
+"""Column expressions over text. All run in the JVM, but for the hashes of shingles."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textguard.functions.kernels import run_hashes
+
 # The code points that Python's str.strip() removes.
 WHITESPACE_CODE_POINTS = [
     0x0009, 0x000A, 0x000B, 0x000C, 0x000D,
@@ -61,8 +64,13 @@ def hash60(text: Column) -> Column:
 
 
 def shingle_hashes(text: Column, k: int = 5) -> Column:
-    """Sorted distinct 60-bit hashes of the shingles."""
-    return F.sort_array(F.array_distinct(F.transform(word_runs(text, k), hash60)))
+    """Sorted distinct 60-bit hashes (``hash60``) of the shingles."""
+
+    @F.arrow_udf("array<bigint>")
+    def hashes(joined: pa.Array) -> pa.Array:
+        return run_hashes(joined, k)
+
+    return hashes(F.array_join(words(text), " "))
 
 
 def text_key(text: Column) -> Column:

@@ -1,7 +1,7 @@
 """Nearest train row per test row, by shingle Jaccard or by embedding cosine.
 
 The test side is normally a bounded sample. Its sketches or vectors are then sent to every task and
-the train side is read once, in place: no shuffle of train, and at most one row per test row and
+the train side (of texts, its sketches, which are written once) is read in place: no shuffle of train, and at most one row per test row and
 partition comes out, so rows that share a band with very many others cost compute, not shuffle.
 A test side beyond the stated size goes through shuffle joins instead, with the same results.
 """
@@ -21,6 +21,8 @@ from textguard.scratch import stage
 # 20,000 vectors of 384 numbers 61 MB.
 MAX_TEST_ROWS = 20_000
 MAX_TEST_VALUES = 16_000_000
+# Sets with a candidate that are sent to every task to pick their hashes, some 60 bytes each; more are joined by a shuffle.
+MAX_ASKED = 1_000_000
 # Members of one band on one side that meet in one join group.
 BAND_BLOCK = 2_048
 SALTS = 32
@@ -76,16 +78,16 @@ def with_set_key(side: DataFrame) -> DataFrame:
     return side.withColumn("set_key", F.unhex(F.sha2(joined, 256)))
 
 
-def _distinct_sets(side: DataFrame, compared: str, purpose: str) -> DataFrame:
-    """One row per distinct shingle set: lowest id, number of copies, band keys, and what pairs are compared by."""
+def _distinct_sets(side: DataFrame, exact: bool, purpose: str) -> DataFrame:
+    """One row per distinct shingle set: number, lowest id, number of copies, band keys and, unless pairs are compared by hashes, signature.
+
+    Hashes are the bulk of a sketch, so they stay where they are until it is known which sets have a candidate.
+    """
     grouped = side.groupBy("set_key").agg(
-        F.min("id").alias("id"),
-        F.first(compared).alias(compared),
-        F.first("signature").alias("_signature"),
-        F.count(F.lit(1)).alias("copies"),
+        F.min("id").alias("id"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("copies")
     )
-    keyed = grouped.withColumn("bands", bands(F.col("_signature")))
-    return stage(keyed.select("set_key", "id", compared, "copies", "bands"), purpose)
+    kept = ["set_key", "id", "copies", *([] if exact else ["signature"])]
+    return stage(grouped.select(F.monotonically_increasing_id().alias("number"), *kept, bands(F.col("signature")).alias("bands")), purpose)
 
 
 def _place(side: DataFrame, hot: DataFrame, own: str, other: str) -> DataFrame:
@@ -108,15 +110,12 @@ def _match_shuffled(train: DataFrame, test: DataFrame, exact: bool) -> DataFrame
     """The same by joins on bands, for a test side of any size.
 
     Copies collapse to one row per distinct set before anything is paired, hot bands are divided into bounded cells, and only
-    ids go through the bands: signatures or hashes are fetched once for each distinct pair.
+    numbers of sets go through the bands: signatures or hashes are fetched once for each distinct pair, and hashes moved only of
+    sets that have a candidate and no equal on the other side.
     """
-    compared = "hashes" if exact else "signature"
-    test_keyed = with_set_key(test)
-    sets = {
-        "train": _distinct_sets(with_set_key(train), compared, "train-sets"),
-        "test": _distinct_sets(test_keyed, compared, "test-sets"),
-    }
-    banded = {side: df.select(F.explode("bands").alias("band"), "id") for side, df in sets.items()}
+    keyed = {"train": train, "test": test}
+    sets = {side: _distinct_sets(df, exact, f"{side}-sets") for side, df in keyed.items()}
+    banded = {side: df.select(F.explode("bands").alias("band"), F.col("number").alias("id")) for side, df in sets.items()}
     sizes = {
         side: df.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / BAND_BLOCK).alias(f"{side}_block"))
         for side, df in banded.items()
@@ -124,31 +123,30 @@ def _match_shuffled(train: DataFrame, test: DataFrame, exact: bool) -> DataFrame
     hot = sizes["train"].join(sizes["test"], "band").where("train_block > 1 OR test_block > 1")
     cell = ["band", "train_block", "test_block"]
     near = {
-        "train": _place(banded["train"], hot, "train_block", "test_block").withColumnRenamed("id", "train_id"),
-        "test": _place(banded["test"], hot, "test_block", "train_block").withColumnRenamed("id", "test_id"),
+        "train": _place(banded["train"], hot, "train_block", "test_block").withColumnRenamed("id", "train_set"),
+        "test": _place(banded["test"], hot, "test_block", "train_block").withColumnRenamed("id", "test_set"),
     }
-    pairs = near["train"].join(near["test"], cell).select("test_id", "train_id").distinct()
-    wide = pairs
-    for side in ("train", "test"):
-        given = sets[side].select(F.col("id").alias(f"{side}_id"), F.col(compared).alias(side), *(["copies"] if side == "train" else []))
-        wide = wide.join(given, f"{side}_id")
+    pairs = near["train"].join(near["test"], cell).select("test_set", "train_set").distinct()
     if exact:
-        common = F.size(F.array_intersect("train", "test"))
-        similarity = common / (F.size("train") + F.size("test") - common)
+        scored = _scored_exactly(pairs, sets, keyed)
     else:
+        wide = pairs
+        for side in ("train", "test"):
+            wide = wide.join(sets[side].select(F.col("number").alias(f"{side}_set"), F.col("signature").alias(side)), f"{side}_set")
         equal = F.zip_with("train", "test", lambda x, y: x == y)
-        similarity = F.size(F.filter(equal, lambda e: e)) / NUM_PERM
+        scored = wide.select("test_set", "train_set", (F.size(F.filter(equal, lambda e: e)) / NUM_PERM).alias("similarity"))
+    known = sets["train"].select(F.col("number").alias("train_set"), F.col("id").alias("train_id"), "copies")
     per_set = (
-        wide.select("test_id", "train_id", "copies", similarity.alias("similarity"))
-        .groupBy("test_id")
+        scored.join(known, "train_set")
+        .groupBy("test_set")
         .agg(
             F.max_by(F.struct("train_id", "similarity"), F.struct("similarity", -F.col("train_id"))).alias("best"),
             F.sum("copies").alias("n_candidates"),
         )
     )
-    best = sets["test"].select("set_key", F.col("id").alias("test_id")).join(per_set, "test_id")
+    best = sets["test"].select("set_key", F.col("number").alias("test_set")).join(per_set, "test_set")
     return (
-        test_keyed.select("set_key", F.col("id").alias("member"))
+        test.select("set_key", F.col("id").alias("member"))
         .join(best, "set_key")
         .select(
             F.col("member").alias("test_id"), "best.train_id", "best.similarity", "n_candidates"
@@ -156,6 +154,28 @@ def _match_shuffled(train: DataFrame, test: DataFrame, exact: bool) -> DataFrame
     )
 
 
+def _scored_exactly(pairs: DataFrame, sets: dict[str, DataFrame], keyed: dict[str, DataFrame]) -> DataFrame:
+    """``pairs`` (test_set, train_set) with the Jaccard ``similarity`` of the sets. A test set with an equal among its candidates is as
+    similar as can be to that one alone, so its other pairs are not compared: they get 0."""
+    pairs = stage(pairs, "pairs")
+    number = {side: df.select("set_key", F.col("number").alias(f"{side}_set")) for side, df in sets.items()}
+    equal = number["test"].join(number["train"], "set_key").select("test_set", "train_set", F.lit(True).alias("equal"))
+    marked = pairs.join(equal.select("test_set", F.col("train_set").alias("equal_set")), "test_set", "left")
+    done = marked.where("equal_set IS NOT NULL").select("test_set", "train_set", (F.col("train_set") == F.col("equal_set")).cast("double").alias("similarity"))
+    wide = marked.where("equal_set IS NULL").select("test_set", "train_set")
+    for side in ("train", "test"):
+        # Copies have the same hashes; those under the lowest id of each set that is asked for are moved.
+        asked = wide.select(f"{side}_set").distinct().join(sets[side].select(F.col("number").alias(f"{side}_set"), F.col("set_key").alias("key"), F.col("id").alias("lowest")), f"{side}_set")
+        asked = stage(asked, f"{side}-asked")
+        few = F.broadcast(asked) if asked.count() <= MAX_ASKED else asked
+        given = keyed[side].join(few, (F.col("set_key") == F.col("key")) & F.col("id").eqNullSafe(F.col("lowest")))
+        given = given.groupBy(f"{side}_set").agg(F.first("hashes").alias(side))
+        wide = wide.join(given, f"{side}_set")
+    common = F.size(F.array_intersect("train", "test"))
+    similarity = common / (F.size("train") + F.size("test") - common)
+    return wide.select("test_set", "train_set", similarity.alias("similarity")).unionByName(done)
+
+
 def best_jaccard(
     train: DataFrame,
     test: DataFrame,
@@ -170,11 +190,13 @@ def best_jaccard(
     shingle sets; ``n_candidates`` is the number of train rows sharing a band. Without a candidate:
     0 and no train id. Lowest train id wins ties.
     """
-    wanted = stage(sketches(test, id_col, text), "test-sketches")
+    columns = ["id", "signature", "set_key", *(["hashes"] if exact else [])]
+    wanted = stage(with_set_key(sketches(test, id_col, text)), "test-sketches")
     size = wanted.agg(
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.size("hashes")), F.lit(0)).alias("values")
     ).first()
-    known = sketches(train, id_col, text)
+    # Hashing texts is most of the work, so train is sketched once, whatever reads the sketches.
+    known = stage(with_set_key(sketches(train, id_col, text)).select(*columns), "train-sketches")
     fits = size["rows"] <= max_test_rows and (not exact or size["values"] <= MAX_TEST_VALUES)
     match = _match_in_place if fits else _match_shuffled
     return finish_matches(wanted.select(F.col("id").alias("test_id")), match(known, wanted, exact))
