@@ -1,9 +1,11 @@
 """What is moved or written of large tables, and results on rows that made that differ."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from textguard.functions import kernels
 from textguard.functions.text import hash60, shingle_hashes, shingles
-from textguard.operators import similarity
+from textguard.operators import language, similarity
 from textguard.operators.similarity import best_jaccard
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
@@ -39,3 +41,28 @@ def test_hashes_do_not_go_through_the_grouping_of_copies(spark):
     sets = similarity._distinct_sets(rows, True, "sets")
     assert "hashes" not in sets.columns and sets.count() == 3
     assert [r.copies for r in sets.collect()] == [3, 3, 3] and sets.select("number").distinct().count() == 3
+
+
+def test_runs_of_letters_are_those_of_the_words():
+    given = ["", None, "12 34 !!", "Ab", "  Hello, WORLD!! x_y", "İI ΟΔΟΣ 漢字", "the and of that", "Ünï 7 Cödé"]
+    buckets = 1 << 15
+
+    def of(texts):
+        return [f for _, found, runs in kernels.letter_runs(texts, buckets) for f in np.split(found, np.cumsum(runs)[:-1])]
+
+    for text, found in zip(given, of(given * 3000)):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        padded = f" {' '.join(words)} " if words else ""
+        assert len(found) == max(0, len(padded) - 2)
+        if words:
+            assert found.tolist() == of([' '.join(words)])[0].tolist()
+
+
+def test_detector_counts_trigrams_like_naive_bayes(spark):
+    rows = [("en", "the and"), ("en", "the"), ("fr", "les des"), ("fr", None), (None, "x"), ("de", "!!")]
+    docs = spark.createDataFrame(rows * 20, "lang string, text string").withColumn("text", F.concat("text", F.lit(" "), F.col("lang")))
+    detector = language.fit_language_detector(docs, buckets=64)
+    assert sorted(detector.weights) == ["de", "en", "fr"]
+    for weights in detector.weights.values():
+        assert abs(np.exp(weights).sum() - 1) < 1e-9
+    assert {r.language for r in language.detect_language(docs.where("lang = 'en'"), detector).collect()} == {"en"}

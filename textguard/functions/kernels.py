@@ -17,6 +17,8 @@ PAIR_CHUNK = 1 << 16
 PAIR_VALUES = 1 << 21
 CANDIDATE_CHUNK = 1 << 21
 VECTOR_CHUNK = 1 << 10
+# Letters whose runs are hashed at once, about.
+LETTER_CHUNK = 1 << 16
 # Values per pass of the permutations: small enough for the processor cache.
 VALUE_CHUNK = 1 << 15
 # Bits dropped from a 64-bit minimum, so that a signature slot fits INT.
@@ -145,6 +147,76 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) - np.repeat(before - starts, lengths)
 
 
+_letters: list[np.ndarray] = []
+
+
+def _is_letter() -> np.ndarray:
+    """Whether a code point is a letter of any script, for all of them; found once by a task."""
+    if not _letters:
+        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
+    return _letters[0]
+
+
+def letter_runs(texts: list[str | None], buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For some texts after the others: the number of the first one, the hash buckets of their overlapping runs of three letters,
+    one text after the other, and how many runs each has. Letters are those of the words in lower case, with one blank
+    between words and at both ends; null has none."""
+    lowered = [(t or "").lower() for t in texts]
+    long = np.fromiter(map(len, lowered), np.int64, len(texts)) + 2
+    for a, e in chunk_bounds(np.cumsum(long) // LETTER_CHUNK):
+        codes = np.frombuffer((" " + "  ".join(lowered[a:e]) + " ").encode("utf-32-le"), np.uint32)
+        starts = np.cumsum(long[a:e]) - long[a:e]
+        letter = _is_letter()[codes]
+        kept = letter.copy()
+        kept[1:] |= letter[:-1]
+        kept[starts] = True
+        sizes = np.add.reduceat(kept, starts, dtype=np.int64)
+        codes = np.where(letter, codes, 32)[kept].astype(np.uint64)
+        runs = np.maximum(sizes - 2, 0)
+        first = ragged(np.cumsum(sizes) - sizes, runs)
+        mixed = (codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        yield a, ((mixed[first] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), runs
+
+
+def count_runs(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(language, bucket, n) of the runs of the (language, text) rows of a partition; under bucket -1 the rows of a language."""
+    totals: dict[str, np.ndarray] = {}
+    for b in batches:
+        names = b.column(0).to_pylist()
+        here = {name: k for k, name in enumerate(dict.fromkeys(names))}
+        for name in here:
+            totals.setdefault(name, np.zeros(buckets + 1, np.int64))
+        number = np.array([here[name] for name in names], np.int64)
+        rows = np.bincount(number, minlength=len(here))
+        for first, found, runs in letter_runs(b.column(1).to_pylist(), buckets):
+            of = np.repeat(number[first : first + len(runs)], runs)
+            for name, k in here.items():
+                totals[name][:buckets] += np.bincount(found[of == k], minlength=buckets)
+        for name, k in here.items():
+            totals[name][buckets] += rows[k]
+    for name, counts in totals.items():
+        at = np.flatnonzero(counts)
+        columns = [pa.array([name] * len(at), pa.string()), pa.array(np.where(at == buckets, -1, at)), pa.array(counts[at])]
+        yield pa.RecordBatch.from_arrays(columns, names=["language", "bucket", "n"])
+
+
+def likeliest(given: pa.Array, priors: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text the number of the class with the largest prior and sum of weights (class x bucket) of its runs, that sum, and the runs."""
+    texts = given.to_pylist()
+    sums, runs = np.zeros((len(texts), len(priors))), np.zeros(len(texts), np.int64)
+    for first, found, n in letter_runs(texts, weights.shape[1]):
+        runs[first : first + len(n)] = n
+        some = np.flatnonzero(n)
+        if len(some):
+            starts = (np.cumsum(n) - n)[some]
+            for k, of_class in enumerate(weights):
+                sums[first + some, k] = np.add.reduceat(of_class.take(found), starts)
+    best = (sums + priors).argmax(axis=1)
+    return best, sums[np.arange(len(texts)), best], runs
+
+
 class BandIndex:
     """Lookup of a bounded set of signatures by band."""
 

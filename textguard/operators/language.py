@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import json
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import HashingTF, IndexToString, StringIndexer
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textguard.scratch import stage
+from textguard.functions import kernels
 
 UNKNOWN = "unknown"
 ENGLISH = "en"
@@ -26,40 +24,45 @@ REJECTED = 0.005
 CUT_EVERY = 5
 
 
-def trigrams(text: Column) -> Column:
-    """Overlapping three-letter runs inside words, one blank of padding at word ends."""
-    letters = F.concat(
-        F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" ")
-    )
-    return F.regexp_extract_all(letters, F.lit(r"(?=(...))."), F.lit(1))
-
-
 @dataclass
 class LanguageDetector:
-    """A naive Bayes model of letter trigrams; per language its log share of the fitted rows and the least mean log-likelihood
-    ratio of a text's trigrams, against a background in which all buckets are equally likely, that still counts as it."""
+    """A naive Bayes model of letter trigrams: ``weights`` (language x bucket) are log shares of the buckets among a language's
+    trigrams. Per language also its log share of the fitted rows and the least mean log-likelihood ratio of a text's trigrams,
+    against a background in which all buckets are equally likely, that still counts as it."""
 
-    model: PipelineModel
+    weights: dict[str, np.ndarray]
     priors: dict[str, float]
     cuts: dict[str, float]
     buckets: int
 
     def scored(self, df: DataFrame, text: str = "text") -> DataFrame:
         """``df`` with ``_language``, the likeliest one, and ``_ratio``, null without a trigram."""
-        found = self.model.transform(df.withColumn("trigrams", trigrams(F.coalesce(F.col(text), F.lit("")))))
-        likelihood = F.array_max(vector_to_array("language_raw")) - _of(self.priors, F.col("detected"))
-        ratio = likelihood / F.nullif(F.size("trigrams"), F.lit(0)) + math.log(self.buckets)
-        return found.select(*df.columns, F.col("detected").alias("_language"), ratio.alias("_ratio"))
+        if not self.weights:
+            return df.select(*df.columns, F.lit(None).cast("string").alias("_language"), F.lit(None).cast("double").alias("_ratio"))
+        names = sorted(self.weights)
+        model = (np.array([self.priors[n] for n in names]), np.stack([self.weights[n] for n in names]))
+        sent, even = df.sparkSession.sparkContext.broadcast(model), math.log(self.buckets)
+
+        @F.arrow_udf("language string, ratio double")
+        def found(given: pa.Array) -> pa.Array:
+            best, likelihood, runs = kernels.likeliest(given, *sent.value)
+            ratio = likelihood / np.maximum(runs, 1) + even
+            return pa.StructArray.from_arrays([pa.array(names).take(pa.array(best)), pa.array(ratio, mask=runs == 0)], ["language", "ratio"])
+
+        scored = df.withColumn("_found", found(F.col(text).cast("string")))
+        return scored.select(*df.columns, F.col("_found.language").alias("_language"), F.col("_found.ratio").alias("_ratio"))
 
     def save(self, path: str) -> None:
-        self.model.write().overwrite().save(f"{path}/model")
-        row = (json.dumps({"priors": self.priors, "cuts": self.cuts, "buckets": self.buckets}),)
-        SparkSession.active().createDataFrame([row], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/cuts")
+        rows = [(n, self.priors[n], self.cuts[n], w.tolist()) for n, w in self.weights.items()]
+        schema = "language string, prior double, cut double, weights array<double>"
+        SparkSession.active().createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
 
     @staticmethod
     def load(path: str) -> LanguageDetector:
-        known = json.loads(SparkSession.active().read.text(f"{path}/cuts").first().value)
-        return LanguageDetector(PipelineModel.load(f"{path}/model"), known["priors"], known["cuts"], known["buckets"])
+        rows = SparkSession.active().read.parquet(f"{path}/model").collect()
+        weights = {r.language: np.array(r.weights) for r in rows}
+        buckets = len(next(iter(weights.values()), ()))
+        return LanguageDetector(weights, {r.language: r.prior for r in rows}, {r.language: r["cut"] for r in rows}, buckets)
 
 
 def _of(values: dict[str, float], key: Column) -> Column:
@@ -76,32 +79,31 @@ def fit_language_detector(
 
     Of the texts, one in ``CUT_EVERY`` (by its hash) is kept from the fit; the cut of a language is the ``rejected`` quantile of the
     ratios of its texts among them, so about this share of known texts is taken for unknown. A language without such
-    texts gets the lowest cut of the others. The model is one weight per language and bucket, whatever the size of the data.
+    texts gets the lowest cut of the others. The model is one weight per language and bucket, whatever the size of the data:
+    tasks count trigrams by language and bucket, and only these counts are shuffled.
     """
     kept_out = F.pmod(F.xxhash64(text), F.lit(CUT_EVERY)) == 0
     given = df.where(F.col(language).isNotNull() & F.col(text).isNotNull())
-    rows = given.select(F.col(language).alias("language"), trigrams(F.col(text)).alias("trigrams"), kept_out.alias("cut"))
-    counter = HashingTF(numFeatures=buckets, inputCol="trigrams", outputCol="trigram_counts")
-    counted = stage(counter.transform(rows).select("language", F.size("trigrams").alias("n"), "trigram_counts", "cut"), "trigrams")
-    fitted_rows = counted.where(~F.col("cut"))
-    indexer = StringIndexer(inputCol="language", outputCol="language_index", stringOrderType="alphabetAsc").fit(fitted_rows)
-    bayes = NaiveBayes(
-        featuresCol="trigram_counts",
-        labelCol="language_index",
-        predictionCol="language_prediction",
-        probabilityCol="language_probability",
-        rawPredictionCol="language_raw",
-    )
-    fitted = bayes.fit(indexer.transform(fitted_rows))
-    names = list(indexer.labels)
-    namer = IndexToString(inputCol="language_prediction", outputCol="detected", labels=names)
-    priors = dict(zip(names, fitted.pi.toArray().tolist()))
-    held = PipelineModel([fitted, namer]).transform(counted.where("cut and n > 0")).where("detected = language")
-    ratio = (F.array_max(vector_to_array("language_raw")) - _of(priors, F.col("detected"))) / F.col("n") + math.log(buckets)
-    found = held.groupBy("language").agg(F.percentile_approx(ratio, rejected, 10_000).alias("cut")).collect()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return kernels.count_runs(batches, buckets)
+
+    rows = given.where(~kept_out).select(F.col(language).alias("language"), F.col(text).cast("string"))
+    counted = rows.mapInArrow(count, "language string, bucket bigint, n bigint").groupBy("language", "bucket").agg(F.sum("n").alias("n"))
+    counts: dict[str, np.ndarray] = {}
+    table = counted.toArrow()
+    for name, bucket, n in zip(*(table.column(c).to_pylist() for c in ("language", "bucket", "n"))):
+        counts.setdefault(name, np.zeros(buckets + 1, np.int64))[bucket] = n
+    total = sum(int(c[-1]) for c in counts.values()) + len(counts)
+    priors = {n: math.log(c[-1] + 1) - math.log(total) for n, c in counts.items()}
+    weights = {n: np.log(c[:-1] + 1.0) - math.log(c[:-1].sum() + buckets) for n, c in counts.items()}
+    detector = LanguageDetector(weights, priors, {}, buckets)
+    held = detector.scored(given.where(kept_out).select(F.col(language).alias("language"), F.col(text).alias("text")))
+    held = held.where("_language = language AND _ratio IS NOT NULL")
+    found = held.groupBy("language").agg(F.percentile_approx("_ratio", rejected, 10_000).alias("cut")).collect()
     cuts = {r.language: r["cut"] for r in found}
     lowest = min(cuts.values(), default=0.0)
-    return LanguageDetector(PipelineModel([counter, fitted, namer]), priors, {n: cuts.get(n, lowest) for n in names}, buckets)
+    return LanguageDetector(weights, priors, {n: cuts.get(n, lowest) for n in weights}, buckets)
 
 
 def detect_language(df: DataFrame, model: LanguageDetector, text: str = "text") -> DataFrame:
