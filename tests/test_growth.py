@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions import kernels
 from textguard.functions.text import hash60, shingle_hashes, shingles
-from textguard.operators import language, similarity
+from textguard.operators import language, similarity, train_index
 from textguard.operators.similarity import best_jaccard
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
@@ -66,3 +66,15 @@ def test_detector_counts_trigrams_like_naive_bayes(spark):
     for weights in detector.weights.values():
         assert abs(np.exp(weights).sum() - 1) < 1e-9
     assert {r.language for r in language.detect_language(docs.where("lang = 'en'"), detector).collect()} == {"en"}
+
+
+def test_an_append_writes_hashes_once_before_the_index(spark, tmp_path, monkeypatch):
+    staged, real = [], train_index.stage
+    monkeypatch.setattr(train_index, "stage", lambda df, purpose: staged.append((purpose, "hashes" in df.columns)) or real(df, purpose))
+    index = train_index.TrainIndex(spark, "moved_once", str(tmp_path), 4)
+    for k in (0, 1):
+        index.append(texts(spark, [(i, run(i % 5 + k)) for i in range(12)]))
+    assert [purpose for purpose, hashes in staged if hashes] == ["index-rows", "index-rows"]
+    assert index.table("sets").count() == index.table("sets").select("set_key").distinct().count() == 6
+    assert index.table("bands").distinct().count() == 6 * 25
+    index.drop()

@@ -33,7 +33,10 @@ class TrainIndex:
 
     def _add(self, rows: DataFrame, kind: str, *keys: str) -> None:
         # One file a bucket and append: rows are dealt out as the buckets are.
-        dealt = rows.repartition(self.buckets, *keys).write.format("parquet").mode("append")
+        self._write(rows.repartition(self.buckets, *keys), kind, *keys)
+
+    def _write(self, dealt: DataFrame, kind: str, *keys: str) -> None:
+        dealt = dealt.write.format("parquet").mode("append")
         dealt.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", f"{self.folder}/{kind}").saveAsTable(f"{self.name}_{kind}")
 
     def append(self, train: DataFrame, id_col: str = "row_id", text: str = "text") -> None:
@@ -44,13 +47,15 @@ class TrainIndex:
         """
         rows = stage(with_set_key(sketches(train.filter(F.col(id_col).isNotNull()), id_col, text)), "index-rows")
         members = rows.groupBy("set_key").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-        new = rows.groupBy("set_key").agg(F.first("hashes").alias("hashes"), F.first("signature").alias("signature"))
+        signed = rows.groupBy("set_key").agg(F.first("signature").alias("signature"))
+        # Dealt out as the buckets are, so that copies are found and sets written after one move of their hashes.
+        sets = rows.repartition(self.buckets, "set_key").groupBy("set_key").agg(F.first("hashes").alias("hashes"), F.first("signature").alias("signature"))
         if self.spark.catalog.tableExists(f"{self.name}_sets"):
-            new = new.join(self.table("sets").select("set_key"), "set_key", "left_anti")
-        new = stage(new, "index-new")
+            held = stage(self.table("sets").select("set_key"), "index-held").repartition(self.buckets, "set_key")
+            signed, sets = (df.join(held, "set_key", "left_anti") for df in (signed, sets))
         salt = F.pmod(F.xxhash64("set_key"), F.lit(SALTS)).alias("salt")
-        self._add(new.select(F.explode(bands(F.col("signature"))).alias("band"), salt, "set_key"), "bands", "band", "salt")
-        self._add(new, "sets", "set_key")
+        self._add(signed.select(F.explode(bands(F.col("signature"))).alias("band"), salt, "set_key"), "bands", "band", "salt")
+        self._write(sets, "sets", "set_key")
         self._add(members, "members", "set_key")
 
     def pairs(self, test_sets: DataFrame) -> DataFrame:
