@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from textguard.functions import kernels
 from textguard.functions.text import hash60, shingle_hashes, shingles
-from textguard.operators import language, similarity, train_index
+from textguard.operators import language, scoring, similarity, train_index
 from textguard.operators.similarity import best_jaccard
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
@@ -78,3 +78,12 @@ def test_an_append_writes_hashes_once_before_the_index(spark, tmp_path, monkeypa
     assert index.table("sets").count() == index.table("sets").select("set_key").distinct().count() == 6
     assert index.table("bands").distinct().count() == 6 * 25
     index.drop()
+
+
+def test_tokens_are_made_once_for_choice_and_features(spark, tmp_path, monkeypatch):
+    staged, real = [], scoring.stage
+    monkeypatch.setattr(scoring, "stage", lambda df, purpose: staged.append((purpose, "text" in df.columns)) or real(df, purpose))
+    df = spark.createDataFrame([(f"calm w{i} " + ("attackphrase" if i % 2 else "harmless"), i % 2) for i in range(40)], "text string, label int")
+    model, _ = scoring.fit_classifier(df, path=str(tmp_path / "model"))
+    assert staged == [("tokens", False), ("features", False)]
+    assert scoring.score(df, model).where("prediction = label").count() == 40

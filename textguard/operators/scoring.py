@@ -103,6 +103,9 @@ def fit_classifier(
     *first, last = (pipeline or classifier_pipeline()).getStages()
     rows, fitted = train.select("text", "label"), []
     for step in first:
+        if isinstance(step, BucketSelector):
+            # Two passes read the tokens, the choice and the features; making them is most of the work.
+            rows = stage(rows.drop("text"), "tokens")
         fitted.append(step if isinstance(step, Transformer) else step.fit(rows))
         rows = fitted[-1].transform(rows)
     kept = [c for c in rows.columns if c not in ("text", "tokens")]
