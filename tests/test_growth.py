@@ -1,11 +1,13 @@
 """What is moved or written of large tables, and results on rows that made that differ."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from textguard.functions import kernels
 from textguard.functions.text import hash60, shingle_hashes, shingles
-from textguard.operators import language, scoring, similarity, train_index
+from textguard.operators import language, nearest_set, scoring, similarity, train_index
 from textguard.operators.similarity import best_jaccard
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
@@ -87,3 +89,86 @@ def test_tokens_are_made_once_for_choice_and_features(spark, tmp_path, monkeypat
     model, _ = scoring.fit_classifier(df, path=str(tmp_path / "model"))
     assert staged == [("tokens", False), ("features", False)]
     assert scoring.score(df, model).where("prediction = label").count() == 40
+
+
+def loose_sets(seed, n, first=0):
+    """Sets that share a shingle or two with most others, some with a passage, copies among them."""
+    rng = np.random.default_rng(seed)
+    made = [set(rng.choice(300, rng.integers(10, 30), replace=False).tolist()) | (set(range(-9, 0)) if k % 4 == 0 else set()) for k in range(n)]
+    return [(first + k, made[k - k % 3] if k % 7 == 0 else made[k]) for k in range(n)]
+
+
+def nearest_of(train, test):
+    best = {}
+    for i, a in test:
+        scores = [(len(a & b) / len(a | b), -j) for j, b in train if a & b]
+        best[i] = (-max(scores)[1], max(scores)[0]) if scores else (None, 0.0)
+    return best
+
+
+def frame_of(spark, rows):
+    return spark.createDataFrame([(i, sorted(s)) for i, s in rows], "id long, hashes array<long>")
+
+
+def test_no_pairs_are_written_and_hashes_once(spark, monkeypatch):
+    train, test = loose_sets(1, 120), loose_sets(2, 60, 1000) + [(2000, {-50})]
+    staged, real = [], nearest_set.stage
+
+    def watched(df, purpose):
+        out = real(df, purpose)
+        staged.append((purpose, out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(nearest_set, "stage", watched)
+    found = nearest_set.nearest_sets(frame_of(spark, train), frame_of(spark, test)).collect()
+    assert {r.test_id: (r.train_id, r.similarity) for r in found} == nearest_of(train, test)
+    assert [purpose for purpose, columns, _ in staged if "hashes" in columns] == ["nearest-test", "nearest-train"]
+    assert max(n for _, columns, n in staged if {"x", "y"} <= set(columns)) <= len(test)
+
+
+def test_blocks_and_classes_give_what_one_of_each_gives(spark, monkeypatch):
+    train, test = loose_sets(3, 90), loose_sets(4, 40, 1000)
+    monkeypatch.setattr(nearest_set, "TRAIN_BLOCK", 500)
+    monkeypatch.setattr(nearest_set, "TEST_BLOCK", 200)
+    monkeypatch.setattr(nearest_set, "FILTER_BITS", 200)
+    monkeypatch.setattr(nearest_set, "MAX_FILTER", 16)
+    found = nearest_set.nearest_sets(frame_of(spark, train), frame_of(spark, test)).collect()
+    assert {r.test_id: (r.train_id, r.similarity) for r in found} == nearest_of(train, test)
+
+
+def test_a_filter_holds_all_values_of_its_class():
+    rng = np.random.default_rng(5)
+    values = rng.integers(-(1 << 60), 1 << 60, 5000)
+    lists = lambda flat: pa.ListArray.from_arrays(pa.array([0, 7, 7, len(flat)], pa.int32()), pa.array(flat))
+    given, others = lists(values), lists(rng.integers(-(1 << 60), 1 << 60, 5000))
+    number, kept, passed = pa.array([3, 4, 5]), [], 0
+    for of_class in range(3):
+        slots = pa.Table.from_batches(kernels.slot_slices([pa.RecordBatch.from_arrays([given], ["hashes"])] * 2, 16, of_class, 3)).sort_by("slice")
+        (merged,) = kernels.merged_slices(slots.to_batches())
+        table = np.frombuffer(merged.column(1)[0].as_py(), np.uint8)
+        for column, into in ((given, kept), (others, None)):
+            (b,) = kernels.held_values([pa.RecordBatch.from_arrays([number, column], ["number", "hashes"])], table, of_class, 3)
+            kept += list(zip(*(c.to_pylist() for c in b.columns))) if into is kept else []
+            passed += b.num_rows if into is None else 0
+    assert sorted(kept) == sorted(zip([3] * 7 + [5] * 4993, values.tolist()))
+    assert passed < 200
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.2])
+def test_a_cell_in_chunks(monkeypatch, threshold):
+    for name in ("CELL_MARKS", "CANDIDATE_CHUNK", "PAIR_VALUES"):
+        monkeypatch.setattr(kernels, name, 100)
+    train, test = loose_sets(6, 80), loose_sets(7, 50, 1000)
+    df = {}
+    for _, s in train:
+        for token in s:
+            df[token] = df.get(token, 0) + 1
+    held = lambda s: sorted(s & df.keys(), key=lambda token: (df[token], token))
+    table = lambda rows, name: {name: [i for i, _ in rows], "size": [len(s) for _, s in rows], "o": pa.array([held(s) for _, s in rows], pa.list_(pa.int32()))}
+    left = pa.table(table(train, "id") | {"total": [sum(df[token] for token in s) for _, s in train]})
+    best = nearest_of(train, test)
+    blank = {"similarity": pa.nulls(len(test), pa.float64()), "y": pa.nulls(len(test), pa.int64())}
+    found = {r["x"]: (r["y"], r["similarity"]) for r in kernels.nearest_cell(left, pa.table(table(test, "x") | blank), threshold, threshold > 0, 1e-9).to_pylist()}
+    assert {i: b for i, b in found.items() if b[1] >= threshold} == {i: b for i, b in best.items() if b[1] >= threshold and b[0] is not None}
+    known = {"similarity": [best[i][1] for i, _ in test], "y": [best[i][0] for i, _ in test]}
+    assert kernels.nearest_cell(left, pa.table(table(test, "x") | known), threshold, True, 1e-9).num_rows == 0

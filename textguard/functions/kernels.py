@@ -17,6 +17,10 @@ PAIR_CHUNK = 1 << 16
 PAIR_VALUES = 1 << 21
 CANDIDATE_CHUNK = 1 << 21
 VECTOR_CHUNK = 1 << 10
+# Marks of the shingles that some test sets of a cell hold, at once.
+CELL_MARKS = 1 << 25
+# Bits of a filter that are merged as one row: their places fit two bytes.
+SLICE_BITS = 16
 # Letters whose runs are hashed at once, about.
 LETTER_CHUNK = 1 << 16
 # Values per pass of the permutations: small enough for the processor cache.
@@ -292,6 +296,151 @@ def match_batches(batches, index: BandIndex, sets=None):
     )
 
 
+def scattered(values: np.ndarray) -> np.ndarray:
+    """Values as 64-bit hashes (splitmix64 finalizer)."""
+    h = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def of_class(values: np.ndarray, number: int, classes: int) -> np.ndarray:
+    """Whether values belong to one of so many classes of about equal size."""
+    return scattered(values) % np.uint64(classes) == np.uint64(number)
+
+
+def filter_slots(values: np.ndarray, bits: int) -> np.ndarray:
+    """The two places of each value in a filter of 2^bits bits (32 at most), a row for each place."""
+    h = scattered(scattered(values))
+    return np.stack([h >> np.uint64(64 - bits), (h & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)]).astype(np.int64)
+
+
+def slot_slices(batches: Iterator[pa.RecordBatch], bits: int, number: int, classes: int) -> Iterator[pa.RecordBatch]:
+    """The places of one class of the values of (hashes) rows: (slice of the filter, places in it at two bytes each)."""
+    for b in batches:
+        values, _ = list_parts(b.column(0))
+        slots = np.unique(filter_slots(values[of_class(values, number, classes)], bits))
+        slices, begin = np.unique(slots >> SLICE_BITS, return_index=True)
+        low = (slots & ((1 << SLICE_BITS) - 1)).astype("<u2")
+        parts = [part.tobytes() for part in np.split(low, begin[1:])] if len(slices) else []
+        yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array(parts, pa.binary())], ["slice", "low"])
+
+
+def merged_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``slot_slices``, sorted by slice, to one row of packed bits a slice."""
+
+    def packed(number: int, bits: np.ndarray) -> pa.RecordBatch:
+        column = pa.array([np.packbits(bits).tobytes()], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), column], ["slice", "low"])
+
+    now, bits = None, np.zeros(0, bool)
+    for b in batches:
+        for number, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if number != now:
+                if now is not None:
+                    yield packed(now, bits)
+                now, bits = number, np.zeros(1 << SLICE_BITS, bool)
+            bits[np.frombuffer(low, "<u2")] = True
+    if now is not None:
+        yield packed(now, bits)
+
+
+def held_values(batches: Iterator[pa.RecordBatch], table: np.ndarray, number: int, classes: int) -> Iterator[pa.RecordBatch]:
+    """(number, token) of the values of one class of (number, hashes) rows that a filter may hold."""
+    bits = 3 + (len(table) - 1).bit_length()
+    for b in batches:
+        values, offsets = list_parts(b.column(1))
+        at = np.flatnonzero(of_class(values, number, classes))
+        slots = filter_slots(values[at], bits)
+        at = at[((table[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1).all(axis=0)]
+        row = np.repeat(b.column(0).to_numpy(), np.diff(offsets))
+        yield pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(values[at])], ["number", "token"])
+
+
+class SetIndex:
+    """Lookup of a block of sets by shingle. Of each set there are the id, the size, the shingles that count, rarest first, which come
+    after its others, and the sum of how many sets hold one of them."""
+
+    def __init__(self, sets: pa.Table):
+        values, self.offsets = list_parts(sets.column("o"))
+        self.ids, self.sizes = (sets.column(c).to_numpy() for c in ("id", "size"))
+        self.lengths = np.diff(self.offsets)
+        self.known, self.codes = np.unique(values, return_inverse=True)
+        row = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.lengths)
+        central = sets.column("total").to_numpy() / self.sizes
+        by = np.lexsort((central[row], self.codes))
+        ends = np.cumsum(np.bincount(self.codes, minlength=len(self.known)))
+        self.centre = row[by[ends - 1]]
+        # Postings of a shingle by size, so that sets of the sizes that can do are one range.
+        self.span = int(self.sizes.max()) + 1
+        key = self.codes * self.span + self.sizes[row]
+        by = np.argsort(key, kind="stable")
+        place = np.arange(len(values)) - np.repeat(self.offsets[:-1] - self.sizes + self.lengths, self.lengths)
+        self.key, self.row, self.place = key[by], row[by], place[by]
+        self.small = self.row[np.append(0, ends[:-1])]
+
+
+def nearest_cell(train: pa.Table, test: pa.Table, threshold: float, seeds: bool, rounding: float) -> pa.Table:
+    """What one cell finds for test sets (x, size, o, and the best so far: similarity, y) among its train sets: (x, y, similarity) of those
+    that get better by sets at least ``threshold`` similar. With ``seeds``, the smallest and the most central train set of each shingle
+    are tried first. Pairs stay in the cell, some at a time; a few test sets have their shingles marked, and others are counted by that."""
+    names = ["x", "y", "similarity"]
+    if not train.num_rows or not test.num_rows:
+        return pa.table([pa.array([], type=k) for k in (pa.int64(), pa.int64(), pa.float64())], names=names)
+    index = SetIndex(train)
+    rows, width = len(index.ids), len(index.known)
+    values, offsets = list_parts(test.column("o"))
+    sizes, lengths = test.column("size").to_numpy(), np.diff(offsets)
+    best = test.column("similarity").fill_null(-1.0).to_numpy().copy()
+    best_id = test.column("y").fill_null(0).to_numpy().copy()
+    before, before_id = best.copy(), best_id.copy()
+    step = max(1, CELL_MARKS // width)
+    mark = np.zeros(min(step, len(sizes)) * width, bool)
+
+    def count(pairs: np.ndarray, first: int) -> None:
+        """Similarity of distinct pairs (test set counted from ``first``) * rows + train set."""
+        for a, e in chunk_bounds(np.cumsum(index.lengths[pairs % rows]) // PAIR_VALUES):
+            x, y = pairs[a:e] // rows, pairs[a:e] % rows
+            n = index.lengths[y]
+            hit = mark[np.repeat(x * width, n) + index.codes[ragged(index.offsets[y], n)]]
+            common = np.add.reduceat(hit, np.cumsum(n) - n, dtype=np.int64)
+            keep_best(best, best_id, first + x, common / (sizes[first + x] + index.sizes[y] - common), index.ids[y])
+
+    for first in range(0, len(sizes), step):
+        stop = min(first + step, len(sizes))
+        some = values[offsets[first] : offsets[stop]]
+        c = np.minimum(np.searchsorted(index.known, some), width - 1)
+        held = np.flatnonzero(index.known[c] == some)
+        c, x = c[held], np.repeat(np.arange(first, stop), lengths[first:stop])[held]
+        # How many shingles of its set there are from each one on.
+        left = offsets[x + 1] - offsets[first] - held
+        marked = (x - first) * width + c
+        mark[marked] = True
+        if seeds:
+            tried = [(x - first) * rows + seed[c] for seed in (index.small, index.centre)]
+            count(np.unique(np.concatenate(tried)), first)
+        n, reach = sizes[x], np.maximum(best[x], threshold)
+        # The first shingles of a set up to size * (1 - reach) + 1; the others may be shared with it by a lesser set only.
+        prefix = left > np.ceil(reach * n - rounding) - 1
+        x, c, left, n, reach = x[prefix], c[prefix], left[prefix], n[prefix], reach[prefix]
+        low = np.ceil(reach * n - rounding).astype(np.int64)
+        most = (1 + reach) * left / np.maximum(reach - rounding, rounding) - n
+        high = np.minimum(np.floor(most), index.span - 1).astype(np.int64)
+        begin = np.searchsorted(index.key, c * index.span + np.minimum(low, index.span))
+        runs = np.maximum(np.searchsorted(index.key, c * index.span + np.maximum(high, -1), "right") - begin, 0)
+        for a, e in chunk_bounds(np.cumsum(runs) // CANDIDATE_CHUNK):
+            at, i = ragged(begin[a:e], runs[a:e]), np.repeat(np.arange(a, e), runs[a:e])
+            y = index.row[at]
+            overlap = np.minimum(left[i], index.sizes[y] - index.place[at])
+            bound, known = overlap / (n[i] + index.sizes[y] - overlap), best[x[i]]
+            useful = (bound > known) | ((bound == known) & (index.ids[y] < best_id[x[i]]))
+            useful &= bound >= reach[i] - rounding
+            count(np.unique((x[i][useful] - first) * rows + y[useful]), first)
+        mark[marked] = False
+    better = np.flatnonzero((best != before) | (best_id != before_id))
+    return pa.table([test.column("x").take(pa.array(better)), pa.array(best_id[better]), pa.array(best[better])], names=names)
+
+
 def unit_rows(flat: np.ndarray, rows: int) -> np.ndarray:
     """Rows scaled to length 1; a zero row stays zero."""
     matrix = flat.astype(np.float64).reshape(rows, -1)
