@@ -13,8 +13,20 @@ from pyspark.sql import functions as F
 
 _DIR_KEY = "spark.checkpoint.dir"
 _local_root: str | None = None
-#: Paths handed out in the innermost ``temporary_tables`` block of this thread.
-_handed_out: ContextVar[list[str] | None] = ContextVar("handed_out", default=None)
+
+
+class _HandedOut:
+    """Paths handed out in the innermost ``temporary_tables`` block of this thread. Modules may go to workers by value, which a context
+    variable cannot; there it is a new one."""
+
+    def __init__(self) -> None:
+        self.paths: ContextVar[list[str] | None] = ContextVar("handed_out", default=None)
+
+    def __reduce__(self) -> tuple[type[_HandedOut], tuple[()]]:
+        return _HandedOut, ()
+
+
+_handed_out = _HandedOut()
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -32,7 +44,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             _local_root = tempfile.mkdtemp(prefix="textguard-")
         root = _local_root
     path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    if (paths := _handed_out.get()) is not None:
+    if (paths := _handed_out.paths.get()) is not None:
         paths.append(path)
     return path
 
@@ -45,11 +57,11 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
     by other threads (a stream's micro-batches) stay; a block inside another one deletes only its own.
     """
     paths: list[str] = []
-    token = _handed_out.set(paths)
+    token = _handed_out.paths.set(paths)
     try:
         yield
     finally:
-        _handed_out.reset(token)
+        _handed_out.paths.reset(token)
         hadoop = spark.sparkContext._jsc.hadoopConfiguration()
         for path in paths:
             table = spark._jvm.org.apache.hadoop.fs.Path(path)
